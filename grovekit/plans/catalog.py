@@ -7,7 +7,7 @@ import importlib
 from grovekit.plans.registry import Registry
 
 #: Modules with a ``register(registry)`` function, in order.
-MODULES: list[str] = []
+MODULES = ["grovekit.plans.documents"]
 
 
 def build() -> Registry:
