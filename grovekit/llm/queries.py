@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grovekit.llm import components
+from grovekit.llm import components, splits
 from grovekit.plans.registry import Registry
 
 P1_SQL = r"""
@@ -22,8 +22,30 @@ reach AS (
 SELECT v AS box_id, min(w) AS group_id FROM reach GROUP BY v
 """
 
+P5_SQL = r"""
+WITH RECURSIVE plain AS (
+  SELECT row_id, trim(regexp_replace(replace(lower(tree_id), chr(65279), ''), '[^\p{L}\p{N}]+', '_', 'g'), '_') AS t,
+    trim(session_id) AS s FROM split_manifest),
+keyed AS (
+  SELECT row_id, CASE WHEN regexp_matches(t, '^[a-z]+_[a-z]+[0-9]+[a-z]*_0*[0-9]+(?:_.*|[a-z].*)?$')
+      THEN regexp_replace(t, '^([a-z]+)_([a-z]+[0-9]+[a-z]*)_0*([0-9]+)(?:_.*|[a-z].*)?$', '\1|\2|\3') WHEN t <> '' THEN t END AS tree,
+    CASE WHEN lower(s) NOT IN ('', '-', '--', '?', 'n/a', 'na', 'nan', 'none', 'null', 'unknown', 'tidak diketahui', 'tidak ada') THEN s END AS session
+  FROM plain),
+pairs AS (
+  SELECT x.row_id AS a, y.row_id AS b FROM keyed x JOIN keyed y ON x.tree = y.tree AND x.row_id <> y.row_id
+  UNION SELECT x.row_id, y.row_id FROM keyed x JOIN keyed y ON x.session = y.session AND x.row_id <> y.row_id),
+reach AS (
+  SELECT DISTINCT a AS v, a AS w FROM pairs
+  UNION SELECT r.v, e.b FROM reach r JOIN pairs e ON r.w = e.a)
+SELECT v AS row_id, min(w) AS group_id FROM reach GROUP BY v
+"""
+
 
 def build() -> Registry:
     reg = Registry()
     reg.add("p1_found", components.p1_found, P1_SQL)
+    reg.add("p5_found", splits.p5_found, P5_SQL)
+    reg.add("p5_forest", splits.p5_forest)
+    reg.add("p5_assigned", splits.p5_assigned)
+    reg.add("p5_shares", splits.p5_shares)
     return reg
