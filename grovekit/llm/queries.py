@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grovekit.llm import components, splits
+from grovekit.llm import components, overlap, splits
 from grovekit.plans.registry import Registry
 
 P1_SQL = r"""
@@ -44,6 +44,8 @@ SELECT v AS row_id, min(w) AS group_id FROM reach GROUP BY v
 def build() -> Registry:
     reg = Registry()
     reg.add("p1_found", components.p1_found, P1_SQL)
+    reg.add("p2_found", overlap.p2_found)
+    reg.add("p2_report", overlap.p2_report)
     reg.add("p5_found", splits.p5_found, P5_SQL)
     reg.add("p5_forest", splits.p5_forest)
     reg.add("p5_assigned", splits.p5_assigned)
