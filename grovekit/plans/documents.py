@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grovekit.operators import nested
+from grovekit.operators import drift, nested
 from grovekit.plans.registry import Registry
-from grovekit.scale import read
+from grovekit.scale import Workspace, read
 
 P3_SQL = r"""
 WITH raw AS (
@@ -43,7 +43,30 @@ def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return nested.tree_tables(read(spark, sf_dir, "tree_doc"), read(spark, sf_dir, "tree_raw"))
 
 
+def _history(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    ws, lines = Workspace(spark, "p4"), read(spark, sf_dir, "history_raw")
+    heads = ws.save(drift.headers(lines), "heads")
+    cells = ws.save(drift.long_cells(drift.data_rows(lines, heads)), "cells")
+    types, pairs = ws.save(drift.column_types(cells), "types"), ws.save(drift.file_pairs(heads), "pairs")
+    renamed = ws.save(drift.renames(drift.candidate_pairs(pairs, types), cells), "renamed")
+    return {"heads": heads, "cells": cells, "types": types, "pairs": pairs, "renamed": renamed}
+
+
+def history_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _history(spark, sf_dir)
+    return drift.schema_changes(h["pairs"], h["types"], h["renamed"])
+
+
+def history_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _history(spark, sf_dir)
+    typed = [read(spark, sf_dir, t) for t in ("rtdetr_l_rgbd4_training_metrics", "sel4_352_rgbedgemono__results")]
+    targets = [c for t in typed for c in t.columns]
+    return drift.epoch_table(h["cells"], h["heads"], drift.canonical_names(h["renamed"], h["heads"], targets), typed)
+
+
 def register(reg: Registry) -> None:
     reg.add("p3_found", lambda s, d: nested.linked_appearances(_tables(s, d)), P3_SQL)
     for name in ("trees", "images", "annotations", "bunches", "appearances"):
         reg.add(f"p3_{name}", lambda s, d, n=name: _tables(s, d)[n])
+    reg.add("p4_found", history_changes)
+    reg.add("p4_epochs", history_table)
