@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grovekit.llm import components, overlap, sentences, splits
+from grovekit.llm import components, mixing, overlap, packing, sentences, splits
 from grovekit.plans.registry import Registry
 
 P1_SQL = r"""
@@ -50,5 +50,9 @@ def build() -> Registry:
     reg.add("p5_forest", splits.p5_forest)
     reg.add("p5_assigned", splits.p5_assigned)
     reg.add("p5_shares", splits.p5_shares)
+    reg.add("p6_packed", packing.p6_packed)
+    reg.add("p6_fill", packing.p6_fill)
+    reg.add("p7_mixed", mixing.p7_mixed)
+    reg.add("p7_shares", mixing.p7_shares)
     reg.add("p8_found", sentences.p8_found)
     return reg
