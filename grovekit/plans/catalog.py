@@ -7,7 +7,7 @@ import importlib
 from grovekit.plans.registry import Registry
 
 #: Modules with a ``register(registry)`` function, in order.
-MODULES = ["grovekit.plans.documents", "grovekit.plans.projections"]
+MODULES = [f"grovekit.plans.{m}" for m in ("documents", "projections", "joins")]
 
 
 def build() -> Registry:
