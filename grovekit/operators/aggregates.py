@@ -10,7 +10,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-N = F.count(F.lit(1))
+
+def N() -> Column:
+    """Number of rows."""
+    return F.count(F.lit(1))
+
 #: Bands of scores (0..1) that are sorted apart.
 BANDS = 4096
 
@@ -43,7 +47,7 @@ def tree_features(boxes: DataFrame, tree: str, sides: int, classes: int) -> Data
     variation, number of sides seen and consistency; the scores' sum, mean, max and numbers reaching .5 and .6; mean height in the
     image (.5 without boxes) and mean area.  And: sides, boxes, class shares, and share of class 3 among classes 2 and 3.
     """
-    cell = boxes.groupBy(tree, "side", "cls").agg(N.alias("n"), F.sum("score").alias("s"), F.max("score").alias("m"), F.count_if(F.col("score") >= 0.5).alias("n5"), F.count_if(F.col("score") >= 0.6).alias("n6"), F.sum("cy").alias("cy"), F.sum("area").alias("area"))
+    cell = boxes.groupBy(tree, "side", "cls").agg(N().alias("n"), F.sum("score").alias("s"), F.max("score").alias("m"), F.count_if(F.col("score") >= 0.5).alias("n5"), F.count_if(F.col("score") >= 0.6).alias("n6"), F.sum("cy").alias("cy"), F.sum("area").alias("area"))
     aggs = []
     for k in range(classes):
         here = lambda c, k=k: F.sum(F.when(F.col("cls") == k, F.col(c)).otherwise(0))
@@ -64,7 +68,7 @@ def tree_features(boxes: DataFrame, tree: str, sides: int, classes: int) -> Data
 
 def robust_scale(df: DataFrame, keys: Sequence[str], c: str, floor: float, at_least: int = 1) -> DataFrame:
     """(keys, center, scale, n): median and 1.4826 times the median absolute deviation, at least ``floor``, of groups big enough."""
-    med = df.groupBy(*keys).agg(F.median(c).alias("center"), N.alias("n")).where(F.col("n") >= at_least)
+    med = df.groupBy(*keys).agg(F.median(c).alias("center"), N().alias("n")).where(F.col("n") >= at_least)
     dev = df.join(med, list(keys)).groupBy(*keys, "center", "n").agg((1.4826 * F.median(F.abs(F.col(c) - F.col("center")))).alias("mad"))
     return dev.select(*keys, "center", F.greatest("mad", F.lit(floor)).alias("scale"), "n")
 
@@ -83,14 +87,14 @@ def noisy_or(score: Column) -> Column:
 def count_errors(df: DataFrame, cls: str, pred: str, true: str) -> DataFrame:
     """Mean absolute error, root mean square error, bias, exact and within-one shares, for each class and over all (cls null)."""
     d = F.col(pred) - F.col(true)
-    aggs = [N.alias("n"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(d).alias("bias"), F.avg((d == 0).cast("double")).alias("exact"), F.avg((F.abs(d) <= 1).cast("double")).alias("within_one")]
+    aggs = [N().alias("n"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(d).alias("bias"), F.avg((d == 0).cast("double")).alias("exact"), F.avg((F.abs(d) <= 1).cast("double")).alias("within_one")]
     return df.groupingSets([[cls], []], cls).agg(*aggs)
 
 
 def joint_within_one(df: DataFrame, entity: str, pred: str, true: str) -> DataFrame:
     """Share of entities whose counts of all classes are within one, and whose totals are."""
     per = df.groupBy(entity).agg(F.bool_and(F.abs(F.col(pred) - F.col(true)) <= 1).alias("all"), F.abs(F.sum(F.col(pred) - F.col(true))).alias("t"))
-    return per.agg(N.alias("n"), F.avg(F.col("all").cast("double")).alias("joint"), F.avg((F.col("t") <= 1).cast("double")).alias("total"))
+    return per.agg(N().alias("n"), F.avg(F.col("all").cast("double")).alias("joint"), F.avg((F.col("t") <= 1).cast("double")).alias("total"))
 
 
 def confusion(pred: DataFrame, true: DataFrame, match: DataFrame, keys: Sequence[str], classes: int) -> DataFrame:
@@ -98,7 +102,7 @@ def confusion(pred: DataFrame, true: DataFrame, match: DataFrame, keys: Sequence
     p = pred.select(*keys, "det_id", F.col("cls").alias("pred_cls"))
     t = true.select(*keys, "gt_id", F.col("cls").alias("gt_cls"))
     left = p.join(match.select(*keys, "det_id", "gt_id"), [*keys, "det_id"], "left").join(t, [*keys, "gt_id"], "full")
-    return left.groupBy(F.coalesce("pred_cls", F.lit(classes)).alias("pred_cls"), F.coalesce("gt_cls", F.lit(classes)).alias("gt_cls")).agg(N.alias("n"))
+    return left.groupBy(F.coalesce("pred_cls", F.lit(classes)).alias("pred_cls"), F.coalesce("gt_cls", F.lit(classes)).alias("gt_cls")).agg(N().alias("n"))
 
 
 def class_scores(conf: DataFrame, classes: int) -> DataFrame:
@@ -121,7 +125,7 @@ def average_precision(flagged: DataFrame, totals: DataFrame, keys: Sequence[str]
     ks = list(keys)
     # scores are cut into bands, so that no task sorts a whole class; band totals are a small table that carries the sums over
     banded = flagged.withColumn("_b", (-F.floor(F.col("score") * BANDS)).cast("int"))
-    total = banded.groupBy(*ks, "_b").agg(N.alias("_n"), F.sum(F.col("tp").cast("long")).alias("_t"))
+    total = banded.groupBy(*ks, "_b").agg(N().alias("_n"), F.sum(F.col("tp").cast("long")).alias("_t"))
     earlier = Window.partitionBy(*ks).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offset = total.select(*ks, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_on"), F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_ot"))
     w = Window.partitionBy(*ks, "_b").orderBy(F.desc("score"), "tie")
@@ -156,9 +160,9 @@ def average_precision(flagged: DataFrame, totals: DataFrame, keys: Sequence[str]
 def contingency_scores(df: DataFrame, a: str, b: str) -> DataFrame:
     """Adjusted Rand index and normalised mutual information (arithmetic mean) of two labellings."""
     pair = lambda c: F.sum(c * (c - 1) / 2)
-    cells = df.groupBy(a, b).agg(N.alias("n"))
-    ra, rb = df.groupBy(a).agg(N.alias("n")), df.groupBy(b).agg(N.alias("n"))
-    total = df.agg(N.cast("double").alias("t"))
+    cells = df.groupBy(a, b).agg(N().alias("n"))
+    ra, rb = df.groupBy(a).agg(N().alias("n")), df.groupBy(b).agg(N().alias("n"))
+    total = df.agg(N().cast("double").alias("t"))
     h = lambda c, t: -F.sum(c / t * F.ln(c / t))
     joint = cells.crossJoin(F.broadcast(total)).agg(pair(F.col("n")).alias("sab"), h(F.col("n"), F.col("t")).alias("hab"), F.max("t").alias("t"))  # one row
     sa = ra.crossJoin(F.broadcast(total)).agg(pair(F.col("n")).alias("sa"), h(F.col("n"), F.col("t")).alias("ha"))
@@ -170,7 +174,7 @@ def contingency_scores(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def mean_rank(df: DataFrame, c: str, out: str) -> DataFrame:
     """Ranks from 1 with equal values sharing their mean rank, by counts of values (no global sort in one task but of distinct values)."""
-    counts = df.groupBy(c).agg(N.alias("_n"))
+    counts = df.groupBy(c).agg(N().alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranks = counts.select(F.col(c).alias("_c"), (before + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, F.col(c) == F.col("_c")).drop("_c")
@@ -178,7 +182,7 @@ def mean_rank(df: DataFrame, c: str, out: str) -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     both = mean_rank(mean_rank(df.select(x, y), x, "_rx"), y, "_ry")
-    return both.agg(N.alias("n"), F.corr("_rx", "_ry").alias("rho"))
+    return both.agg(N().alias("n"), F.corr("_rx", "_ry").alias("rho"))
 
 
 def auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
@@ -191,9 +195,9 @@ def auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     """Kruskal-Wallis H, corrected for ties."""
     r = mean_rank(df.select(value, group), value, "_r")
-    g = r.groupBy(group).agg(N.cast("double").alias("n"), F.sum("_r").alias("s"))
-    ties = df.groupBy(value).agg(N.cast("double").alias("t")).agg(F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
-    h = g.agg(F.sum("n").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"), N.alias("groups")).crossJoin(ties)  # one row each
+    g = r.groupBy(group).agg(N().cast("double").alias("n"), F.sum("_r").alias("s"))
+    ties = df.groupBy(value).agg(N().cast("double").alias("t")).agg(F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
+    h = g.agg(F.sum("n").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"), N().alias("groups")).crossJoin(ties)  # one row each
     raw = 12 / (F.col("n") * (F.col("n") + 1)) * F.col("q") - 3 * (F.col("n") + 1)
     return h.select("groups", (raw / (1 - F.col("ties") / (F.pow("n", F.lit(3.0)) - F.col("n")))).alias("h"))
 
@@ -204,7 +208,7 @@ def link_scores(nodes: DataFrame, keys: Sequence[str], node: str, side: str, pre
         return F.sum("n") * (F.sum("n") - 1) / 2 - F.sum(F.col("n") * (F.col("n") - 1) / 2)
 
     def total(by: list[str], out: str) -> DataFrame:
-        cell = nodes.groupBy(*keys, *by, side).agg(N.cast("double").alias("n"))
+        cell = nodes.groupBy(*keys, *by, side).agg(N().cast("double").alias("n"))
         return cell.groupBy(*keys, *by).agg(pairs(by).alias("p")).agg(F.sum("p").alias(out))
 
     t = total([pred, true], "both").crossJoin(total([pred], "made")).crossJoin(total([true], "real"))  # one row each

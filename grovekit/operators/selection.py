@@ -8,7 +8,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-N = F.count(F.lit(1))
+
+def N() -> Column:
+    """Number of rows."""
+    return F.count(F.lit(1))
+
 
 
 def _modes() -> dict[str, Column]:
@@ -84,8 +88,8 @@ def best_subset(df: DataFrame, member: str, value: str, size: int) -> DataFrame:
 def key_difference(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row: keys of b missing from a, and keys of a that b hasn't."""
     ka, kb = a.select(*keys).distinct(), b.select(*keys).distinct()
-    missing = kb.join(ka, list(keys), "left_anti").agg(N.alias("missing"))
-    return missing.crossJoin(ka.join(kb, list(keys), "left_anti").agg(N.alias("extra")))
+    missing = kb.join(ka, list(keys), "left_anti").agg(N().alias("missing"))
+    return missing.crossJoin(ka.join(kb, list(keys), "left_anti").agg(N().alias("extra")))
 
 
 def bag_union(frames: Sequence[DataFrame], source: str, start: int = 0) -> DataFrame:

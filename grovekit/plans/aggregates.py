@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from grovekit.operators import aggregates as A
@@ -12,7 +12,11 @@ from grovekit.plans.registry import Registry
 from grovekit.plans.roles import P_SQL, det, gt, iou_sql, probs, sql
 from grovekit.scale import read
 
-N = F.count(F.lit(1))
+
+def N() -> Column:
+    """Number of rows."""
+    return F.count(F.lit(1))
+
 TAUS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 TAU_SQL = "(SELECT CAST(t AS DOUBLE)/10 AS tau FROM range(1,10) r(t))"
 IOU_GRID = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
@@ -96,7 +100,7 @@ def register(reg: Registry) -> None:
         df = probs(det(s, d)).where("score > 0 and score < 1").withColumn("p0", F.get("p", F.lit(0)))
         low = F.min_by("p0", F.struct("score", "det_id"))
         return df.groupBy("tree").agg(F.max_by("det_id", F.struct("score", "det_id")).alias("top_member"), _r(F.exp(F.avg(F.ln("p0")))).alias("geo0"), _r(F.median("p0")).alias("med0"), _r(F.max("p0")).alias("max0"),
-                                      _r(F.when(N >= 3, (F.sum("p0") - low) / (N - 1)).otherwise(F.avg("p0"))).alias("robust0"))
+                                      _r(F.when(N() >= 3, (F.sum("p0") - low) / (N() - 1)).otherwise(F.avg("p0"))).alias("robust0"))
 
     @q("agg_09_noisy_or", sql("SELECT tree, cls, round(1-exp(sum(ln(1-least(score,0.999999)))),6) AS v FROM det GROUP BY ALL"))
     def agg_09(s, d):
@@ -116,7 +120,7 @@ def register(reg: Registry) -> None:
         x = gt(s, d).select("stem", "gt_id", F.col("cls").alias("t")).join(det(s, d).select("stem", F.col("cls").alias("c"), "score"), "stem")
         c, t, w = F.col("c"), F.col("t"), F.col("score")
         y = x.groupBy("stem", "gt_id", "t").agg(F.avg((c == t).cast("int")).alias("r0"), (F.max_by("c", F.struct("score", "c")) == t).cast("int").alias("r1"), (F.rint(_r(F.sum(w * c) / F.greatest(F.sum(w), F.lit(1e-9)), 9)) == t).cast("int").alias("r2"), F.bool_or(c == t).cast("int").alias("r3"))
-        return y.groupBy(F.col("t").alias("cls")).agg(N.alias("n"), *[_r(F.avg(k)).alias(k) for k in ("r0", "r1", "r2", "r3")])
+        return y.groupBy(F.col("t").alias("cls")).agg(N().alias("n"), *[_r(F.avg(k)).alias(k) for k in ("r0", "r1", "r2", "r3")])
 
     err = "count(*) AS n, round(avg(abs(pred-true_)),6) AS mae, round(sqrt(avg((pred-true_)*(pred-true_))),6) AS rmse, round(avg(pred-true_),6) AS bias, round(avg(CAST(pred=true_ AS INT)),6) AS exact, round(avg(CAST(abs(pred-true_)<=1 AS INT)),6) AS within_one"
     @q("agg_12_count_error", sql(PT_SQL + f" SELECT cls, {err} FROM pt GROUP BY GROUPING SETS ((cls), ())"))
@@ -144,7 +148,7 @@ def register(reg: Registry) -> None:
         return det(s, d).join(m, ["stem", "cls", "det_id"], "left").select("cls", "score", (F.col("stem") * 10000000000000 + F.col("det_id")).alias("tie"), F.col("threshold").isNotNull().alias("tp"))
 
     def totals(s, d):
-        return gt(s, d).groupBy("cls").agg(N.alias("n_true"))
+        return gt(s, d).groupBy("cls").agg(N().alias("n_true"))
 
     @q("agg_15_ap_coco", CLS_GREEDY + AP_SQL + " SELECT cls, round(sum(coalesce(p,0))/101,6) AS ap FROM steps GROUP BY cls")
     def agg_15(s, d):
@@ -171,7 +175,7 @@ def register(reg: Registry) -> None:
     def agg_17(s, d):
         m = matched(s, d).select("stem", "det_id", "threshold")
         fl = det(s, d).join(m, ["stem", "det_id"], "left").select(F.lit(0).alias("all"), "score", (F.col("stem") * 10000000000000 + F.col("det_id")).alias("tie"), F.col("threshold").isNotNull().alias("tp"))
-        return A.average_precision(fl, gt(s, d).agg(F.lit(0).alias("all"), N.alias("n_true")), ["all"]).select(_r(F.col("ap")).alias("ap"))
+        return A.average_precision(fl, gt(s, d).agg(F.lit(0).alias("all"), N().alias("n_true")), ["all"]).select(_r(F.col("ap")).alias("ap"))
 
     @q("agg_18_percentile_ci", sql("SELECT cls, round(quantile_cont(score,0.025),6) AS lo, round(quantile_cont(score,0.975),6) AS hi, round(avg(CAST(score>0.5 AS INT)),6) AS p_above, quantile_cont(score,0.025) > 0 AS significant FROM det GROUP BY cls"))
     def agg_18(s, d):
@@ -181,15 +185,15 @@ def register(reg: Registry) -> None:
     @q("agg_19_sample_stats", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(avg(o_totalprice),4) AS mean, round(coalesce(stddev_samp(o_totalprice),0),4) AS std, min(o_totalprice) AS least, max(o_totalprice) AS most FROM orders GROUP BY ALL")
     def agg_19(s, d):
         c = "o_totalprice"
-        return read(s, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(N.alias("n"), _r(F.avg(c), 4).alias("mean"), _r(F.coalesce(F.stddev_samp(c), F.lit(0.0)), 4).alias("std"), F.min(c).alias("least"), F.max(c).alias("most"))
+        return read(s, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(N().alias("n"), _r(F.avg(c), 4).alias("mean"), _r(F.coalesce(F.stddev_samp(c), F.lit(0.0)), 4).alias("std"), F.min(c).alias("least"), F.max(c).alias("most"))
 
     cov = ", pool AS (SELECT tree, cls, bunch, count(*) AS n FROM gt GROUP BY ALL), best AS (SELECT tree, cls, max(n) AS m, sum(n) AS s FROM pool GROUP BY ALL)"
     @q("agg_20_coverage", sql(cov + " SELECT count(*) AS pools, round(sum(CASE WHEN m>=2 THEN m ELSE 0 END)/(SELECT count(*) FROM gt),6) AS of_all, round(sum(CASE WHEN m>=2 THEN m ELSE 0 END)/sum(s),6) AS of_pooled, round(avg(CAST(m=1 AS INT)),6) AS false_share FROM best"))
     def agg_20(s, d):
-        pool = gt(s, d).groupBy("tree", "cls", "bunch").agg(N.alias("n"))
+        pool = gt(s, d).groupBy("tree", "cls", "bunch").agg(N().alias("n"))
         best = pool.groupBy("tree", "cls").agg(F.max("n").alias("m"), F.sum("n").alias("s"))
         good = F.sum(F.when(F.col("m") >= 2, F.col("m")).otherwise(0))
-        return best.agg(N.alias("pools"), _r(good / F.sum("s")).alias("of_all"), _r(good / F.sum("s")).alias("of_pooled"), _r(F.avg((F.col("m") == 1).cast("int"))).alias("false_share"))
+        return best.agg(N().alias("pools"), _r(good / F.sum("s")).alias("of_all"), _r(good / F.sum("s")).alias("of_pooled"), _r(F.avg((F.col("m") == 1).cast("int"))).alias("false_share"))
 
     @q("agg_21_link_prf", sql('SELECT "both", made, "real", round("both"/greatest(made,1),6) AS precision, round("both"/greatest("real",1),6) AS recall, round(2*"both"/greatest(made+"real",1),6) AS f1 FROM (SELECT CAST(count(*) FILTER (a.cls=b.cls AND a.bunch=b.bunch) AS DOUBLE) AS "both", CAST(count(*) FILTER (a.cls=b.cls) AS DOUBLE) AS made, CAST(count(*) FILTER (a.bunch=b.bunch) AS DOUBLE) AS "real" FROM gt a JOIN gt b ON a.tree=b.tree AND a.side<b.side)'))
     def agg_21(s, d):
@@ -224,21 +228,21 @@ def register(reg: Registry) -> None:
 
     @q("agg_24_duplication", f"WITH b AS ({bn}) SELECT tree_id, round(sum(n)/count(*),6) AS factor FROM b GROUP BY tree_id UNION ALL SELECT NULL, round(sum(n)/count(*),6) FROM b")
     def agg_24(s, d):
-        return bunches(s, d).groupingSets([["tree_id"], []], "tree_id").agg(_r(F.sum("n") / N).alias("factor"))
+        return bunches(s, d).groupingSets([["tree_id"], []], "tree_id").agg(_r(F.sum("n") / N()).alias("factor"))
 
     @q("agg_24_histogram", f"WITH b AS ({bn}) SELECT least(k,4) AS views, count(*) AS n FROM b GROUP BY 1")
     def agg_24h(s, d):
-        return bunches(s, d).groupBy(F.least("k", F.lit(4)).alias("views")).agg(N.alias("n"))
+        return bunches(s, d).groupBy(F.least("k", F.lit(4)).alias("views")).agg(N().alias("n"))
 
     @q("agg_25_label_noise", "SELECT count(*) AS n, CAST(sum(CAST(c>1 AS INT)) AS BIGINT) AS disagreeing, max(spread) AS most_spread FROM (SELECT tree_id, bunch_id, count(DISTINCT cls) AS c, max(cls)-min(cls) AS spread FROM gt_boxes WHERE cls >= 0 AND bunch_id IS NOT NULL AND trim(bunch_id) <> '' AND NOT starts_with(bunch_id,'-') GROUP BY ALL)")
     def agg_25(s, d):
         b = read(s, d, "gt_boxes").where((F.col("cls") >= 0) & F.col("bunch_id").isNotNull() & (F.trim("bunch_id") != "") & ~F.col("bunch_id").startswith("-"))
         g = b.groupBy("tree_id", "bunch_id").agg(F.countDistinct("cls").alias("c"), (F.max("cls") - F.min("cls")).alias("spread"))
-        return g.agg(N.alias("n"), F.count_if(F.col("c") > 1).alias("disagreeing"), F.max("spread").alias("most_spread"))
+        return g.agg(N().alias("n"), F.count_if(F.col("c") > 1).alias("disagreeing"), F.max("spread").alias("most_spread"))
 
     @q("agg_26_class_share", sql("SELECT model, cls, count(*) AS n, round(count(*)/sum(count(*)) OVER (PARTITION BY model),6) AS share, round(count(*)/count(DISTINCT stem),6) AS per_image FROM det GROUP BY model, cls"))
     def agg_26(s, d):
-        g = det(s, d).groupBy("model", "cls").agg(N.alias("n"), F.countDistinct("stem").alias("k"))
+        g = det(s, d).groupBy("model", "cls").agg(N().alias("n"), F.countDistinct("stem").alias("k"))
         return g.select("model", "cls", "n", _r(F.col("n") / F.sum("n").over(Window.partitionBy("model"))).alias("share"), _r(F.try_divide("n", "k")).alias("per_image"))
 
     @q("agg_27_error_parts", greedy_sql("SELECT tree, CAST(sum(missed) AS BIGINT) AS missed, CAST(sum(spurious) AS BIGINT) AS spurious, CAST(sum(wrong) AS BIGINT) AS wrong_class FROM (SELECT g.tree, CAST(f.gt_id IS NULL AS INT) AS missed, 0 AS spurious, CAST(d.cls <> g.cls AS INT) AS wrong FROM gt g LEFT JOIN fin f ON f.stem=g.stem AND f.gt_id=g.gt_id LEFT JOIN det d ON d.stem=f.stem AND d.det_id=f.det_id UNION ALL SELECT tree, 0, 1, 0 FROM det WHERE (stem, det_id) NOT IN (SELECT (stem, det_id) FROM fin)) GROUP BY tree"))
@@ -252,16 +256,16 @@ def register(reg: Registry) -> None:
     @q("agg_28_cancellation", sql(PT_SQL + " SELECT count(*) AS exact_totals, CAST(sum(CAST(a > 0 AS INT)) AS BIGINT) AS by_cancellation FROM (SELECT sum(pred-true_) AS t, sum(abs(pred-true_)) AS a FROM pt GROUP BY tree) WHERE t = 0"))
     def agg_28(s, d):
         g = pred_true(s, d).groupBy("tree").agg(F.sum(F.col("pred") - F.col("true")).alias("t"), F.sum(F.abs(F.col("pred") - F.col("true"))).alias("a"))
-        return g.where("t = 0").agg(N.alias("exact_totals"), F.count_if(F.col("a") > 0).alias("by_cancellation"))
+        return g.where("t = 0").agg(N().alias("exact_totals"), F.count_if(F.col("a") > 0).alias("by_cancellation"))
 
     @q("agg_29_by_views", sql(", v AS (SELECT tree, cls, count(DISTINCT side) AS nview, count(*) AS n FROM det GROUP BY ALL) SELECT nview, cls, count(*) AS groups, CAST(sum(n) AS BIGINT) AS boxes FROM v GROUP BY GROUPING SETS ((nview, cls), (nview), ())"))
     def agg_29(s, d):
-        v = det(s, d).groupBy("tree", "cls").agg(F.countDistinct("side").alias("nview"), N.alias("n"))
-        return v.groupingSets([["nview", "cls"], ["nview"], []], "nview", "cls").agg(N.alias("groups"), F.sum("n").alias("boxes"))
+        v = det(s, d).groupBy("tree", "cls").agg(F.countDistinct("side").alias("nview"), N().alias("n"))
+        return v.groupingSets([["nview", "cls"], ["nview"], []], "nview", "cls").agg(N().alias("groups"), F.sum("n").alias("boxes"))
 
     @q("agg_30_majority", sql(", c AS (SELECT tree, cls, count(*) AS n, min(det_id) AS first FROM det GROUP BY ALL) SELECT tree, cls, n FROM c QUALIFY row_number() OVER (PARTITION BY tree ORDER BY n DESC, first) = 1"))
     def agg_30(s, d):
-        c = det(s, d).groupBy("tree", "cls").agg(N.alias("n"), F.min("det_id").alias("first"))
+        c = det(s, d).groupBy("tree", "cls").agg(N().alias("n"), F.min("det_id").alias("first"))
         return c.groupBy("tree").agg(F.max_by(F.struct("cls", "n"), F.struct("n", -F.col("first"))).alias("m")).select("tree", "m.cls", "m.n")
 
     @q("agg_31_distinct", sql("SELECT model, count(DISTINCT tree) AS trees, count(DISTINCT stem) AS images FROM det GROUP BY model"))
@@ -270,7 +274,7 @@ def register(reg: Registry) -> None:
 
     @q("agg_32_group_features", sql("SELECT tree, cls, count(*) AS members, round(avg(score),6) AS mean, max(score) AS most, min(score) AS least, round(stddev_pop(score),6) AS std, round(avg(x2-x1),6) AS width, CAST(bit_or(1 << side) AS INTEGER) AS side_mask FROM det GROUP BY tree, cls"))
     def agg_32(s, d):
-        return det(s, d).groupBy("tree", "cls").agg(N.alias("members"), _r(F.avg("score")).alias("mean"), F.max("score").alias("most"), F.min("score").alias("least"), _r(F.stddev_pop("score")).alias("std"), _r(F.avg(F.col("x2") - F.col("x1"))).alias("width"), F.bit_or(F.expr("shiftleft(1, side)")).alias("side_mask"))
+        return det(s, d).groupBy("tree", "cls").agg(N().alias("members"), _r(F.avg("score")).alias("mean"), F.max("score").alias("most"), F.min("score").alias("least"), _r(F.stddev_pop("score")).alias("std"), _r(F.avg(F.col("x2") - F.col("x1"))).alias("width"), F.bit_or(F.expr("shiftleft(1, side)")).alias("side_mask"))
 
     bound = """, pair AS (SELECT a.stem, a.det_id, a.cls AS dc, b.gt_id, b.cls AS gc FROM det a JOIN gt b ON a.stem=b.stem WHERE {iou} >= 0.5)
       SELECT (SELECT count(*) FROM gt) AS n_true, count(DISTINCT stem || '/' || gt_id) AS reachable, count(DISTINCT stem || '/' || gt_id) FILTER (dc=gc) AS reachable_same_class FROM pair"""
@@ -278,12 +282,12 @@ def register(reg: Registry) -> None:
     def agg_33(s, d):
         p = matching.theta_join(det(s, d), gt(s, d), ["stem"], "det_id", "gt_id", 0.5, extra=["cls"])
         hit = p.groupBy("stem", "gt_id").agg(F.bool_or(F.col("cls") == F.col("b_cls")).alias("same"))
-        return gt(s, d).select("stem", "gt_id").join(hit, ["stem", "gt_id"], "left").agg(N.alias("n_true"), F.count("same").alias("reachable"), F.count_if(F.col("same")).alias("reachable_same_class"))
+        return gt(s, d).select("stem", "gt_id").join(hit, ["stem", "gt_id"], "left").agg(N().alias("n_true"), F.count("same").alias("reachable"), F.count_if(F.col("same")).alias("reachable_same_class"))
 
     @q("agg_34_agreement", sql("SELECT count(*) AS trees, CAST(sum(CAST(k=1 AS INT)) AS BIGINT) AS all_agree FROM (SELECT tree, count(DISTINCT c) AS k FROM (SELECT tree, model, arg_max(cls, (score, det_id)) AS c FROM det GROUP BY ALL) GROUP BY tree)"))
     def agg_34(s, d):
         votes = det(s, d).groupBy("tree", "model").agg(F.max_by("cls", F.struct("score", "det_id")).alias("c"))
-        return votes.groupBy("tree").agg(F.size(F.collect_set("c")).alias("k")).agg(N.alias("trees"), F.count_if(F.col("k") == 1).alias("all_agree"))
+        return votes.groupBy("tree").agg(F.size(F.collect_set("c")).alias("k")).agg(N().alias("trees"), F.count_if(F.col("k") == 1).alias("all_agree"))
 
     water = """, b AS (SELECT g.stem, g.gt_id, max(a.score) AS s, max(a.score) FILTER (a.cls=g.cls) AS sc FROM gt g LEFT JOIN det a ON a.stem=g.stem AND {iou} >= 0.5 GROUP BY ALL)
       SELECT CASE WHEN s IS NULL THEN '1 missing' WHEN s < 0.4 THEN '2 confidence' WHEN sc IS NULL THEN '3 class' WHEN sc < 0.4 THEN '4 class confidence' ELSE '5 found' END AS stage, count(*) AS n FROM b GROUP BY 1"""
@@ -292,40 +296,40 @@ def register(reg: Registry) -> None:
         p = matching.theta_join(det(s, d), gt(s, d), ["stem"], "det_id", "gt_id", 0.5, extra=["cls"])
         best = p.groupBy("stem", "gt_id").agg(F.max("score").alias("s"), F.max(F.when(F.col("cls") == F.col("b_cls"), F.col("score"))).alias("sc"))
         stage = F.when(F.col("s").isNull(), "1 missing").when(F.col("s") < 0.4, "2 confidence").when(F.col("sc").isNull(), "3 class").when(F.col("sc") < 0.4, "4 class confidence").otherwise("5 found")
-        return gt(s, d).select("stem", "gt_id").join(best, ["stem", "gt_id"], "left").groupBy(stage.alias("stage")).agg(N.alias("n"))
+        return gt(s, d).select("stem", "gt_id").join(best, ["stem", "gt_id"], "left").groupBy(stage.alias("stage")).agg(N().alias("n"))
 
     @q("agg_36_occupancy", sql(", o AS (SELECT g.stem, g.gt_id, count(a.det_id) AS k FROM gt g LEFT JOIN det a ON a.stem=g.stem AND (a.x1+a.x2)/2 BETWEEN g.x1 AND g.x2 AND (a.y1+a.y2)/2 BETWEEN g.y1 AND g.y2 GROUP BY ALL) SELECT k, count(*) AS n FROM o GROUP BY k"))
     def agg_36(s, d):
-        k = matching.contained(det(s, d), gt(s, d), ["stem"], "det_id", "gt_id").groupBy("stem", "gt_id").agg(N.alias("k"))
-        return gt(s, d).select("stem", "gt_id").join(k, ["stem", "gt_id"], "left").groupBy(F.coalesce("k", F.lit(0)).alias("k")).agg(N.alias("n"))
+        k = matching.contained(det(s, d), gt(s, d), ["stem"], "det_id", "gt_id").groupBy("stem", "gt_id").agg(N().alias("k"))
+        return gt(s, d).select("stem", "gt_id").join(k, ["stem", "gt_id"], "left").groupBy(F.coalesce("k", F.lit(0)).alias("k")).agg(N().alias("n"))
 
     @q("agg_37_structure", "SELECT new_split, variety, count(*) AS n_rows, count(DISTINCT tree_id) AS trees, CAST(coalesce(sum(B1),0)+coalesce(sum(B2),0)+coalesce(sum(B3),0)+coalesce(sum(B4),0) AS BIGINT) AS bunches FROM split_manifest GROUP BY ALL")
     def agg_37(s, d):
         total = sum((F.coalesce(F.sum(f"B{i}"), F.lit(0)) for i in (2, 3, 4)), F.coalesce(F.sum("B1"), F.lit(0)))
-        return read(s, d, "split_manifest").groupBy("new_split", "variety").agg(N.alias("n_rows"), F.countDistinct("tree_id").alias("trees"), total.alias("bunches"))
+        return read(s, d, "split_manifest").groupBy("new_split", "variety").agg(N().alias("n_rows"), F.countDistinct("tree_id").alias("trees"), total.alias("bunches"))
 
     p38 = f", b AS (SELECT a.stem, a.det_id, a.score, coalesce(max(v),0) AS v FROM det a LEFT JOIN (SELECT a.stem, a.det_id, {iou_sql('a', 'b')} AS v FROM det a JOIN gt b ON a.stem=b.stem) x ON x.stem=a.stem AND x.det_id=a.det_id GROUP BY ALL)"
     @q("agg_38_precision_by_cut", sql(p38 + f" SELECT tau, count(*) AS n, count(*) FILTER (v >= 0.5) AS right FROM b, {TAU_SQL} WHERE score >= tau GROUP BY tau"))
     def agg_38(s, d):
         best = matching.theta_join(det(s, d), gt(s, d), ["stem"], "det_id", "gt_id", 0.5).select("stem", "det_id").distinct().withColumn("hit", F.lit(True))
         each = det(s, d).select("stem", "det_id", "score").join(best, ["stem", "det_id"], "left").withColumn("tau", F.explode(F.filter(F.lit(TAUS), lambda t: F.col("score") >= t)))
-        return each.groupBy("tau").agg(N.alias("n"), F.count_if(F.coalesce("hit", F.lit(False))).alias("right"))
+        return each.groupBy("tau").agg(N().alias("n"), F.count_if(F.coalesce("hit", F.lit(False))).alias("right"))
 
     r39 = f", m AS (SELECT g.stem, g.gt_id, (g.x2-g.x1)*(g.y2-g.y1) AS area, coalesce(max({iou_sql('a', 'g')}),0) AS v FROM gt g LEFT JOIN det a ON a.stem=g.stem GROUP BY ALL)"
     @q("agg_39_many_to_one_recall", sql(r39 + " SELECT count(*) AS n, round(avg(CAST(v>=0.5 AS INT)),6) AS recall, round(median(area) FILTER (v>=0.5),4) AS hit_area, round(median(area) FILTER (v<0.5),4) AS missed_area, count(*) FILTER (area<1600 AND v<0.5) AS small_missed FROM m"))
     def agg_39(s, d):
         best = matching.theta_join(det(s, d), gt(s, d), ["stem"], "det_id", "gt_id", 0.5).select("stem", "gt_id").distinct().withColumn("hit", F.lit(True))
         g = gt(s, d).select("stem", "gt_id", ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area")).join(best, ["stem", "gt_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-        return g.agg(N.alias("n"), _r(F.avg(F.col("hit").cast("int"))).alias("recall"), _r(F.median(F.when(F.col("hit"), F.col("area"))), 4).alias("hit_area"), _r(F.median(F.when(~F.col("hit"), F.col("area"))), 4).alias("missed_area"), F.count_if((F.col("area") < 1600) & ~F.col("hit")).alias("small_missed"))
+        return g.agg(N().alias("n"), _r(F.avg(F.col("hit").cast("int"))).alias("recall"), _r(F.median(F.when(F.col("hit"), F.col("area"))), 4).alias("hit_area"), _r(F.median(F.when(~F.col("hit"), F.col("area"))), 4).alias("missed_area"), F.count_if((F.col("area") < 1600) & ~F.col("hit")).alias("small_missed"))
 
     @q("agg_40_graph", "WITH e AS (SELECT * FROM edges WHERE score >= 0.05), n AS (SELECT tree_id, side_i AS side, i AS box FROM e UNION ALL SELECT tree_id, side_j, j FROM e) SELECT deg, count(*) AS nodes FROM (SELECT count(*) AS deg FROM n WHERE box IS NOT NULL GROUP BY tree_id, side, box) GROUP BY deg")
     def agg_40(s, d):
         e = read(s, d, "edges").where("score >= 0.05")
         n = e.select("tree_id", F.col("side_i").alias("side"), F.col("i").alias("box")).union(e.select("tree_id", "side_j", "j")).where("box is not null")
-        return n.groupBy("tree_id", "side", "box").agg(N.alias("deg")).groupBy("deg").agg(N.alias("nodes"))
+        return n.groupBy("tree_id", "side", "box").agg(N().alias("deg")).groupBy("deg").agg(N().alias("nodes"))
 
     @q("agg_41_confusion_partials", greedy_sql(", pc AS (SELECT d.tree, d.cls AS p, g.cls AS t, count(*) AS n FROM fin f JOIN det d ON d.stem=f.stem AND d.det_id=f.det_id JOIN gt g ON g.stem=f.stem AND g.gt_id=f.gt_id GROUP BY ALL) SELECT CAST(tree % 5 AS INTEGER) AS part, round(CAST(sum(n) FILTER (p=t) AS DOUBLE)/sum(n),6) AS accuracy, round(CAST(sum(n*abs(p-t)) AS DOUBLE)/sum(n),6) AS ordinal_mae FROM pc GROUP BY 1"))
     def agg_41(s, d):
         m = matched(s, d).select("stem", "det_id", "gt_id").join(det(s, d).select("stem", "tree", "det_id", F.col("cls").alias("p")), ["stem", "det_id"]).join(gt(s, d).select("stem", "gt_id", F.col("cls").alias("t")), ["stem", "gt_id"])
-        part = m.groupBy("tree", "p", "t").agg(N.alias("n"))
+        part = m.groupBy("tree", "p", "t").agg(N().alias("n"))
         return part.groupBy((F.col("tree") % 5).cast("int").alias("part")).agg(_r(F.sum(F.when(F.col("p") == F.col("t"), F.col("n"))) / F.sum("n")).alias("accuracy"), _r(F.sum(F.col("n") * F.abs(F.col("p") - F.col("t"))) / F.sum("n")).alias("ordinal_mae"))

@@ -22,21 +22,20 @@ def _r(c, n: int = 6):
 
 def register(reg: Registry) -> None:
     q = reg.query
-    wh = (F.lit(W), F.lit(H))
 
     @q("prj_01_formats", sql(f"""SELECT stem, det_id, round((x1+x2)/2/{W},6) AS cx, round((y1+y2)/2/{H},6) AS cy, round((x2-x1)/{W},6) AS w, round((y2-y1)/{H},6) AS h,
       round(((x1+x2)/2/{W} - (x2-x1)/{W}/2)*{W},6) AS back_x1, round(x2-x1,6) AS coco_w, round(y2-y1,6) AS coco_h FROM det"""))
     def prj_01(s, d):
         df, b = det(s, d), B.box()
-        cx, cy, w, h = B.to_center(b, *wh)
-        back = B.from_center(cx, cy, w, h, *wh)
+        cx, cy, w, h = B.to_center(b, F.lit(W), F.lit(H))
+        back = B.from_center(cx, cy, w, h, F.lit(W), F.lit(H))
         return df.select("stem", "det_id", _r(cx).alias("cx"), _r(cy).alias("cy"), _r(w).alias("w"), _r(h).alias("h"), _r(back.x1).alias("back_x1"), _r(b.width).alias("coco_w"), _r(b.height).alias("coco_h"))
 
     @q("prj_02_center_features", sql(f"""SELECT stem, det_id, round((x1+x2)/2/greatest({W},1),6) AS ncx, round((y1+y2)/2/greatest({H},1),6) AS ncy,
       round(greatest(x2-x1,1)/greatest({W},1),6) AS nw, round(greatest(y2-y1,1)/greatest({H},1),6) AS nh FROM det"""))
     def prj_02(s, d):
         b, one = B.box(), F.lit(1.0)
-        w, h = F.greatest(wh[0], one), F.greatest(wh[1], one)
+        w, h = F.greatest(F.lit(W), one), F.greatest(F.lit(H), one)
         return det(s, d).select("stem", "det_id", _r((b.x1 + b.x2) / 2 / w).alias("ncx"), _r((b.y1 + b.y2) / 2 / h).alias("ncy"), _r(F.greatest(b.width, one) / w).alias("nw"), _r(F.greatest(b.height, one) / h).alias("nh"))
 
     @q("prj_03_iou", sql(f"SELECT a.stem, a.det_id, b.gt_id, round({iou_sql('a', 'b')},6) AS iou FROM det a JOIN gt b ON a.stem = b.stem WHERE {iou_sql('a', 'b')} > 0"))
@@ -49,7 +48,7 @@ def register(reg: Registry) -> None:
       round(ln((x2-x1)/(y2-y1)),6) AS log_aspect, round(greatest(least(x1,y1,{W}-x2,{H}-y2)/{W},0),6) AS edge FROM det"""))
     def prj_04(s, d):
         b = B.box()
-        return det(s, d).select("stem", "det_id", _r(b.area).alias("area"), _r(F.sqrt(b.area)).alias("root_area"), _r(b.width / b.height).alias("aspect"), _r(F.ln(b.width / b.height)).alias("log_aspect"), _r(B.edge_distance(b, *wh)).alias("edge"))
+        return det(s, d).select("stem", "det_id", _r(b.area).alias("area"), _r(F.sqrt(b.area)).alias("root_area"), _r(b.width / b.height).alias("aspect"), _r(F.ln(b.width / b.height)).alias("log_aspect"), _r(B.edge_distance(b, F.lit(W), F.lit(H))).alias("edge"))
 
     pv = f", pv AS (SELECT stem, det_id, cls, score, model, {P_SQL} AS p, {P_SQL.replace('cls = k', '(cls+1)%4 = k')} AS r FROM det)"
 

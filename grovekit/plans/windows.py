@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from grovekit.operators import selection
@@ -10,7 +10,11 @@ from grovekit.plans.registry import Registry
 from grovekit.plans.roles import det, gt, sql
 from grovekit.scale import read
 
-N = F.count(F.lit(1))
+
+def N() -> Column:
+    """Number of rows."""
+    return F.count(F.lit(1))
+
 
 
 def _r(c, n: int = 6):
@@ -19,11 +23,12 @@ def _r(c, n: int = 6):
 
 def register(reg: Registry) -> None:
     q = reg.query
-    side = Window.partitionBy("tree", "side")
+    def side():
+        return Window.partitionBy("tree", "side")
 
     @q("win_01_rank_share", sql("SELECT stem, det_id, round((row_number() OVER (PARTITION BY tree, side ORDER BY x1, det_id)-1)/greatest(count(*) OVER (PARTITION BY tree, side)-1,1),6) AS r FROM det"))
     def win_01(s, d):
-        return det(s, d).select("stem", "det_id", _r((F.row_number().over(side.orderBy("x1", "det_id")) - 1) / F.greatest(N.over(side) - 1, F.lit(1))).alias("r"))
+        return det(s, d).select("stem", "det_id", _r((F.row_number().over(side().orderBy("x1", "det_id")) - 1) / F.greatest(N().over(side()) - 1, F.lit(1))).alias("r"))
 
     @q("win_02_robust_z", sql(", m AS (SELECT *, median(y1) OVER (PARTITION BY stem) AS c FROM det) SELECT stem, det_id, round((y1-c)/greatest(1.4826*median(abs(y1-c)) OVER (PARTITION BY stem),1),6) AS z FROM m"))
     def win_02(s, d):
@@ -92,7 +97,7 @@ def register(reg: Registry) -> None:
     # ------------------------------------------------------------ sorts and top-k
     @q("srt_01_ranking", "SELECT o_custkey, n, total FROM (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice),2) AS total FROM orders GROUP BY 1) ORDER BY n DESC, total, o_custkey LIMIT 30")
     def srt_01(s, d):
-        g = read(s, d, "orders").groupBy("o_custkey").agg(N.alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+        g = read(s, d, "orders").groupBy("o_custkey").agg(N().alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
         return g.orderBy(F.desc("n"), "total", "o_custkey").limit(30)
 
     modes = {"score": "score", "support": "score*sqrt(n)", "max_member": "most", "class_conf": "score*purity", "score_power": "pow(score,0.5)*pow(purity,2)"}
@@ -102,9 +107,9 @@ def register(reg: Registry) -> None:
 
         @q(f"srt_02_reconcile_{mode}", sql(body))
         def srt_02(s, d, mode=mode):
-            c = det(s, d).groupBy("tree", "cls").agg(N.alias("n"), F.avg("score").alias("score"), F.max("score").alias("most"))
+            c = det(s, d).groupBy("tree", "cls").agg(N().alias("n"), F.avg("score").alias("score"), F.max("score").alias("most"))
             p = c.withColumn("purity", F.col("n") / F.sum("n").over(Window.partitionBy("tree")))
-            t = gt(s, d).groupBy("tree").agg(F.ceil(N / 6.0).cast("int").alias("target"))
+            t = gt(s, d).groupBy("tree").agg(F.ceil(N() / 6.0).cast("int").alias("target"))
             return selection.capped(p.join(t, "tree"), "tree", [F.desc(F.round(selection.RANK_MODES[mode], 9)), F.col("cls")], "target").select("tree", "cls")
 
     @q("srt_03_argmin_tie", sql("SELECT tree, arg_min(det_id, (score, stem, det_id)) AS lowest, arg_max(det_id, (score, stem, det_id)) AS highest FROM det GROUP BY tree"))
@@ -123,18 +128,18 @@ def register(reg: Registry) -> None:
 
     @q("srt_06_dominates", "SELECT o_custkey FROM (SELECT o_custkey, count(*) AS n, avg(o_totalprice) AS p FROM orders GROUP BY 1) WHERE n >= (SELECT count(*) FROM orders WHERE o_custkey=1) AND p >= (SELECT avg(o_totalprice) FROM orders WHERE o_custkey=1)")
     def srt_06(s, d):
-        g = read(s, d, "orders").groupBy("o_custkey").agg(N.alias("n"), F.avg("o_totalprice").alias("p"))
+        g = read(s, d, "orders").groupBy("o_custkey").agg(N().alias("n"), F.avg("o_totalprice").alias("p"))
         return selection.dominating(g, g.where("o_custkey = 1"), ["n", "p"]).select("o_custkey")
 
     @q("srt_07_subset_search", "SELECT a.k AS m1, b.k AS m2, count(*) AS n FROM (SELECT DISTINCT l_suppkey % 3 AS k FROM lineitem) a JOIN (SELECT DISTINCT l_suppkey % 3 AS k FROM lineitem) b ON a.k < b.k JOIN lineitem l ON l.l_suppkey % 3 IN (a.k, b.k) GROUP BY ALL ORDER BY n DESC, m1, m2 LIMIT 1")
     def srt_07(s, d):
-        per = det(s, d).groupBy("model").agg(N.alias("n"))
+        per = det(s, d).groupBy("model").agg(N().alias("n"))
         return selection.best_subset(per, "model", "n", 2)
 
     @q("srt_08_hardest_images", sql("SELECT g.stem, count(*) AS missed FROM gt g LEFT JOIN det d ON d.stem=g.stem AND d.cls=g.cls AND d.score >= 0.6 WHERE d.stem IS NULL GROUP BY g.stem ORDER BY missed DESC, g.stem LIMIT 20"))
     def srt_08(s, d):
         sure = det(s, d).where("score >= 0.6").select("stem", "cls")
-        return gt(s, d).join(sure, ["stem", "cls"], "left_anti").groupBy("stem").agg(N.alias("missed")).orderBy(F.desc("missed"), "stem").limit(20)
+        return gt(s, d).join(sure, ["stem", "cls"], "left_anti").groupBy("stem").agg(N().alias("missed")).orderBy(F.desc("missed"), "stem").limit(20)
 
     @q("srt_09_weighted_objective", sql("SELECT model, round(0.55*avg(CAST(cls=1 AS INT)) + 0.40*avg(score) + 0.05*min(score),6) AS value FROM det GROUP BY model ORDER BY value DESC, model LIMIT 1"))
     def srt_09(s, d):
@@ -160,13 +165,13 @@ def register(reg: Registry) -> None:
 
     @q("set_04_key_check", sql(", k AS (SELECT stem, line, count(*) AS n FROM det GROUP BY ALL) SELECT count(*) FILTER (n > 1) AS repeated, (SELECT count(*) FROM (SELECT DISTINCT stem FROM gt EXCEPT SELECT stem FROM det WHERE model=0)) AS missing, (SELECT count(*) FROM (SELECT DISTINCT stem FROM det WHERE model=0 EXCEPT SELECT stem FROM gt)) AS extra FROM k"))
     def set_04(s, d):
-        rep = det(s, d).groupBy("stem", "line").agg(N.alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated"))
+        rep = det(s, d).groupBy("stem", "line").agg(N().alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated"))
         return rep.crossJoin(selection.key_difference(det(s, d).where("model = 0"), gt(s, d), ["stem"]))  # one row each
 
     @q("set_05_bag_concat", sql("SELECT model, count(*) AS n FROM (SELECT 10 AS model, stem FROM det WHERE cls=0 UNION ALL SELECT 11, stem FROM det WHERE cls=1 UNION ALL SELECT 12, stem FROM gt) GROUP BY model"))
     def set_05(s, d):
         bags = [det(s, d).where("cls = 0").select("stem"), det(s, d).where("cls = 1").select("stem"), gt(s, d).select("stem")]
-        return selection.bag_union(bags, "model", start=10).groupBy("model").agg(N.alias("n"))
+        return selection.bag_union(bags, "model", start=10).groupBy("model").agg(N().alias("n"))
 
     @q("set_06_split_overlap", "SELECT a.new_split AS split_a, b.new_split AS split_b, count(DISTINCT a.tree_id) AS trees FROM split_manifest a JOIN split_manifest b ON a.tree_id=b.tree_id AND a.new_split < b.new_split GROUP BY ALL")
     def set_06(s, d):
@@ -177,7 +182,7 @@ def register(reg: Registry) -> None:
     @q("set_07_fold_complement", "SELECT f.k AS fold, count(*) AS train_rows FROM orders, range(0,5) f(k) WHERE o_custkey % 5 <> f.k GROUP BY 1")
     def set_07(s, d):
         folds = F.explode(F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint")), lambda k: k != F.col("o_custkey") % 5))
-        return read(s, d, "orders").select(folds.alias("fold")).groupBy("fold").agg(N.alias("train_rows"))
+        return read(s, d, "orders").select(folds.alias("fold")).groupBy("fold").agg(N().alias("train_rows"))
 
     @q("set_08_identical_models", sql(", v AS (SELECT model, cls, round(avg(score),1) AS a FROM det GROUP BY ALL) SELECT a.model AS m1, b.model AS m2, max(abs(a.a-b.a)) < 0.05 AS same FROM v a JOIN v b ON a.cls=b.cls AND a.model<b.model GROUP BY ALL"))
     def set_08(s, d):
