@@ -21,3 +21,15 @@ def aligned(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]) -> D
     both = left.join(right, keys, "full")
     count = lambda c, name: F.count_if(c).alias(name)
     return both.agg(count(F.col("_vb").isNull(), "only_left"), count(F.col("_va").isNull(), "only_right"), count(F.col("_va").isNotNull() & F.col("_vb").isNotNull() & ~F.col("_va").eqNullSafe(F.col("_vb")), "differing"))
+
+
+def anchored(df: DataFrame, c: str, expected: float, tolerance: float) -> DataFrame:
+    """The same rows; the job fails where ``c`` is further than ``tolerance`` from a recorded number."""
+    return require(df, {f"{c} isn't {expected:g} within {tolerance:g}": F.abs(F.col(c) - expected) <= tolerance})
+
+
+def take_lock(spark, path: str) -> bool:
+    """Whether this call created the lock file: a locked evaluation runs once."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(fs.createNewFile(p))
