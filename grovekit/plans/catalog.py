@@ -7,7 +7,7 @@ import importlib
 from grovekit.plans.registry import Registry
 
 #: Modules with a ``register(registry)`` function, in order.
-MODULES = [f"grovekit.plans.{m}" for m in ("documents", "projections", "joins", "aggregates", "windows", "groups", "io", "models")]
+MODULES = [f"grovekit.plans.{m}" for m in ("documents", "projections", "joins", "aggregates", "windows", "groups", "io", "models", "surfaces")]
 
 
 def build() -> Registry:
