@@ -6,6 +6,7 @@ Nothing here collects rows to the driver.  Working tables are ordinary Parquet t
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import tempfile
 import uuid
@@ -31,11 +32,12 @@ class Workspace:
     """Working tables of one job under :func:`shared_dir`.
 
     ``save`` cuts the lineage: it writes the frame as Parquet and returns a frame that reads it.  ``drop`` removes a table as
-    soon as no later step needs it; ``close`` removes the rest (only when no returned frame reads them).
+    soon as no later step needs it; ``close`` removes the rest, at the latest when the program ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        atexit.register(self.close)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -45,9 +47,8 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
         with contextlib.suppress(Exception):
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def drop(self, *names: str) -> None:
