@@ -25,7 +25,7 @@ from grovekit.functions.names import split_name, tree_key
 from grovekit.scale import Workspace, read
 
 TOLERANCE, EPS = 0.01, 1e-9
-CELL = 0.02  # at least twice the tolerance: then a box lies near at most two cells a dimension
+CELL = 0.02  # about twice the tolerance: then a box lies near two cells a dimension, near three if it is at a cell's centre
 LEAST_BOXES, SHARE = 6, (4, 5)
 SPARE = 4
 SHARD_PASSAGES, SALT_TEXTS = 150_000, 1_000_000  # passages in an automaton; tokens of training texts in one pass of it
@@ -73,12 +73,11 @@ def text_tokens(boxes: DataFrame) -> DataFrame:
 
 
 def passage_tokens(boxes: DataFrame) -> DataFrame:
-    """Each box under every cell that may hold a box within the tolerance."""
-    reach = TOLERANCE + EPS
+    """Each box under every cell that may hold a box within the tolerance, those between the two ends of its reach too."""
+    reach = TOLERANCE + 2 * EPS  # beyond what the exact test allows, so rounding loses no cell
     out = boxes
     for d in range(4):
-        near = F.array_distinct(F.array(_cell(F.col("v")[d] - reach), _cell(F.col("v")[d] + reach)))
-        out = out.withColumn(f"c{d}", F.explode(near))
+        out = out.withColumn(f"c{d}", F.explode(F.sequence(_cell(F.col("v")[d] - reach), _cell(F.col("v")[d] + reach))))
     return out.withColumn("token", _token([F.col(f"c{d}") for d in range(4)])).drop("c0", "c1", "c2", "c3")
 
 
