@@ -110,100 +110,152 @@ def loose_components(n: int, gain: np.ndarray) -> list[list[int]]:
 
 
 def clique_partition(sides: Sequence[int], gain: np.ndarray, cap: int, most: int = 34, budget: int = 200_000) -> list[int]:
+    """Labels of ``cliques_checked``."""
+    return cliques_checked(sides, gain, cap, most, budget)[0]
+
+
+def cliques_checked(sides: Sequence[int], gain: np.ndarray, cap: int, most: int = 34, budget: int = 200_000) -> tuple[list[int], list[bool]]:
     """Partition into side-disjoint cliques of largest summed gain (log-odds minus threshold, may be negative), exactly.
 
     Branch and bound per loose component of at most ``most`` nodes, within ``budget`` steps; beyond either, average-linkage
-    agglomeration, which is no worse than leaving all apart.
+    agglomeration, which is no worse than leaving all apart.  The second list tells of each node whether its component was
+    solved exactly.
     """
-    label = list(range(len(sides)))
+    label, exact = list(range(len(sides))), [True] * len(sides)
     for comp in loose_components(len(sides), gain):
-        found = _branch([sides[i] for i in comp], gain[np.ix_(comp, comp)], cap, budget) if len(comp) <= most else None
-        if found is None:
-            found = agglomerate([sides[i] for i in comp], gain[np.ix_(comp, comp)], 1e-12, cap)
-        for i, g in zip(comp, found, strict=True):
-            label[i] = comp[g]
-    return label
-
-
-def _branch(sides: Sequence[int], gain: np.ndarray, cap: int, budget: int) -> list[int] | None:
-    n = len(sides)
-    pos = np.maximum(gain, 0)
-    rest = [float(sum(pos[i, :i].sum() for i in range(k, n))) for k in range(n + 1)]  # most that nodes k.. can still add
-    best: list = [0.0, list(range(n))]
+        if len(comp) == 1:
+            continue
+        own, g = [sides[i] for i in comp], gain[np.ix_(comp, comp)]
+        chosen = _packing(len(comp), _sets(own, g, cap, False), budget) if len(comp) <= most else None
+        found = agglomerate(own, g, 1e-12, cap) if chosen is None else _labels(len(comp), chosen)
+        for i, x in zip(comp, found, strict=True):
+            label[i], exact[i] = comp[x], chosen is not None
+    return label, exact
+
+
+def _labels(n: int, chosen: list[tuple[int, ...]]) -> list[int]:
+    out = list(range(n))
+    for c in chosen:
+        for i in c:
+            out[i] = c[0]
+    return out
+
+
+def _sets(sides: Sequence[int], gain: np.ndarray, most: int, connected: bool) -> list[tuple[float, tuple[int, ...]]]:
+    """Side-disjoint sets of 2 to ``most`` nodes with summed pair gain above 0; ``connected``: over pairs of positive gain."""
+    n, g = len(sides), gain.tolist()
+    near = [sum(1 << j for j in range(n) if g[i][j] > 0 and j != i) for i in range(n)]
+    out: list[tuple[float, tuple[int, ...]]] = []
+
+    def whole(c: tuple[int, ...]) -> bool:
+        left, reached = sum(1 << i for i in c), 1 << c[0]
+        while True:
+            more = reached
+            for i in c:
+                if reached >> i & 1:
+                    more |= near[i] & left
+            if more == reached:
+                return reached == left
+            reached = more
+
+    def grow(c: tuple[int, ...], taken: int, v: float) -> None:
+        if len(c) > 1 and v > 0 and (not connected or whole(c)):
+            out.append((v, c))
+        if len(c) < most:
+            for j in range(c[-1] + 1, n):
+                if not taken >> sides[j] & 1:
+                    grow((*c, j), taken | 1 << sides[j], v + sum(g[i][j] for i in c))
+
+    for i in range(n):
+        grow((i,), 1 << sides[i], 0.0)
+    return out
+
+
+def _greedy(sets: list[tuple[float, tuple[int, ...]]]) -> list[tuple[int, ...]]:
+    chosen, used = [], set()
+    for _, c in sorted(sets, key=lambda s: (-s[0], s[1])):
+        if used.isdisjoint(c):
+            chosen.append(c)
+            used.update(c)
+    return chosen
+
+
+def _packing(n: int, sets: list[tuple[float, tuple[int, ...]]], budget: int) -> list[tuple[int, ...]] | None:
+    """Disjoint sets of largest summed value, exactly; None beyond ``budget`` steps.
+
+    Each node gets a price, so that no set is worth more than its nodes' prices; the prices' sum bounds every choice.  A set
+    loses its prices minus its value, a node left alone its price; the search for the least loss prunes what has lost as much
+    as the best so far, or as an earlier way to the same nodes left.
+    """
+    if not sets:
+        return []
+    v, m = np.array([s[0] for s in sets]), np.zeros((len(sets), n))
+    for r, (_, c) in enumerate(sets):
+        m[r, list(c)] = 1
+    price = (v[:, None] / m.sum(axis=1)[:, None] * m).max(axis=0)
+    of, rest = [np.flatnonzero(m[:, i]) for i in range(n)], v - m @ price
+    for turn in range(20):
+        total = price.sum()
+        for i in np.roll(np.argsort(-price, kind="stable"), turn):
+            step = max(float(rest[of[i]].max()) if len(of[i]) else -np.inf, -float(price[i]))
+            price[i] += step
+            rest[of[i]] -= step
+        if total - price.sum() < 1e-9:
+            break
+    rank = np.argsort(-price, kind="stable")
+    place = {int(i): k for k, i in enumerate(rank)}
+    options: list[list] = [[(float(price[rank[k]]), 1 << k, None)] for k in range(n)]
+    for r, (_, c) in enumerate(sets):
+        at = [place[i] for i in c]
+        options[min(at)].append((max(0.0, -float(rest[r])), sum(1 << k for k in at), c))
+    for o in options:
+        o.sort(key=lambda x: (x[0], x[1]))
+    first = _greedy(sets)
+    value = dict((c, w) for w, c in sets)
+    best = [float(price.sum()) - sum(value[c] for c in first) + 1e-9, first]
+    seen: dict[int, float] = {}
     steps = 0
 
-    def go(k: int, groups: list[list[int]], value: float) -> bool:
+    def go(left: int, loss: float, chosen: list) -> bool:
         nonlocal steps
-        steps += 1
-        if steps > budget:
-            return False
-        if value + rest[k] <= best[0] and k < n:
-            return True
-        if k == n:
-            if value > best[0]:
-                best[0], best[1] = value, [g for _, g in sorted((i, g[0]) for g in groups for i in g)]
+        if not left:
+            best[0], best[1] = loss, [c for c in chosen if c]
             return True
-        options = [(float(gain[k, g].sum()), x) for x, g in enumerate(groups) if len(g) < cap and sides[k] not in {sides[i] for i in g}]
-        for v, x in sorted(options, reverse=True):
-            groups[x].append(k)
-            ok = go(k + 1, groups, value + v)
-            groups[x].pop()
-            if not ok:
-                return False
-        groups.append([k])
-        ok = go(k + 1, groups, value)
-        groups.pop()
-        return ok
-
-    return best[1] if go(0, [], 0.0) else None
-
-
-def set_partition(sides: Sequence[int], gain: np.ndarray, most_members: int = 4, exact: int = 16) -> list[int]:
+        for more, mask, c in options[(left & -left).bit_length() - 1]:
+            if loss + more >= best[0] - 1e-12:
+                break
+            if mask & left == mask and loss + more < seen.get(left & ~mask, np.inf):
+                steps += 1
+                if steps > budget:
+                    return False
+                seen[left & ~mask] = loss + more
+                if not go(left & ~mask, loss + more, [*chosen, c]):
+                    return False
+        return True
+
+    return best[1] if go((1 << n) - 1, 0.0, []) else None
+
+
+def set_partition(sides: Sequence[int], gain: np.ndarray, most_members: int = 4, budget: int = 200_000) -> list[int]:
+    """Labels of ``sets_checked``."""
+    return sets_checked(sides, gain, most_members, budget)[0]
+
+
+def sets_checked(sides: Sequence[int], gain: np.ndarray, most_members: int = 4, budget: int = 200_000) -> tuple[list[int], list[bool]]:
     """Choose disjoint connected, side-disjoint subsets of at most ``most_members`` nodes with the largest summed pair gain.
 
-    Exact by dynamic programming over bit masks for loose components of up to ``exact`` nodes, greedy by gain beyond.
+    Exact by branch and bound for each loose component, of any size, within ``budget`` steps; greedy by gain beyond.  The
+    second list tells of each node whether its component was solved exactly.
     """
-    label = list(range(len(sides)))
+    label, exact = list(range(len(sides))), [True] * len(sides)
     for comp in loose_components(len(sides), gain):
-        n = len(comp)
-        if n == 1:
+        if len(comp) == 1:
             continue
-        sets = []
-        for size in range(2, min(most_members, n) + 1):
-            for c in combinations(range(n), size):
-                if len({sides[comp[i]] for i in c}) < size:
-                    continue
-                v = float(sum(gain[comp[i], comp[j]] for i, j in combinations(c, 2)))
-                if v > 0 and len(loose_components(size, gain[np.ix_([comp[i] for i in c], [comp[i] for i in c])])) == 1:
-                    sets.append((v, sum(1 << i for i in c), c))
-        if n <= exact:
-            value, pick = {0: 0.0}, {0: None}
-            by_low: dict[int, list] = {}
-            for s in sets:
-                by_low.setdefault(s[2][0], []).append(s)
-            for mask in range(1, 1 << n):
-                low = (mask & -mask).bit_length() - 1
-                value[mask], pick[mask] = value[mask & ~(1 << low)], None
-                for v, m, c in by_low.get(low, ()):
-                    if m & mask == m and value[mask & ~m] + v > value[mask] + 1e-15:
-                        value[mask], pick[mask] = value[mask & ~m] + v, (m, c)
-            mask, chosen = (1 << n) - 1, []
-            while mask:
-                if pick[mask]:
-                    chosen.append(pick[mask][1])
-                    mask &= ~pick[mask][0]
-                else:
-                    mask &= mask - 1
-        else:
-            chosen, used = [], 0
-            for _, m, c in sorted(sets, key=lambda s: (-s[0], s[2])):
-                if not m & used:
-                    chosen.append(c)
-                    used |= m
-        for c in chosen:
-            for i in c:
-                label[comp[i]] = comp[c[0]]
-    return label
+        sets = _sets([sides[i] for i in comp], gain[np.ix_(comp, comp)], most_members, True)
+        chosen = _packing(len(comp), sets, budget)
+        for i, x in zip(comp, _labels(len(comp), _greedy(sets) if chosen is None else chosen), strict=True):
+            label[i], exact[i] = comp[x], chosen is not None
+    return label, exact
 
 
 def quota_assignment(p: np.ndarray, quota: Sequence[int]) -> list[int]:

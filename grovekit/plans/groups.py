@@ -102,13 +102,19 @@ def register(reg: Registry) -> None:
     def gain(w):
         return np.where(w > 0, np.log(np.clip(w, 1e-6, 1 - 1e-6) / (1 - np.clip(w, 1e-6, 1 - 1e-6))), -20.0)
 
+    def linked_checked(s, d, fn):
+        def run(rows):
+            sides, w = linking.view_weights(rows)
+            return [(r["det_id"], rows[g]["det_id"], x) for r, g, x in zip(rows, *fn(sides, gain(w)), strict=True)]
+        return per_group(tree_boxes(s, d), ["tree"], ["side", "det_id"], ["side", *FIELDS], run, "det_id bigint, cluster bigint, exact boolean")
+
     @q("grp_09_clique_partition")
     def grp_09(s, d):
-        return linked(s, d, lambda sides, w: linking.clique_partition(sides, gain(w), 3, most=12, budget=5000))
+        return linked_checked(s, d, lambda sides, g: linking.cliques_checked(sides, g, 3))
 
     @q("grp_10_set_partition")
     def grp_10(s, d):
-        return linked(s, d, lambda sides, w: linking.set_partition(sides, gain(w), 4, exact=10))
+        return linked_checked(s, d, lambda sides, g: linking.sets_checked(sides, g, 4))
 
     @q("grp_11_components", "WITH e AS (SELECT DISTINCT tree_id, least(side_i*1000000+i, side_j*1000000+j) AS a, greatest(side_i*1000000+i, side_j*1000000+j) AS b FROM edges WHERE i IS NOT NULL AND j IS NOT NULL AND score >= 0.9), sym AS (SELECT tree_id, a, b FROM e UNION SELECT tree_id, b, a FROM e), seed AS (SELECT * FROM sym) SELECT tree_id, a AS node, min(w) AS label FROM (WITH RECURSIVE reach AS (SELECT tree_id, a, b AS w FROM seed UNION SELECT tree_id, a, a FROM seed UNION SELECT r.tree_id, r.a, s.b FROM reach r JOIN seed s ON s.tree_id=r.tree_id AND s.a=r.w) SELECT * FROM reach) GROUP BY ALL")
     def grp_11(s, d):
