@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from grovekit.operators import nested
 from grovekit.plans.registry import Registry
 from grovekit.plans.roles import det, sql
-from grovekit.scale import Workspace, read
+from grovekit.scale import Workspace, read, tidy
 from grovekit.sources import files, sinks
 
 SPLITS = "CASE WHEN lower(trim(new_split)) IN ('train','latih') THEN 'train' WHEN lower(trim(new_split)) IN ('val','valid','validasi') THEN 'val' WHEN lower(trim(new_split)) IN ('test','uji') THEN 'test' END"
@@ -58,6 +58,12 @@ def register(reg: Registry) -> None:
         tree, side = files.tree_and_side(F.col("tree_id"))
         return read(s, d, "split_manifest").where(~F.col("tree_id").contains("\t")).select("row_id", tree.alias("tree"), side.alias("side"))
 
+    @q("src_06_key_parsing_all")
+    def src_06a(s, d):
+        """Keys of all rows, without marks and blanks (tabs too) around the name; a null name has neither tree nor side."""
+        tree, side = files.tree_and_side(tidy(F.col("tree_id")))
+        return read(s, d, "split_manifest").select("row_id", tree.alias("tree"), side.alias("side"))
+
     @q("src_07_raw_depth", sql("SELECT path, max(mm) AS most, count(*) AS n FROM (SELECT CAST(tree % 16 AS VARCHAR) AS path, CAST(y1 AS INT) % 48 AS v, CAST(x1 AS INT) % 64 AS u, max(CAST(floor(score*5000) AS INTEGER)+1) AS mm FROM det GROUP BY ALL) GROUP BY 1"))
     def src_07(s, d):
         px = det(s, d).groupBy((F.col("tree") % 16).cast("string").alias("path"), (F.col("y1").cast("int") % 48).alias("v"), (F.col("x1").cast("int") % 64).alias("u")).agg(F.max(F.floor(F.col("score") * 5000).cast("int") + 1).alias("mm"))
