@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,15 +62,29 @@ def forward_blend(df: DataFrame, members: Sequence[str], true: str, most: int, w
     return df.sparkSession.createDataFrame(trail, "step int, member string, weight double, mae double")
 
 
-def best_cut_triple(df: DataFrame, value: str, cls: str, grid: Sequence[int]) -> DataFrame:
-    """Cuts a < b < c with most rows whose class equals the number of cuts reached; ties to the smallest a, b, c."""
-    hist = df.groupBy(value, cls).agg(N().alias("n"))
-    triples = [(a, b, c) for a in grid for b in grid for c in grid if a < b < c]
-    t = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("abc", t, strict=True)]) for t in triples]))
-    each = hist.withColumn("t", t)
-    got = sum(((F.col(value) >= F.col(f"t.{k}")).cast("int") for k in "bc"), (F.col(value) >= F.col("t.a")).cast("int"))
-    scored = each.groupBy("t").agg(F.sum(F.when(got == F.col(cls), F.col("n")).otherwise(0)).alias("hits"))
-    return scored.select("t.a", "t.b", "t.c", "hits").orderBy(F.desc("hits"), "a", "b", "c").limit(1)
+def best_cut_triple(df: DataFrame, value: str, cls: str, grid: Sequence[int] | None = None) -> DataFrame:
+    """Cuts a < b < c with most rows whose class equals the number of cuts reached; ties to the smallest a, b, c.
+
+    Without ``grid`` every cut that tells rows apart is tried, and those beside them that put all rows on one side.  A triple's
+    hits are differences of the classes' running counts over the grid; only the histogram comes to the driver.
+    """
+    hist = df.groupBy(value, cls).agg(N().alias("n")).collect()
+    known = [(int(r[value]), r[cls], r["n"]) for r in hist if r[value] is not None]
+    if grid is None:
+        grid = range(min(v for v, _, _ in known) - 2, max(v for v, _, _ in known) + 4) if known else []
+    g = np.array(sorted({int(x) for x in grid}), dtype=np.int64)
+    below = np.array([[sum(n for v, k, n in known if k == c and v < x) for x in g] for c in range(4)], dtype=np.int64)
+    total = sum(n for _, k, n in known if k == 3)
+    best = None
+    if hist and len(g) >= 3:
+        first, third = below[0] - below[1], below[2] - below[3] + total
+        for i in range(len(g) - 2):
+            hits = first[i] + (below[1] - below[2])[i + 1 : -1, None] + third[None, i + 2 :]
+            hits = np.where(np.arange(hits.shape[1])[None] >= np.arange(hits.shape[0])[:, None], hits, -1)
+            j, k = np.unravel_index(int(np.argmax(hits)), hits.shape)
+            if best is None or hits[j, k] > best[3]:
+                best = (int(g[i]), int(g[i + 1 + j]), int(g[i + 2 + k]), int(hits[j, k]))
+    return df.sparkSession.createDataFrame([best] if best else [], "a int, b int, c int, hits bigint")
 
 
 def project_integers(df: DataFrame, key: str, part: str, x: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -28,6 +29,29 @@ def gram(df: DataFrame, features: Sequence[str], target: str, by: str | None = N
     return out
 
 
+def gram_vector(df: DataFrame, vector: str, target: str, size: int) -> np.ndarray:
+    """Second moments of (1, vector's components, target): summed in each task, then by place.
+
+    Rows without target or without a vector of ``size`` known components don't count.
+    """
+    whole = F.col(vector).isNotNull() & (F.size(vector) == size) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
+    rows = df.where(whole & F.col(target).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"), F.col(target).cast("double").alias("y"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = np.zeros((size + 2, size + 2))
+        for pdf in batches:
+            if len(pdf):
+                x = np.column_stack([np.ones(len(pdf)), np.array(pdf["v"].tolist(), dtype=float), pdf["y"].to_numpy(float)])
+                m += x.T @ x
+        yield pd.DataFrame({"m": [m.ravel()]})
+
+    sums = rows.mapInPandas(run, "m array<double>").select(F.posexplode("m").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()  # (size + 2) squared numbers
+    out = np.zeros((size + 2) ** 2)
+    for r in sums:
+        out[r["at"]] = r["x"]
+    return out.reshape(size + 2, size + 2)
+
+
 def solve_ridge(m: np.ndarray, alpha: float) -> tuple[float, np.ndarray]:
     """(intercept, coefficients on the raw features) of ridge on standardised features from second moments."""
     n = m[0, 0]

@@ -146,10 +146,12 @@ def register(reg: Registry) -> None:
 
     @q("mlx_13_ordinal_probe")
     def mlx_13(s, d):
-        e = read(s, d, "embeddings").select("label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(4)])
-        b, w = M.solve_ridge(M.gram(e, [f"e{i}" for i in range(4)], "label")[None], 1.0)
-        z = e.select("label", F.rint(M.predict([f"e{i}" for i in range(4)], b, w) * 4).cast("int").alias("g"))
-        return calibration.best_cut_triple(z.withColumn("label", F.least("label", F.lit(3))), "g", "label", list(range(2, 14, 2)))
+        parts = [f"e{i}" for i in range(64)]
+        whole = read(s, d, "embeddings")
+        b, w = M.solve_ridge(M.gram_vector(whole, "embedding", "label", len(parts)), 1.0)
+        e = whole.select("label", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(parts)])
+        z = e.select(F.least("label", F.lit(3)).alias("label"), F.rint(M.predict(parts, b, w) * 4).cast("int").alias("g"))
+        return calibration.best_cut_triple(z, "g", "label")
 
     @q("mlx_15_sample_weights", sql(", c AS (SELECT count(*) FILTER (cls=3) AS p, count(*) AS n FROM det) SELECT CAST(cls=3 AS INTEGER) AS pos, count(*) AS rows, round(max(CASE WHEN cls=3 THEN least(30.0, (n-p)/CAST(greatest(p,1) AS DOUBLE)) ELSE 1 END),6) AS weight FROM det, c GROUP BY 1"))
     def mlx_15(s, d):
