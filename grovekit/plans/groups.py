@@ -151,6 +151,11 @@ def register(reg: Registry) -> None:
         g = probs(det(s, d)).select("cls", F.floor(V.expectation(F.col("p")) * 20).cast("int").alias("b"))
         return C.best_cut_triple(g, "b", "cls", [k * 5 for k in range(1, 12)])
 
+    @q("grp_15_threshold_triple_full")
+    def grp_15f(s, d):
+        g = probs(det(s, d)).select("cls", F.floor(V.expectation(F.col("p")) * 20).cast("int").alias("b"))
+        return C.best_cut_triple(g, "b", "cls", range(2, 60))  # 0.10 to 2.95 in steps of 0.05
+
     cal = sql(f""", n AS (SELECT tree, k AS cls, tau, count(*) FILTER (d.cls=k AND score >= tau) AS n FROM det d, range(4) r(k), {TAU_SQL} GROUP BY ALL), y AS (SELECT tree, k AS cls, count(*) FILTER (g.cls=k) AS y FROM gt g, range(4) r(k) GROUP BY ALL),
       ks AS (SELECT CAST(x AS DOUBLE)/100 AS k FROM range(20,301) r(x)), hist AS (SELECT cls, tau, n, y, count(*) AS w FROM y JOIN n USING (tree, cls) GROUP BY ALL),
       m AS (SELECT cls, tau, k, sum(w*abs(round_even(k*n,0)-y))/sum(w) AS mae FROM hist, ks GROUP BY ALL) SELECT CAST(cls AS INTEGER) AS cls, tau, k, round(mae,6) AS mae FROM m QUALIFY row_number() OVER (PARTITION BY cls ORDER BY round(mae,9), tau, k)=1""")
@@ -175,6 +180,10 @@ def register(reg: Registry) -> None:
     def grp_17(s, d):
         return C.fit_affine(pred_true(s, d), "cls", "pred", "true", [k / 20 for k in range(16, 25)], [k / 4 for k in range(-6, 7)])
 
+    @q("grp_17_affine_full")
+    def grp_17f(s, d):
+        return C.fit_affine(pred_true(s, d), "cls", "pred", "true", [k / 40 for k in range(32, 49)], [k / 20 for k in range(-30, 31)])
+
     @q("grp_17_forward_blend")
     def grp_17b(s, d):
         wide = A.class_counts(gt(s, d), ["tree"], "cls", 4).withColumnRenamed("n", "y")
