@@ -13,6 +13,14 @@ def draws(n: int, replicate: Column, i: Column) -> Column:
     return F.pmod(replicate * F.lit(1103515245) + i * F.lit(12345) + F.lit(42), F.lit(n))
 
 
+def hashed_draws(n: int, replicate: Column, i: Column) -> Column:
+    """The i-th drawn position of a replicate, by hash: positions repeat and are missed as in independent draws.
+
+    ``draws`` goes through the positions in equal steps, so it draws each equally often wherever 12345 and n share no factor.
+    """
+    return F.pmod(F.xxhash64(replicate, i), F.lit(n))
+
+
 def bootstrap_ratio(partials: DataFrame, num: str, den: str, replicates: int) -> DataFrame:
     """(b, value): ratio of sums over resampled entities, for each replicate.
 

@@ -179,9 +179,9 @@ def register(reg: Registry) -> None:
         flags = det(s, d).join(m, ["stem", "cls", "det_id"], "left").select("stem", "cls", "score", (F.col("stem") * 10000000000000 + F.col("det_id")).alias("tie"), F.coalesce("tp", F.lit(False)).alias("tp"))
         flags = ws.save(flags, "flags")  # matched once; replicates only weigh images
         pos = ws.save(R.positions(det(s, d).select("stem").distinct(), "stem"), "pos")
-        n, reps = pos.count(), 10
+        n, reps = pos.count(), 500
         ids = s.range(reps * n).select((F.col("id") / n).cast("bigint").alias("b"), (F.col("id") % n).alias("i"))
-        times = ids.groupBy("b", R.draws(n, F.col("b"), F.col("i")).alias("pos")).agg(F.count(F.lit(1)).cast("int").alias("times")).join(pos, "pos").select("b", "stem", "times")
+        times = ids.groupBy("b", R.hashed_draws(n, F.col("b"), F.col("i")).alias("pos")).agg(F.count(F.lit(1)).cast("int").alias("times")).join(pos, "pos").select("b", "stem", "times")
         each = flags.join(times, "stem").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("b", "cls", "score", F.struct("tie", "copy").alias("tie"), "tp")
         tot = gt(s, d).select("stem", "cls").join(times, "stem").groupBy("b", "cls").agg(F.sum("times").alias("n_true"))
         return A.average_precision(each, tot, ["b", "cls"]).groupBy("b").agg(_r(F.avg("ap"), 5).alias("map50"))
