@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -19,15 +20,41 @@ from pyspark.sql import functions as F
 BLANKS = " \t\r\n\f\x0b﻿ ​"
 
 
+#: Rows of one group that a task may sort: larger groups are dealt to as many parts as that takes.
+PART_ROWS = 200_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for working tables: the session's ``spark.checkpoint.dir``; where that is unset (tests), an own one."""
+    """The folder for working tables: the session's ``spark.checkpoint.dir``.
+
+    Where that is unset, a session on one machine (``local``) gets an own folder; on a cluster it is an error, since executors
+    could not read each other's disks.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="grovekit-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def parts_for(rows: int, each: int = PART_ROWS) -> int:
+    """Parts that hold about ``each`` rows at most, even if all rows are of one group."""
+    return max(1, -(-rows // each))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def removed_at_end(spark: SparkSession, path: str) -> None:
+    """Remove a table when the program ends."""
+    atexit.register(_delete, spark, path)
+
+
 class Workspace:
     """Working tables of one job under :func:`shared_dir`.
 
@@ -37,7 +64,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.close)
+        removed_at_end(spark, self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -46,17 +73,12 @@ class Workspace:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def _delete(self, path: str) -> None:
-        with contextlib.suppress(Exception):
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
     def drop(self, *names: str) -> None:
         for name in names:
-            self._delete(self.path(name))
+            _delete(self.spark, self.path(name))
 
     def close(self) -> None:
-        self._delete(self.root)
+        _delete(self.spark, self.root)
 
 
 def tidy(c: Column) -> Column:
@@ -68,12 +90,14 @@ def salt_of(c: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(salts)).cast("int")
 
 
-def star_edges(df: DataFrame, keys: Sequence[str], vertex: str, salts: int = 64) -> DataFrame:
+def star_edges(df: DataFrame, keys: Sequence[str], vertex: str, part_rows: int = PART_ROWS) -> DataFrame:
     """Edges (a, b), a > b, that connect all vertices sharing ``keys``, through at most two hops.
 
     A group is first split by a salt of the vertex, each part linked to its smallest vertex, then those to the smallest of
-    all; so no task ever holds more than a ``1/salts`` part of a hot group.  Null keys must be filtered out by the caller.
+    all; there are as many salts as keep a part at about ``part_rows`` rows even if one group holds all of them.  Null keys
+    must be filtered out by the caller.
     """
+    salts = parts_for(df.count(), part_rows)
     w1 = Window.partitionBy(*keys, "_salt")
     w2 = Window.partitionBy(*keys)
     part = df.select(*keys, F.col(vertex).alias("a")).withColumn("_salt", salt_of(F.col("a"), salts))
@@ -83,13 +107,14 @@ def star_edges(df: DataFrame, keys: Sequence[str], vertex: str, salts: int = 64)
     return inner.union(outer)
 
 
-def distributed_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, parts: int = 64) -> DataFrame:
+def distributed_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, part_rows: int = PART_ROWS) -> DataFrame:
     """Exact 0-based rank within ``keys`` without putting a whole group into one task.
 
-    Rows of a group are dealt to ``parts`` by a hash of the order columns; the rank counts within (group, part) and then adds
+    Rows of a group are dealt to parts of about ``part_rows`` rows by a hash of the order columns; the rank counts within (group, part) and then adds
     the sizes of the group's earlier parts.  It is a numbering without gaps or ties, the same at every run, though not in
     sort order across parts (callers that only need distinct consecutive ranks can use it on groups of any size).
     """
+    parts = parts_for(df.count(), part_rows)
     w = Window.partitionBy(*keys, "_part").orderBy(*order)
     dealt = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
     sizes = dealt.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))

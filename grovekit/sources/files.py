@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovekit.functions.names import split_name
-from grovekit.scale import shared_dir, tidy
+from grovekit.scale import removed_at_end, shared_dir, tidy
 
 MANIFEST = "tree_id string, variety string, new_split string, B1 int, B2 int, B3 int, B4 int"
 
@@ -140,21 +140,55 @@ def views_of_trees(stems: DataFrame) -> DataFrame:
     return stems.groupBy(tree.alias("tree")).agg(F.array_sort(F.collect_set("stem")).alias("stems"))
 
 
+def file_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, size, time of change) of every file under ``path``, sorted: what a stored result depends on."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not found.exists(p):
+        return []
+    out, files = [], found.listFiles(p, True)
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(out)
+
+
 def signature(*parts) -> str:
-    """Digest of the parameters and inputs that a stored result depends on."""
+    """Digest of the parameters and inputs (see :func:`file_states`) that a stored result depends on."""
     import hashlib
 
     return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()
 
 
-def stored(spark: SparkSession, name: str, key: str, make) -> DataFrame:
-    """The result of ``make()`` kept as a table under ``name`` and ``key``; made again only if the table is not complete."""
+def stored(spark: SparkSession, name: str, key: str, make, lasting: bool = False) -> DataFrame:
+    """The result of ``make()`` kept as a table under ``name`` and ``key``; made again only if the table is not complete.
+
+    A table is complete once the committer has left its ``_SUCCESS`` mark; other errors are not taken for "not there yet".
+    It is removed when the program ends, unless ``lasting``.
+    """
     path = f"{shared_dir(spark)}/kept/{name}/{key}"
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - not there yet, or not finished
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
         make().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    if not lasting:
+        removed_at_end(spark, path)
+    return spark.read.parquet(path)
+
+
+def scan_in_chunks(spark: SparkSession, name: str, path: str, files_a_chunk: int, scan) -> DataFrame:
+    """``scan(paths)`` of all files under ``path`` in chunks, each kept as soon as it is complete: a scan that was cut short goes on.
+
+    A chunk's key holds its files' sizes and times of change, so a changed file is scanned anew with its chunk.
+    """
+    states = file_states(spark, path)
+    out = None
+    for i in range(0, len(states), files_a_chunk):
+        part = states[i : i + files_a_chunk]
+        df = stored(spark, name, signature(part), lambda part=part: scan([p for p, _, _ in part]), lasting=True)
+        out = df if out is None else out.unionByName(df)
+    if out is None:
+        raise FileNotFoundError(f"no files under {path}")
+    return out
 
 
 def parse_bank(specs: Sequence[str], least: int = 2) -> dict[str, tuple[str, ...]]:
