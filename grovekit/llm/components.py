@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from grovekit.scale import Workspace, read, star_edges, tidy
 
-MAX_ROUNDS = 200  # never reached: a round removes a quarter of the vertices on average
+#: A round removes a quarter of the vertices on average, so 200 are enough for any table; more mean an error.
+MAX_ROUNDS = 200
 
 
 def _order(c, seed: int):
@@ -28,7 +29,9 @@ def connected_groups(edges: DataFrame, ws: Workspace, a: str = "a", b: str = "b"
     """
     now = ws.save(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(f"{a} is not null and {b} is not null and {a} <> {b}"), "edges0")
     hooks, k = [], 0
-    while k < MAX_ROUNDS and not now.isEmpty():
+    while not now.isEmpty():
+        if k == MAX_ROUNDS:
+            raise RuntimeError(f"edges are left after {MAX_ROUNDS} rounds of contraction")
         both = now.select(F.col("a").alias("v"), F.col("b").alias("w")).union(now.select(F.col("b").alias("v"), F.col("a").alias("w")))
         first = both.groupBy("v").agg(F.min(F.struct(_order(F.col("w"), seed + k).alias("h"), F.col("w").alias("w"))).alias("m"))
         own = F.struct(_order(F.col("v"), seed + k).alias("h"), F.col("v").alias("w"))
