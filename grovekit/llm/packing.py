@@ -31,10 +31,10 @@ class Pattern:
     pieces: tuple[tuple[int, int], ...]
 
 
-def pack_histogram(histogram: dict[int, int], capacity: int, separator: int, shortest: bool = True) -> list[Pattern]:
+def pack_histogram(histogram: dict[int, int], capacity: int, separator: int) -> list[Pattern]:
     """Patterns that hold exactly the histogram's pieces (length -> count, all at most ``capacity``).
 
-    ``shortest``: pieces go to the shortest open packs they fit in; otherwise to the fullest.
+    Lengths come longest first; each piece goes to an open pack that is shortest so far, if it fits there, or else opens one.
     """
     room_all = capacity + separator
     open_: dict[int, list[Pattern]] = {}
@@ -46,7 +46,7 @@ def pack_histogram(histogram: dict[int, int], capacity: int, separator: int, sho
 
     for length in sorted(histogram, reverse=True):
         left, size = histogram[length], length + separator
-        for room in sorted((r for r in open_ if r >= size), reverse=shortest):
+        for room in sorted((r for r in open_ if r >= size), reverse=True):
             for p in open_.pop(room):
                 if not left:
                     put(p, room)
@@ -63,12 +63,6 @@ def pack_histogram(histogram: dict[int, int], capacity: int, separator: int, sho
     return done + [p for ps in open_.values() for p in ps]
 
 
-def best_patterns(histogram: dict[int, int], capacity: int, separator: int) -> list[Pattern]:
-    """Shortest pack first, unless fullest pack first needs fewer containers for this histogram."""
-    tried = [pack_histogram(histogram, capacity, separator, s) for s in (True, False)]
-    return min(tried, key=lambda ps: sum(p.count for p in ps))
-
-
 def slots(patterns: list[Pattern]) -> dict[int, np.ndarray]:
     """For each length: rows (first rank, first container, times a container, place of the first in the container)."""
     out: dict[int, list] = {}
@@ -106,7 +100,7 @@ def packed(sizes: DataFrame, packs: DataFrame, ws: Workspace) -> DataFrame:
     counts: dict[int, dict[int, int]] = {k: {} for k in wanted}
     for r in pieces.groupBy("pack_id", "n_piece").agg(F.count(F.lit(1)).alias("n")).collect():  # at most capacity_tokens rows a pack
         counts[r.pack_id][int(r.n_piece)] = int(r.n)
-    table = {k: slots(best_patterns(counts[k], *wanted[k])) for k in wanted}
+    table = {k: slots(pack_histogram(counts[k], *wanted[k])) for k in wanted}
     caps = {k: c for k, (c, _) in wanted.items()}
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
