@@ -12,14 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grovekit.functions.names import split_name, told, tree_key
-from grovekit.scale import Workspace, read, star_edges
+from grovekit.scale import Workspace, distributed_rank, read, star_edges
+from grovekit.sources.files import file_states, signature, stored
 
-#: Components of more than this share of all rows are dealt one by one on the driver: at most 1/GIANT of them exist.
-GIANT = 0.001
-#: Components of one (size band, block) are dealt in one task; blocks are added so that each holds about so many.
-BLOCK = 100_000
-#: The wheel of splits turns by the golden section for each group, so that positions spread evenly after any number of groups.
-WHEEL_STEP = 0.6180339887498949
+#: Size bands are so narrow that the largest group of a band is at most 2 ** (1 / BANDS) times its smallest: 9 %.
+BANDS = 8
 
 
 def spanning_forest(edges: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -74,62 +71,85 @@ def related_rows(manifest: DataFrame) -> DataFrame:
     return tree.union(session)
 
 
+def manifest_forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(forest, labels) of the manifest, persisted: built by the first query that needs them and read by the others.
+
+    They are kept by the manifest's files, sizes and times of change, so a changed manifest gets a forest of its own.
+    """
+    key = signature(file_states(spark, f"{sf_dir}/split_manifest.parquet"), "forest", 2)
+    made: list = []
+
+    def make(which: int) -> DataFrame:
+        if not made:
+            made.extend(spanning_forest(related_rows(read(spark, sf_dir, "split_manifest")), Workspace(spark, "p5")))
+        return made[which]
+
+    return stored(spark, "forest", key, lambda: make(0)), stored(spark, "forest_labels", key, lambda: make(1))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ws = Workspace(spark, "p5")
-    _, labels = spanning_forest(related_rows(read(spark, sf_dir, "split_manifest")), ws)
+    _, labels = manifest_forest(spark, sf_dir)
     return labels.select(F.col("vertex").alias("row_id"), F.col("root").alias("group_id"))
 
 
 def p5_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spanning forest's edges: for each row but one of a group, why it is tied to the others."""
-    ws = Workspace(spark, "p5")
-    forest, _ = spanning_forest(related_rows(read(spark, sf_dir, "split_manifest")), ws)
+    forest, _ = manifest_forest(spark, sf_dir)
     return forest.select(F.col("a").alias("row_lo"), F.col("b").alias("row_hi"), F.when(F.col("weight") == 1, "tree").otherwise("session").alias("tie"))
 
 
+def band_quotas(bands: list[tuple[int, int, int]], wanted: dict[str, float]) -> dict[int, list[tuple[str, int]]]:
+    """For each band (number, groups, rows) how many of its groups each split gets, by one rule for all bands.
+
+    Bands come largest groups first.  A band's groups are shared out like the rows the splits still lack, in whole groups by
+    largest remainders; what a split gets beyond or short of its part is made up in the bands of smaller groups.
+    """
+    rows, total = sum(r for _, _, r in bands), sum(wanted.values())
+    lack = {k: v / total * rows for k, v in wanted.items()}
+    out = {}
+    for band, n, r in sorted(bands, reverse=True):
+        open_ = {k: max(v, 0.0) for k, v in lack.items()}
+        whole = sum(open_.values())
+        part = {k: n * (v / whole if whole else wanted[k] / total) for k, v in open_.items()}
+        quota = {k: int(v) for k, v in part.items()}
+        for k in sorted(part, key=lambda k: (quota[k] - part[k], k))[: n - sum(quota.values())]:
+            quota[k] += 1
+        for k, q in quota.items():
+            lack[k] -= q * r / n
+        out[band] = sorted(quota.items())
+    return out
+
+
 def deal_splits(groups: DataFrame, targets: DataFrame, seed: int = 11) -> DataFrame:
     """(group_id, size, new_split): groups dealt to splits so that each gets its share of the rows.
 
-    ``groups`` is (group_id, size); ``targets`` (split_name, share), a handful of rows, shares scaled to sum to one.  The few
-    groups above ``GIANT`` of all rows go, largest first, to the split that lacks most.  All others are stratified by size
-    band (powers of two) and dealt systematically: in a hash order each turns a wheel, divided like the shares still open,
-    by the same step, from a different start in each block of a band.
+    ``groups`` is (group_id, size); ``targets`` (split_name, share), a handful of rows, shares scaled to sum to one.  Groups are
+    stratified by size band, numbered within their band in a hash order without gaps, and each split gets as many
+    consecutive numbers as :func:`band_quotas` says, whether the band holds one giant or a billion single rows.  Only the
+    bands' counts come to the driver, at most ``BANDS`` for each power of two up to the largest group.
     """
-    wanted = [(r.split_name, float(r.share)) for r in targets.where("split_name is not null and share > 0").orderBy("split_name").collect()]
+    wanted = {r.split_name: float(r.share) for r in targets.where("split_name is not null and share > 0").groupBy("split_name").agg(F.max("share").alias("share")).collect()}
     if not wanted:
         return groups.select("group_id", "size", F.lit(None).cast("string").alias("new_split"))
-    total_share = sum(s for _, s in wanted)
-    n, rows = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    lack = {name: s / total_share * rows for name, s in wanted}
-    big = sorted(groups.where(F.col("size") > F.lit(GIANT * rows)).select("group_id", "size").collect(), key=lambda r: (-r["size"], r["group_id"]))
-    fixed = []
-    for r in big:
-        name = max(lack, key=lambda k: (lack[k], k))
-        lack[name] -= r["size"]
-        fixed.append((r["group_id"], name))
-    open_ = {k: max(v, 0.0) for k, v in lack.items()}
-    whole = sum(open_.values()) or 1.0
-    blocks = max(1, -(-n // BLOCK))
-    small = groups.where(F.col("size") <= F.lit(GIANT * rows))
-    small = small.withColumn("band", F.floor(F.log2("size")).cast("int")).withColumn("h", F.xxhash64("group_id", F.lit(seed)))
-    small = small.withColumn("block", F.pmod("h", F.lit(blocks)))
-    w = Window.partitionBy("band", "block").orderBy("h", "group_id")
-    start = F.pmod(F.xxhash64("band", "block", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    at = start + F.row_number().over(w) * F.lit(WHEEL_STEP)
-    where_ = at - F.floor(at)
-    choice, reached = F.when(F.lit(False), F.lit("")), 0.0
-    for name, v in sorted(open_.items()):
-        reached += v / whole
-        choice = choice.when(where_ < reached, F.lit(name))
-    dealt = small.select("group_id", "size", choice.otherwise(F.lit(max(open_, key=open_.get))).alias("new_split"))
-    spark = groups.sparkSession
-    given = spark.createDataFrame(fixed, f"group_id {groups.schema['group_id'].dataType.simpleString()}, new_split string")
-    return dealt.union(groups.join(F.broadcast(given), "group_id").select("group_id", "size", "new_split"))
-
-
-def assign(manifest: DataFrame, targets: DataFrame, ws: Workspace) -> DataFrame:
-    """Each row with its group and its new split; a row tied to no other is its own group."""
-    _, labels = spanning_forest(related_rows(manifest), ws)
+    banded = groups.withColumn("band", F.floor(F.log2("size") * BANDS + 1e-9).cast("int")).withColumn("h", F.xxhash64("group_id", F.lit(seed)))
+    bands = [(r["band"], r["n"], r["rows"]) for r in banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("rows")).collect()]
+    numbered = distributed_rank(banded, ["band"], [F.col("h"), F.col("group_id")], "rank")
+    cuts = []
+    for band, quota in band_quotas(bands, wanted).items():
+        first = 0
+        for name, q in quota:
+            if q:
+                cuts.append((band, first, first + q, name))
+            first += q
+    table = F.broadcast(groups.sparkSession.createDataFrame(cuts, "_band int, _from bigint, _to bigint, new_split string"))  # a few rows a band
+    on = (F.col("band") == F.col("_band")) & (F.col("rank") >= F.col("_from")) & (F.col("rank") < F.col("_to"))
+    return numbered.join(table, on).select("group_id", "size", "new_split")
+
+
+def assign(manifest: DataFrame, targets: DataFrame, ws: Workspace, labels: DataFrame | None = None) -> DataFrame:
+    """Each row with its group and its new split; a row tied to no other is its own group.  ``labels``: of a forest already built."""
+    if labels is None:
+        _, labels = spanning_forest(related_rows(manifest), ws)
     rows = manifest.select("row_id", F.col("source"), split_name(F.col("new_split")).alias("old_split"))
     grouped = ws.save(rows.join(labels.withColumnRenamed("vertex", "row_id"), "row_id", "left").select("row_id", "source", "old_split", F.coalesce("root", "row_id").alias("group_id")), "grouped")
     sizes = ws.save(grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("size")), "sizes")
@@ -140,13 +160,13 @@ def assign(manifest: DataFrame, targets: DataFrame, ws: Workspace) -> DataFrame:
 def p5_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of the manifest with its new split."""
     ws = Workspace(spark, "p5")
-    return assign(read(spark, sf_dir, "split_manifest"), read(spark, sf_dir, "split_targets"), ws).select("row_id", "group_id", "group_size", "new_split")
+    return assign(read(spark, sf_dir, "split_manifest"), read(spark, sf_dir, "split_targets"), ws, manifest_forest(spark, sf_dir)[1]).select("row_id", "group_id", "group_size", "new_split")
 
 
 def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, groups, actual and target share of each split."""
     targets = read(spark, sf_dir, "split_targets")
-    out = assign(read(spark, sf_dir, "split_manifest"), targets, Workspace(spark, "p5"))
+    out = assign(read(spark, sf_dir, "split_manifest"), targets, Workspace(spark, "p5"), manifest_forest(spark, sf_dir)[1])
     got = out.groupBy("new_split").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("group_id").alias("n_groups"))
     got = got.withColumn("actual_share", F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy()))
     return targets.select(F.col("split_name").alias("new_split"), F.col("share").alias("target_share")).join(got, "new_split", "full").select(

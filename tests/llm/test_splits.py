@@ -3,7 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from grovekit.llm.splits import assign, deal_splits, spanning_forest
+from grovekit.llm.splits import assign, band_quotas, deal_splits, spanning_forest
 from grovekit.scale import Workspace
 
 MANIFEST = "row_id bigint, tree_id string, new_split string, source string, session_id string, doc_no bigint, a int, weight double, group_id int"
@@ -73,3 +73,20 @@ def test_empty_and_null(spark):
     one = spark.createDataFrame([(1, None, None, None, None, None, None, None, None), (2, None, None, None, "unknown", None, None, None, None)], MANIFEST)
     out = assign(one, spark.createDataFrame([], "split_name string, share double"), Workspace(spark, "t")).collect()
     assert sorted((r.row_id, r.group_id, r.new_split) for r in out) == [(1, 1, None), (2, 2, None)]
+
+
+def test_one_rule_for_giants_and_single_rows(spark):
+    groups = spark.createDataFrame([(i, 1) for i in range(3000)] + [(9000, 4000), (9001, 3900), (9002, 900), (9003, 50)], "group_id bigint, size bigint")
+    dealt = deal_splits(groups, spark.createDataFrame(TARGETS, "split_name string, share double")).collect()
+    total, got = sum(r["size"] for r in dealt), Counter()
+    for r in dealt:
+        got[r.new_split] += r["size"]
+    assert len(dealt) == len({r.group_id for r in dealt}) == 3004
+    assert all(abs(got[k] / total - s) < 0.001 for k, s in TARGETS)
+
+
+def test_quotas_hold_all_groups():
+    bands = [(0, 1000, 1000), (8, 31, 62), (40, 1, 500), (88, 1, 90000)]
+    quotas = band_quotas(bands, dict(TARGETS))
+    assert all(sum(q for _, q in quotas[b]) == n for b, n, _ in bands)
+    assert dict(quotas[88])["train"] == 1 and dict(quotas[0])["train"] == 0  # the giant is more than train's share already
