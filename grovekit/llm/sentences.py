@@ -5,18 +5,20 @@ paragraph breaks, list items, blanks between Thai characters); each event is dec
 A finite transducer, compiled once from the rules in :func:`step`, reads the events and says where sentences end; its state is
 what is open, whether that stood at the sentence's start, and whether an end mark has just been read inside it.
 
-Long documents are cut into chunks.  A chunk's events form a function from the state before it to the state after it; these
-functions are composed by a parallel prefix scan (doubling steps, over chunks of all documents at once), which gives every
-chunk its true first state, so that all chunks are then read independently.
+Long documents are cut into chunks in one pass.  Each chunk is lexed once, with whole runs of characters on both sides as context,
+so that no run of blanks, letters or marks is ever cut.  A chunk's events form a function from the state before it to the state
+after it; these functions are composed by a parallel prefix scan (doubling steps, over chunks of all documents at once),
+which gives every chunk its true first state; the kept events are then read from there, all chunks independently.
 
 Defined cases: null and blank texts have no sentences; a text without any end mark is one sentence per paragraph; quotes or
-brackets left open are closed by the end of their paragraph; repeated documents are repeated.
+brackets left open are closed by the end of their paragraph; quotes and brackets count down to ``DEPTH`` levels, deeper ones are
+plain characters (a finite transducer knows finitely many levels); repeated documents are repeated.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 
 from grovekit.scale import Workspace, read
 
-CHUNK, MARGIN = 8192, 2048
+CHUNK = 8192
+#: Whole runs (of blanks, of letters and digits, of one other character) that a chunk sees on either side.
+CONTEXT = 32
 
 # Abbreviations (lower case, inner points kept, without the last point) that never end a sentence by themselves,
 # and those that end it where the next one visibly begins.
@@ -44,7 +48,7 @@ MARKS, SPACE = ".?!…。！？؟।॥｡．︒‼⁇⁈⁉", r"[^\S\n]"
 OPEN = {"(": "B", "[": "B", "{": "B", "（": "B", "［": "B", "｛": "B", "【": "B", "「": "Q", "『": "Q", "《": "Q", "〈": "Q", "“": "Q", "«": "Q"}
 CLOSE = {")": "B", "]": "B", "}": "B", "）": "B", "］": "B", "｝": "B", "】": "B", "」": "Q", "』": "Q", "》": "Q", "〉": "Q", "”": "Q", "»": "Q"}
 ITEM = rf"(?:[-*•·‣▪–]|\(?[0-9]{{1,3}}[.)]|\(?[a-z][.)])(?:{SPACE}+)(?=\S)"
-HEAD = r"(?:(?:bab|chapter|bagian|section|part|pasal|lampiran|appendix|bagian|kapitel)[ \t]+(?:[0-9]+(?:\.[0-9]+)*|[ivxlc]+)\.(?=[ \t]+\S)|[0-9]+(?:\.[0-9]+)+\.?(?=[ \t]+\S)|[IVXLC]+\.(?=[ \t]+\S))"
+HEAD = rf"(?:(?:bab|chapter|bagian|section|part|pasal|lampiran|appendix|bagian|kapitel)[ \t]+(?:[0-9]+(?:\.[0-9]+){{0,8}}|[ivxlc]+)\.(?=[ \t]+\S)|[0-9]+(?:\.[0-9]+){{1,8}}\.?(?=[ \t]+\S)|[IVXLC]+\.(?=[ \t]+\S))"
 COLONS = tuple(":,：，、،")
 PARA = rf"\n{SPACE}*(?:\n{SPACE}*)+"
 THAI = "฀-๿"
@@ -56,8 +60,9 @@ LEADING = re.compile(rf"\s*(?:{ITEM}|(?i:{HEAD}))")
 BREAK = re.compile(rf"{SPACE}*(?:{PARA}|\n{SPACE}*{ITEM}|\s*\Z)")
 WORD = re.compile(r"[^\W_](?:[\w.ऀ-ॿ]*)?\Z")
 UNIT = re.compile(r"(?:[0-9]\s?|[°/])\Z")
-STARTER = re.compile(r"(?:[a-z]+[0-9A-Z]\w*|epoch (?=[0-9])|p\.p\.)")
-NUMBERED = re.compile(r"\n\s*\(?([0-9]{1,3})([.)])\s+\Z")
+# A sentence may begin small: a name with digits or capitals inside, a label with a number, an abbreviation of single letters.
+STARTER = re.compile(r"(?:[a-z]+[0-9A-Z]\w*|[a-z]+ (?=[0-9]+ ?[:=])|(?:[a-z]\.){2,})")
+LINE_NUMBER = re.compile(r"\n(?:(?=\n)|[^\S\n]*\(?([0-9]{1,3})([.)])(?=\s))")
 
 
 def _after(text: str, p: int) -> str:
@@ -133,7 +138,8 @@ def _mark(text: str, s: int, e: int) -> str | None:
 
 # ---------------------------------------------------------------- the transducer
 
-DEPTH = 3
+#: Levels of open quotes and brackets that are told apart; only the outermost one's place matters.
+DEPTH = 6
 #: Paragraph or item, and Thai blank; marks; opening (0 anywhere, 1 behind a colon or comma); closing by what follows; the
 #: straight quote, which opens or closes, by both.
 AFTER = ("end", "up", "low", "no", "letter")
@@ -175,7 +181,7 @@ def step(state: tuple, symbol: str, gap: bool) -> tuple[tuple, bool]:
     if symbol[0] == "o" or (symbol[0] == "d" and "D" not in held):
         colon = (symbol[2] if symbol[0] == "o" else symbol[1]) == "1"
         place = "start" if fresh else "colon" if colon else "amid"
-        return ((*stack, (what, place)) if len(stack) < DEPTH else stack, "", fresh), False
+        return ((*stack, (what, "in" if stack else place)) if len(stack) < DEPTH else stack, "", fresh), False
     if what not in held:
         return (stack, mark, False), False
     at = len(held) - 1 - held[::-1].index(what)
@@ -218,22 +224,40 @@ def machine() -> Transducer:
     return _machine[0]
 
 
-def _is_item(text: str, m: re.Match) -> bool:
+class _Lists:
+    """Numbers at the begins of a paragraph's lines so far, each with its mark; read on as far as asked, once over the text."""
+
+    def __init__(self, seen: Iterable[str] = ()) -> None:
+        self.seen, self.at, self.next = set(seen), 0, None
+
+    def read(self, text: str, upto: int) -> set[str]:
+        while self.at < upto:
+            m = self.next or LINE_NUMBER.search(text, self.at)
+            if not m:
+                self.at = len(text)
+            elif m.start() >= upto:
+                self.next, self.at = m, max(self.at, upto)
+                break
+            else:
+                self.next, self.at = None, m.end()
+                self.seen.add(m[1].lstrip("0") + m[2]) if m[1] else self.seen.clear()
+        return self.seen
+
+
+def _is_item(text: str, m: re.Match, lists: _Lists) -> bool:
     """A line that begins with a number is an item only as a list's first or next number; else it is a wrapped line."""
     own = re.match(r"\n\s*\(?([0-9]{1,3})([.)])", m.group())
-    if not own:
-        return True
-    n, mark = int(own[1]), own[2]
-    if n <= 1:
+    if not own or int(own[1]) <= 1:
         return True
-    begin = max(text.rfind("\n\n", 0, m.start()), m.start() - MARGIN, -1) + 1
-    before = "\n" + text[begin : m.start()]
-    return any(int(x) == n - 1 for x in re.findall(rf"\n\s*\(?([0-9]{{1,3}}){re.escape(mark)}\s", before))
+    return f"{int(own[1]) - 1}{own[2]}" in lists.read(text, m.start())
 
 
-def events(text: str, lo: int, hi: int, first: bool) -> list[tuple[int, int, int]]:
-    """(code, where a sentence would end, end of event) of the events that begin in [lo, hi); ``first``: the text's begin is at 0."""
-    code, out, last, at = machine().code, [], 0, 0
+def events(text: str, lo: int, hi: int, first: bool, seen: Iterable[str] = ()) -> list[tuple[int, int]]:
+    """(code, where a sentence would end) of the events that begin in [lo, hi).
+
+    ``first``: 0 is the begin of the whole text; else ``seen`` are the list numbers of the paragraph before 0.
+    """
+    code, out, last, at, lists = machine().code, [], 0, 0, _Lists(seen)
     if first:
         m = LEADING.match(text)
         at = last = m.end() if m else 0
@@ -246,7 +270,7 @@ def events(text: str, lo: int, hi: int, first: bool) -> list[tuple[int, int, int
         if kind == "para":
             symbol, stop = "P", s
         elif kind == "item":
-            if not _is_item(text, m):
+            if not _is_item(text, m, lists):
                 at = s + 1
                 continue
             symbol, stop = "P", s
@@ -263,7 +287,7 @@ def events(text: str, lo: int, hi: int, first: bool) -> list[tuple[int, int, int
             stop = e
         if s >= lo:
             gap = not text[last:s].isspace() and s > last
-            out.append((code[symbol, gap], stop, e))
+            out.append((code[symbol, gap], stop))
         last = e
 
 
@@ -280,7 +304,7 @@ def split_sentences(text: str | None) -> list[tuple[int, int]]:
     if not text:
         return []
     steps, state, cuts = machine().steps, 0, []
-    for code, stop, _ in events(text, 0, len(text), True):
+    for code, stop in events(text, 0, len(text), True):
         state, ends = steps[code][state]
         if ends:
             cuts.append(stop)
@@ -290,81 +314,135 @@ def split_sentences(text: str | None) -> list[tuple[int, int]]:
 
 # ---------------------------------------------------------------- distributed
 
-def _chunks(df: DataFrame, chunk: int, margin: int) -> DataFrame:
-    """(doc_id, k, n, lo, size, length, part): chunk k of n with a margin of text on both sides; part begins at lo - margin."""
-    n = F.ceil(F.length("text") / F.lit(chunk)).cast("int")
-    out = df.select("doc_id", "text", n.alias("n")).select("doc_id", "text", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
-    begin = F.greatest(F.lit(0), F.col("k") * chunk - margin)
-    return out.select("doc_id", "k", "n", begin.alias("begin"), F.substring("text", begin + 1, F.lit(chunk + 2 * margin)).alias("part"))
+def _kind(c: str) -> str:
+    return " " if c.isspace() else "w" if c.isalnum() or c == "_" else c
+
+
+def _run_edge(text: str, p: int, runs: int, step: int) -> int:
+    """The place so many whole runs before (step -1) or behind (step 1) p."""
+    last, n = None, 0
+    while (p > 0) if step < 0 else (p < len(text)):
+        k = _kind(text[p - 1] if step < 0 else text[p])
+        if k != last:
+            n, last = n + 1, k
+            if n > runs:
+                break
+        p += step
+    return p
+
+
+def cut_text(text: str, chunk: int, context: int = CONTEXT) -> Iterator[tuple[int, int, int, list[str], str]]:
+    """(begin, lo, hi, list numbers before begin, part) of a text's chunks: [lo, hi) of the text and whole runs around it.
+
+    No chunk begins amid blanks; a run of blanks belongs to the chunk before it, however long it is.
+    """
+    lists, lo = _Lists(), 0
+    while lo < len(text):
+        hi = min(len(text), lo + chunk)
+        while hi < len(text) and text[hi].isspace():
+            hi += 1
+        begin, end = _run_edge(text, lo, context, -1), _run_edge(text, hi, context, 1)
+        yield begin, lo, hi, sorted(lists.read(text, begin)), text[begin:end]
+        lo = hi
+
+
+CUT = "doc_id bigint, k int, last boolean, begin int, lo int, hi int, seen array<string>, part string"
+
+
+def chunked(docs: DataFrame, chunk: int) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in CUT.split(", ")]
+        for pdf in batches:
+            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                rows = []
+                for k, (begin, lo, hi, seen, part) in enumerate(cut_text(text, chunk)):
+                    rows.append((doc, k, hi == len(text), begin, lo, hi, seen, part))
+                    if len(rows) == 256:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+                yield pd.DataFrame(rows, columns=names)
+
+    return docs.mapInPandas(run, CUT).repartition("doc_id", "k")
 
 
-def _window(k: int, begin: int, chunk: int) -> tuple[int, int]:
-    return k * chunk - begin, (k + 1) * chunk - begin
+LEXED = "doc_id bigint, k int, codes array<smallint>, before array<int>, behind array<int>, f array<smallint>"
 
 
-def chunk_functions(chunks: DataFrame, chunk: int) -> DataFrame:
-    """(doc_id, k, f): the state after chunk k for every state before it."""
+def lexed(chunks: DataFrame) -> DataFrame:
+    """(doc_id, k, codes, before, behind, f): a chunk's events, the text's ends around each, and its state function.
+
+    The first chunk has one event more at its begin and the last at its end, with code -1: there a sentence ends in any state.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = machine()
         for pdf in batches:
-            fs = []
-            for k, begin, part in zip(pdf["k"], pdf["begin"], pdf["part"], strict=True):
+            rows = []
+            for r in pdf.itertuples(index=False):
+                text = r.part
+                found = events(text, r.lo - r.begin, r.hi - r.begin, r.begin == 0, () if r.seen is None else r.seen)
                 f = np.arange(m.size, dtype=np.int16)
-                for code, _, _ in events(part, *_window(k, begin, chunk), k == 0):
+                for code, _ in found:
                     f = m.next_[code][f]
-                fs.append(f.astype(np.int32))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "k": pdf["k"], "f": fs})
+                marks = [(-1, 0)] * (r.k == 0) + found + [(-1, len(text))] * bool(r.last)
+                before, behind = [], []
+                for _, c in marks:
+                    a = b = c
+                    while a > 0 and text[a - 1].isspace():
+                        a -= 1
+                    while b < len(text) and text[b].isspace():
+                        b += 1
+                    before.append(r.begin + a)
+                    behind.append(r.begin + b)
+                rows.append((r.doc_id, r.k, np.array([c for c, _ in marks], dtype=np.int16), np.array(before, dtype=np.int32), np.array(behind, dtype=np.int32), f))
+            yield pd.DataFrame(rows, columns=["doc_id", "k", "codes", "before", "behind", "f"])
 
-    return chunks.mapInPandas(run, "doc_id bigint, k int, f array<int>")
+    return chunks.mapInPandas(run, LEXED)
 
 
 def prefix_states(functions: DataFrame, ws: Workspace) -> DataFrame:
     """(doc_id, k, state): the state before chunk k, by composing all functions before it in doubling steps."""
-    now = ws.save(functions, "scan0")
+    now = functions.select("doc_id", "k", "f")
     most = now.agg(F.max("k")).first()[0] or 0
     reach, i = 1, 0
     while reach <= most:
         before = now.select("doc_id", (F.col("k") + reach).alias("k"), F.col("f").alias("g"))
         composed = F.when(F.col("g").isNull(), F.col("f")).otherwise(F.transform("g", lambda s: F.get(F.col("f"), s)))
-        nxt = ws.save(now.join(before, ["doc_id", "k"], "left").select("doc_id", "k", composed.alias("f")), f"scan{i + 1}")
-        ws.drop(f"scan{i}")
+        nxt = ws.save(now.join(before, ["doc_id", "k"], "left").select("doc_id", "k", composed.alias("f")), f"scan{i}")
+        if i:
+            ws.drop(f"scan{i - 1}")
         now, reach, i = nxt, reach * 2, i + 1
-    return now.select("doc_id", (F.col("k") + 1).alias("k"), F.get("f", F.lit(0)).alias("state"))
+    return now.select("doc_id", (F.col("k") + 1).alias("k"), F.get("f", F.lit(0)).cast("int").alias("state"))
 
 
-def chunk_cuts(chunks: DataFrame, chunk: int) -> DataFrame:
-    """(doc_id, cut, before, behind): where sentences end, the end of the text before and the begin of the text behind, in order.
-
-    Each document's last chunk adds the cut at its end, and the first the one at its begin.
-    """
+def read_chunks(started: DataFrame) -> DataFrame:
+    """(doc_id, k, edge, start_pos, end_pos): spans within a chunk, and one edge row with its first end and its last start."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         steps = machine().steps
         for pdf in batches:
             rows = []
-            for doc, k, n, begin, part, state in zip(pdf["doc_id"], pdf["k"], pdf["n"], pdf["begin"], pdf["part"], pdf["state"], strict=True):
-                lo, hi = _window(k, begin, chunk)
-                cuts = [0] if k == 0 else []
-                for code, stop, _ in events(part, lo, hi, k == 0):
-                    state, ends = steps[code][state]
-                    if ends:
-                        cuts.append(stop)
-                if k == n - 1:
-                    cuts.append(len(part))
-                for c in cuts:
-                    a = b = c
-                    while a > 0 and part[a - 1].isspace():
-                        a -= 1
-                    while b < len(part) and part[b].isspace():
-                        b += 1
-                    rows.append((doc, begin + c, begin + a, begin + b))
-            yield pd.DataFrame(rows, columns=["doc_id", "cut", "before", "behind"])
-
-    return chunks.mapInPandas(run, "doc_id bigint, cut int, before int, behind int")
-
-
-def sentence_units(documents: DataFrame, ws: Workspace, chunk: int = CHUNK, margin: int = MARGIN) -> DataFrame:
+            for r in pdf.itertuples(index=False):
+                state, start, first = r.state, None, None
+                for code, a, b in zip(r.codes, r.before, r.behind, strict=True):
+                    ends = True
+                    if code >= 0:
+                        state, ends = steps[code][state]
+                    if not ends:
+                        continue
+                    if start is None:
+                        first = a
+                    elif start < a:
+                        rows.append((r.doc_id, r.k, False, start, a))
+                    start = b
+                rows.append((r.doc_id, r.k, True, start, first))
+            out = pd.DataFrame(rows, columns=["doc_id", "k", "edge", "start_pos", "end_pos"])
+            yield out.astype({"start_pos": "Int32", "end_pos": "Int32"})
+
+    return started.mapInPandas(run, "doc_id bigint, k int, edge boolean, start_pos int, end_pos int")
+
+
+def sentence_units(documents: DataFrame, ws: Workspace, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, start_pos, end_pos) of all sentences of all documents (doc_id, text)."""
     docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
 
@@ -374,12 +452,12 @@ def sentence_units(documents: DataFrame, ws: Workspace, chunk: int = CHUNK, marg
             yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "end_pos"])
 
     short = docs.where(F.length("text") <= chunk).mapInPandas(whole, "doc_id bigint, start_pos int, end_pos int")
-    chunks = _chunks(docs.where(F.length("text") > chunk), chunk, margin)
-    states = prefix_states(chunk_functions(chunks, chunk), ws)
-    started = chunks.join(states, ["doc_id", "k"], "left").withColumn("state", F.coalesce("state", F.lit(0)))
-    w = Window.partitionBy("doc_id").orderBy("cut", "behind")
-    spans = chunk_cuts(started, chunk).withColumn("start_pos", F.lag("behind").over(w)).where("start_pos < before")
-    return short.union(spans.select("doc_id", "start_pos", F.col("before").alias("end_pos")))
+    events_ = ws.save(lexed(chunked(docs.where(F.length("text") > chunk), chunk)), "lexed")
+    started = events_.drop("f").join(prefix_states(events_, ws), ["doc_id", "k"], "left").withColumn("state", F.coalesce("state", F.lit(0)))
+    found = ws.save(read_chunks(started), "read")
+    earlier = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)  # one row a chunk, not its sentences
+    edges = found.where("edge").select("doc_id", F.last("start_pos", ignorenulls=True).over(earlier).alias("start_pos"), "end_pos").where("start_pos < end_pos")
+    return short.union(found.where("not edge").select("doc_id", "start_pos", "end_pos")).union(edges)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

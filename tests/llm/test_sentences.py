@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from grovekit.llm.sentences import machine, sentence_units, split_sentences
+from grovekit.llm.sentences import cut_text, events, machine, sentence_units, split_sentences
 from grovekit.scale import Workspace
 
 CASES = [
@@ -72,7 +72,7 @@ def test_chunks_agree_with_the_whole(spark):
     para = " ".join(" ".join(c) for c in CASES) + "\n\n" + "".join(TIGHT[0]) + "\n\nDaftar:\n1. Satu\n2. Dua\n\n"
     texts = [para * 8, "kata " * 3000, 'buka "' + "isi. " * 500 + '" tutup.', None, "", "  ", para, para]
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)] + [(None, "a", 1, "x")], "doc_id bigint, text string, state int, k string")
-    got = {(r.doc_id, r.start_pos, r.end_pos) for r in sentence_units(df, Workspace(spark, "t"), chunk=256, margin=512).collect()}
+    got = {(r.doc_id, r.start_pos, r.end_pos) for r in sentence_units(df, Workspace(spark, "t"), chunk=256).collect()}
     assert got == {(i, a, b) for i, t in enumerate(texts) for a, b in split_sentences(t)}
 
 
@@ -82,4 +82,44 @@ def test_empty_table(spark):
 
 
 def test_machine_is_finite():
-    assert machine().size < 5000 and machine().next_.max() < machine().size
+    assert machine().size < 10000 and machine().next_.max() < machine().size
+
+
+def by_chunks(text, chunk):
+    """The spans read chunk by chunk, each with its own stretch of text only."""
+    m, state, cuts = machine(), 0, []
+    for begin, lo, hi, seen, part in cut_text(text, chunk):
+        for code, stop in events(part, lo - begin, hi - begin, begin == 0, seen):
+            state, ends = m.steps[code][state]
+            if ends:
+                cuts.append(begin + stop)
+    spans = []
+    for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True):
+        part = text[a:b]
+        if part.strip():
+            spans.append((a + len(part) - len(part.lstrip()), b - (len(part) - len(part.rstrip()))))
+    return spans
+
+
+PIECES = ["Kalimat satu.", "Dua?", " ", "  ", "\n", "\n\n", "\n1. satu", "\n2. dua", "\n3) tiga", '"', "(", ")", "「", "」", "果串。", "a.m. ", "3.5", "…", "x" * 70, " " * 80, "\n" * 70, "." * 66, "Bab 3. A", "\n\n1.2 Hasil", "ป้าย ป้าย"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=60), st.sampled_from([1, 7, 64]))
+def test_any_chunk_reads_like_the_whole(pieces, chunk):
+    text = "".join(pieces)
+    assert by_chunks(text, chunk) == split_sentences(text)
+
+
+def test_runs_and_items_of_any_length():
+    gap = "Kalimat satu. " + "x" * 8100 + "." + " " * 9000 + "Kalimat dua. Tiga."
+    lines = "Kalimat satu." + "\n" * 7000 + "Dua. Tiga."
+    items = "Daftar:\n1. " + "kata " * 700 + "\n2. Dua\n3. Tiga"
+    for text in (gap, lines, items):
+        assert by_chunks(text, 64) == by_chunks(text, 8192) == split_sentences(text)
+    assert [items[a:b][:2] for a, b in split_sentences(items)] == ["Da", "1.", "2.", "3."]
+
+
+def test_deep_brackets():
+    text = "(a (b (c (d! e) f) g) h) selesai. Dua."
+    assert [text[a:b] for a, b in split_sentences(text)] == ["(a (b (c (d! e) f) g) h) selesai.", "Dua."]
