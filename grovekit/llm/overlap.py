@@ -1,20 +1,24 @@
 """Same or near-same records across splits, found by Aho-Corasick automata over sharded evaluation passages.
 
-A record is normalised to a text of tokens: the key of the tree it names, and for its document one token per box, the box's
-cell on a grid of cx, cy, w and h.  The evaluation side's tokens are the passages; a box also passes under the neighbouring
-cells that hold any box within the tolerance.  Passages are sharded by token, an automaton is built of each shard in the task
-that scans the training texts' tokens of that shard (split further by a salt where a shard's texts are many).  Matched
-intervals are merged into the coverage of each (evaluation record, training record); a pair covered well enough is checked
-exactly, by a largest one-to-one pairing of its boxes.
+A record is normalised to a text.  Of the tree it names that is the phrase of variety, block and number; of its document, a
+phrase of four symbols for each box: the cells of cx, cy, w and h on a grid.  The evaluation records' phrases are the passages; a
+box also passes under the neighbouring cells that may hold a box within the tolerance.  Passages are sharded by evaluation
+record, an automaton is built of each shard in the task that scans with it, and every training text is scanned whole by every
+shard (a shard with more texts than one task should scan has several salted copies).  A record's passages are all in one
+automaton and a text is scanned in one piece, so the task itself merges the matched intervals into the coverage of each
+(evaluation record, training record) and only pairs covered well enough leave it; those are checked exactly, by a largest
+one-to-one pairing of their boxes.
 
 An evaluation record needs all but a fifth of its boxes matched, so only its rarest passages, that fifth and ``SPARE`` more,
 are searched, and ``SPARE`` of them must be covered: no true pair is lost (a counting filter, not a sample).  Documents with the
-very same boxes form one class; only classes are compared, and members are joined to the classes' pairs at the end.
+very same boxes, and rows that name the same tree, form one class; only classes are compared, and members are joined to the
+classes' pairs at the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -22,16 +26,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grovekit.functions.names import split_name, tree_key
-from grovekit.scale import Workspace, read
+from grovekit.scale import Workspace, parts_for, read, salt_of
 
 TOLERANCE, EPS = 0.01, 1e-9
 CELL = 0.02  # about twice the tolerance: then a box lies near two cells a dimension, near three if it is at a cell's centre
 LEAST_BOXES, SHARE = 6, (4, 5)
 SPARE = 4
-SHARD_PASSAGES, SALT_TEXTS = 150_000, 1_000_000  # passages in an automaton; tokens of training texts in one pass of it
-END = "\n"
+#: Phrases in one automaton (at most four nodes each); boxes or names of training texts that one copy of it scans; matches
+#: that are expanded at once.
+SHARD_PHRASES, SCAN_UNITS, EXPANDED = 400_000, 4_000_000, 2_000_000
+NEAR_CELLS = 20  # about so many phrases a box: 2 or 3 cells in each of four dimensions
+CELLS, FIRST_SYMBOL, END = 60_000, 0x10000, "\n"
 
-HITS = "pid bigint, pord int, tid bigint, tord int"
+COVERED = "pid bigint, tid bigint, covered int"
 
 
 def document_boxes(tree_doc: DataFrame) -> DataFrame:
@@ -60,82 +67,137 @@ def box_rows(classes: DataFrame) -> DataFrame:
     return classes.where("n > 0").select("id", "n", at.alias("ord", "v"))
 
 
-def _cell(x: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(60_000), F.floor(x / CELL).cast("int") + 1000))
+def cell_key(v: Column) -> Column:
+    """A number for the cells of a box, for counting how often they occur (equal numbers of different cells do no harm)."""
+    return F.xxhash64(*[F.floor(v[d] / CELL) for d in range(4)])
 
 
-def _token(cells: list[Column]) -> Column:
-    return F.concat_ws(",", *cells)
+class Names:
+    """Passages and texts that are one phrase: the words of ``key``."""
 
+    columns = ("key",)
 
-def text_tokens(boxes: DataFrame) -> DataFrame:
-    return boxes.withColumn("token", _token([_cell(F.col("v")[d]) for d in range(4)]))
+    def phrases(self, df: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, None]:
+        return [f"{END}{k}{END}" for k in df["key"]], np.arange(len(df)), np.zeros(len(df), dtype=np.int64), None
 
+    def text(self, df: pd.DataFrame) -> tuple[str, np.ndarray, np.ndarray, None]:
+        keys = df["key"].tolist()
+        return END + END.join(keys) + END, np.cumsum([len(k) + 1 for k in keys]), np.arange(len(keys)), None
 
-def passage_tokens(boxes: DataFrame) -> DataFrame:
-    """Each box under every cell that may hold a box within the tolerance, those between the two ends of its reach too."""
-    reach = TOLERANCE + 2 * EPS  # beyond what the exact test allows, so rounding loses no cell
-    out = boxes
-    for d in range(4):
-        out = out.withColumn(f"c{d}", F.explode(F.sequence(_cell(F.col("v")[d] - reach), _cell(F.col("v")[d] + reach))))
-    return out.withColumn("token", _token([F.col(f"c{d}") for d in range(4)])).drop("c0", "c1", "c2", "c3")
 
+class Boxes:
+    """Passages and texts of four symbols a box; passages only of the boxes in ``ords``, but under every cell that is near enough."""
 
-def _automaton(tokens: list[str]):
-    import ahocorasick
+    columns = ("boxes", "ords")
 
-    a = ahocorasick.Automaton()
-    for i, t in enumerate(tokens):
-        a.add_word(END + t + END, i)
-    a.make_automaton()
-    return a
+    def __init__(self, near: float) -> None:
+        self.near = near
+
+    @staticmethod
+    def _cells(v: np.ndarray) -> np.ndarray:
+        return np.clip(np.floor(v / CELL) + 1000, 0, CELLS).astype(np.int64)
+
+    @staticmethod
+    def _spell(cells: np.ndarray) -> str:
+        return (cells + FIRST_SYMBOL).astype("<u4").tobytes().decode("utf-32-le")
+
+    def phrases(self, df: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        ords = [np.asarray(o, dtype=np.int64) for o in df["ords"]]
+        v = np.concatenate([np.asarray(b, dtype=float).reshape(-1, 4)[o] for b, o in zip(df["boxes"], ords, strict=True)])
+        owner, place = np.repeat(np.arange(len(df)), [len(o) for o in ords]), np.concatenate(ords)
+        reach = self.near + 2 * EPS  # beyond what the exact test allows, so rounding loses no cell
+        low, high = self._cells(v - reach), self._cells(v + reach)
+        at, cells = [], []
+        for step in product(range(int((high - low).max(initial=0)) + 1), repeat=4):
+            c = low + np.array(step)
+            ok = np.flatnonzero((c <= high).all(axis=1))
+            at.append(ok)
+            cells.append(c[ok])
+        at, text = np.concatenate(at), self._spell(np.concatenate(cells))
+        return [text[i : i + 4] for i in range(0, len(text), 4)], owner[at], place[at], v[at]
+
+    def text(self, df: pd.DataFrame) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        boxes = [np.asarray(b, dtype=float).reshape(-1, 4) for b in df["boxes"]]
+        v = np.concatenate(boxes)
+        cells = np.hstack([self._cells(v), np.full((len(v), 1), ord(END) - FIRST_SYMBOL)])
+        return self._spell(cells), np.arange(1, len(v) + 1) * 5 - 1, np.repeat(np.arange(len(boxes)), [len(b) for b in boxes]), v
+
+
+def merged_length(key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, length): for each key the length of the union of its intervals [start, stop)."""
+    order = np.lexsort((start, key))
+    key, start, stop = key[order], start[order], stop[order]
+    first = np.r_[True, key[1:] != key[:-1]]
+    rank = np.cumsum(first) - 1
+    wide = int(stop.max(initial=0)) + 1
+    reached = np.maximum.accumulate(stop + rank * wide) - rank * wide  # the furthest end so far within the key
+    before = np.where(first, 0, np.r_[0, reached[:-1]])
+    return key[first], np.bincount(rank, weights=np.maximum(0, stop - np.maximum(start, before)), minlength=rank[-1] + 1 if len(rank) else 0).astype(np.int64)
 
 
 class _Shard:
-    """The passages of one shard: an automaton of the distinct tokens, and for each token the passages that have it."""
+    """The automaton of one shard's passages, and for each phrase the passages that have it."""
+
+    def __init__(self, codec, parts: list[pd.DataFrame], least: int) -> None:
+        import ahocorasick
 
-    def __init__(self, parts: list[pd.DataFrame], near: float | None):
         df = pd.concat(parts, ignore_index=True)
-        codes, tokens = pd.factorize(df["token"], sort=False)
+        phrases, owner, place, self.v = codec.phrases(df)
+        codes, words = pd.factorize(np.array(phrases, dtype=object), sort=False)
         order = np.argsort(codes, kind="stable")
-        self.start = np.searchsorted(codes[order], np.arange(len(tokens) + 1))
-        self.pid, self.pord = df["id"].to_numpy(np.int64)[order], df["ord"].to_numpy(np.int32)[order]
-        self.v = np.array(df["v"].tolist(), dtype=float)[order] if near is not None else None
-        self.near, self.auto = near, _automaton(list(tokens))
-
-    def scan(self, df: pd.DataFrame) -> pd.DataFrame | None:
-        tokens = df["token"].tolist()
-        ends = np.cumsum([len(t) + 1 for t in tokens])
-        found = list(self.auto.iter(END + END.join(tokens) + END))
+        self.start = np.searchsorted(codes[order], np.arange(len(words) + 1))
+        self.owner, self.place, self.ids = owner[order], place[order], df["id"].to_numpy(np.int64)
+        self.v = self.v[order] if self.v is not None else None
+        self.codec, self.least, self.auto = codec, least, ahocorasick.Automaton()
+        for i, w in enumerate(words):
+            self.auto.add_word(w, i)
+        self.auto.make_automaton()
+
+    def scan(self, df: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        text, ends, row, v = self.codec.text(df)
+        found = list(self.auto.iter(text))
         if not found:
-            return None
+            return
         stop, what = np.array(found, dtype=np.int64).T
-        row = np.searchsorted(ends, stop)
+        unit = np.searchsorted(ends, stop)
         n = self.start[what + 1] - self.start[what]
-        row = np.repeat(row, n)
+        # whole texts at a time, so that a pair's intervals are merged in one step
+        total, lines = np.cumsum(n), row[unit]
+        begin = 0
+        while begin < len(n):
+            base = total[begin - 1] if begin else 0
+            end = int(np.searchsorted(total, base + EXPANDED, side="right"))
+            end = int(np.searchsorted(lines, lines[max(begin, min(end, len(n) - 1))], side="left")) if end < len(n) else end
+            if end <= begin:
+                end = int(np.searchsorted(lines, lines[begin], side="right"))
+            yield from self._covered(df, unit[begin:end], what[begin:end], n[begin:end], row, v)
+            begin = end
+
+    def _covered(self, df: pd.DataFrame, unit: np.ndarray, what: np.ndarray, n: np.ndarray, row: np.ndarray, v: np.ndarray | None) -> Iterator[pd.DataFrame]:
+        unit = np.repeat(unit, n)
         p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[what], n)
-        if self.near is not None:
-            v = np.array(df["v"].tolist(), dtype=float)
-            ok = (np.abs(self.v[p] - v[row]) <= self.near + EPS).all(axis=1)
-            row, p = row[ok], p[ok]
-        return pd.DataFrame({"pid": self.pid[p], "pord": self.pord[p], "tid": df["id"].to_numpy(np.int64)[row], "tord": df["ord"].to_numpy(np.int32)[row]})
+        if v is not None:
+            ok = (np.abs(self.v[p] - v[unit]) <= self.codec.near + EPS).all(axis=1)
+            unit, p = unit[ok], p[ok]
+        if len(p):
+            key, covered = merged_length(self.owner[p] * len(df) + row[unit], self.place[p], self.place[p] + 1)
+            ok = covered >= self.least
+            yield pd.DataFrame({"pid": self.ids[key[ok] // len(df)], "tid": df["id"].to_numpy(np.int64)[key[ok] % len(df)], "covered": covered[ok].astype("int32")})
 
 
-def scan_texts(passages: DataFrame, texts: DataFrame, near: float | None = None) -> DataFrame:
-    """All (passage, text token) that are the same token; with ``near`` only those whose vectors differ by at most that much.
+def scan_texts(passages: DataFrame, texts: DataFrame, codec, phrases: int, units: int, least: int = 1) -> DataFrame:
+    """(pid, tid, covered): passages of each evaluation record found in each training text, of those with at least ``least``.
 
-    Both frames have id, ord, token and, for ``near``, v.  Memory in a task is bounded by the passages of one shard; the texts
-    stream by in batches, each scanned as one string.
+    Both frames have id and the codec's columns; ``phrases`` and ``units`` are about how many phrases the passages and how many
+    boxes or names the texts have.  Memory in a task is bounded by one shard's passages; texts stream by in batches.
     """
-    cols = ["id", "ord", "token"] + (["v"] if near is not None else [])
-    count = passages.count()
-    shards = max(1, -(-count // SHARD_PASSAGES))
-    shard = F.pmod(F.xxhash64("token"), F.lit(shards)).cast("int")
-    per_shard = {r["s"]: max(1, -(-r["n"] // SALT_TEXTS)) for r in texts.groupBy(shard.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a number a shard
-    salts = F.array(*[F.lit(per_shard.get(s, 1)) for s in range(shards)])
-    p = passages.select(*cols).withColumn("shard", shard).withColumn("salt", F.explode(F.sequence(F.lit(0), salts[F.col("shard")] - 1))).withColumn("kind", F.lit(0))
-    t = texts.select(*cols).withColumn("shard", shard).withColumn("salt", F.pmod(F.xxhash64("id", "ord"), salts[F.col("shard")]).cast("int")).withColumn("kind", F.lit(1))
-    parts = max(shards, int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spark = passages.sparkSession
+    shards = parts_for(phrases, SHARD_PHRASES)
+    salts = max(parts_for(units, SCAN_UNITS), -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))
+    cols = ["id", *codec.columns]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    p = passages.select(*cols, salt_of(F.col("id"), shards).alias("shard"), every(salts).alias("salt"), F.lit(0).alias("kind"))
+    t = texts.select(*[F.col(c) if c in texts.columns else F.lit(None).cast(passages.schema[c].dataType).alias(c) for c in cols], salt_of(F.col("id"), salts).alias("salt"), every(shards).alias("shard"), F.lit(1).alias("kind"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, waiting, ready = None, [], None
@@ -147,12 +209,10 @@ def scan_texts(passages: DataFrame, texts: DataFrame, near: float | None = None)
                     waiting.append(part)
                 elif waiting or ready:
                     if ready is None:
-                        ready, waiting = _Shard(waiting, near), []
-                    out = ready.scan(part)
-                    if out is not None and len(out):
-                        yield out
+                        ready, waiting = _Shard(codec, waiting, least), []
+                    yield from ready.scan(part.reset_index(drop=True))
 
-    return p.unionByName(t).repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInPandas(run, HITS)
+    return p.unionByName(t).repartition(shards * salts * 2, "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInPandas(run, COVERED)
 
 
 def pair_count(a: np.ndarray, b: np.ndarray, near: float = TOLERANCE) -> int:
@@ -188,16 +248,16 @@ def near_pairs(eval_classes: DataFrame, train_classes: DataFrame, ws: Workspace)
     up, of = SHARE
     need = lambda n: F.ceil(n * up / F.lit(float(of)) - 1e-9)
     e, t = eval_classes.where(f"n >= {LEAST_BOXES}"), train_classes.where(f"n >= {LEAST_BOXES}")
-    texts = ws.save(text_tokens(box_rows(t)), "texts")
-    often = texts.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
+    often = box_rows(t).groupBy(cell_key(F.col("v")).alias("cell")).agg(F.count(F.lit(1)).alias("often"))
     rare = Window.partitionBy("id").orderBy(F.coalesce("often", F.lit(0)), "ord")
-    own = text_tokens(box_rows(e)).join(often, "token", "left").withColumn("rank", F.row_number().over(rare)).where(F.col("rank") <= F.col("n") - need(F.col("n")) + SPARE)
-    passages = ws.save(passage_tokens(own.select("id", "ord", "v")), "passages")
-    hits = scan_texts(passages, texts, TOLERANCE)
-    # an interval of a record's text is one box here, so the merged length is the number of different boxes covered
-    covered = hits.select("pid", "tid", "pord").distinct().groupBy("pid", "tid").agg(F.count(F.lit(1)).alias("covered"))
+    own = box_rows(e).select("id", "n", "ord", cell_key(F.col("v")).alias("cell")).join(often, "cell", "left").withColumn("rank", F.row_number().over(rare))
+    own = own.where(F.col("rank") <= F.col("n") - need(F.col("n")) + SPARE).groupBy("id").agg(F.collect_list("ord").alias("ords"))  # a record's boxes
+    passages = ws.save(e.join(own, "id"), "passages")
+    size = passages.agg(F.sum(F.size("ords")).alias("n")).first()["n"] or 0
+    units = t.agg(F.sum("n").alias("n")).first()["n"] or 0
+    covered = scan_texts(passages, t, Boxes(TOLERANCE), size * NEAR_CELLS, units, min(SPARE, LEAST_BOXES - 1))
     a, b = e.select(F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("boxes").alias("pb")), t.select(F.col("id").alias("tid"), F.col("n").alias("tn"), F.col("boxes").alias("tb"))
-    sized = covered.where(F.col("covered") >= min(SPARE, LEAST_BOXES - 1)).join(a.select("pid", "pn"), "pid").join(b.select("tid", "tn"), "tid")
+    sized = covered.join(a.select("pid", "pn"), "pid").join(b.select("tid", "tn"), "tid")
     larger = F.greatest("pn", "tn")
     searched = F.least(F.col("pn"), F.col("pn") - need(F.col("pn")) + SPARE)
     cand = ws.save(sized.where((F.least("pn", "tn") >= need(larger)) & (F.col("covered") >= searched - (F.col("pn") - need(larger)))).select("pid", "tid"), "candidates")
@@ -210,28 +270,41 @@ def near_pairs(eval_classes: DataFrame, train_classes: DataFrame, ws: Workspace)
     return checked.where(F.col("paired") * of >= larger * up).select("pid", "tid")
 
 
-def cross_split_pairs(manifest: DataFrame, tree_doc: DataFrame, ws: Workspace) -> DataFrame:
-    """(eval_row, train_row, reason) for all cross-split overlaps; a pair may come for both reasons.
+def named_pairs(rows: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): (pid, tid) of the evaluation and training classes that name one tree, and (row_id, s, name) of all rows with a name."""
+    words = rows.where("tree is not null").select("row_id", "s", F.translate("tree", "|", " ").alias("key"), (F.col("s") == "train").alias("t"))
+    classes = ws.save(words.groupBy("t", "key").agg(F.min("row_id").alias("id")), "names")
+    ev, tr = classes.where("not t"), classes.where("t")
+    counts = {r["t"]: r["n"] for r in classes.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
+    pairs = scan_texts(ev, tr, Names(), counts.get(False, 0), counts.get(True, 0)).select("pid", "tid")
+    return ws.save(pairs, "named"), words.join(classes, ["t", "key"]).select("row_id", "s", F.col("id").alias("name"))
+
+
+def overlap_classes(manifest: DataFrame, tree_doc: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, by_name, by_boxes): rows (row_id, s, source, name, id) with their classes of names and of boxes, and the classes' pairs (pid, tid).
 
     Rows whose new_split names no split, rows with null row_id and, for the boxes, rows without document are in no pair of
-    that kind.  Rows listed again are rows of their own.  Empty tables give an empty result.
+    that kind.  Rows listed again are rows of their own.
     """
-    rows = ws.save(manifest.where("row_id is not null").select("row_id", "doc_no", split_name(F.col("new_split")).alias("s"), tree_key(F.col("tree_id")).alias("tree")).where("s is not null"), "rows")
-    ev, tr = rows.where("s <> 'train'"), rows.where("s = 'train'")
-    named = lambda r: r.where("tree is not null").groupBy(F.col("tree").alias("token")).agg(F.min("row_id").alias("id")).withColumn("ord", F.lit(0))
-    keys = named(ev)
-    shared = scan_texts(keys, named(tr)).select("pid").distinct().join(keys.select(F.col("id").alias("pid"), F.col("token").alias("tree")), "pid").select("tree")
-    same = ev.select("tree", F.col("row_id").alias("eval_row")).join(shared, "tree").join(tr.select("tree", F.col("row_id").alias("train_row")), "tree").select("eval_row", "train_row", F.lit("tree").alias("reason"))
-
+    rows = ws.save(manifest.where("row_id is not null").select("row_id", "doc_no", "source", split_name(F.col("new_split")).alias("s"), tree_key(F.col("tree_id")).alias("tree")).where("s is not null"), "rows")
+    by_name, named = named_pairs(rows, ws)
     docs = ws.save(document_boxes(tree_doc).withColumn("sig", F.sha2(F.col("boxes").cast("string"), 256)), "docs")
     classes = ws.save(docs.groupBy("sig").agg(F.min(F.struct("doc_no", "n", "boxes")).alias("m")).select("sig", F.col("m.doc_no").alias("id"), "m.n", "m.boxes"), "classes")
     member = docs.select("doc_no", "sig").join(classes.select("sig", "id"), "sig").select("doc_no", "id")
-    held = ws.save(rows.where("doc_no is not null").select("row_id", "doc_no", "s").join(member, "doc_no").select("row_id", "s", "id"), "held")
-    of_ = lambda r: classes.join(r.select("id").distinct(), "id", "left_semi").select("id", "n", "boxes")
-    pairs = near_pairs(of_(held.where("s <> 'train'")), of_(held.where("s = 'train'")), ws)
-    boxes = held.where("s <> 'train'").select(F.col("id").alias("pid"), F.col("row_id").alias("eval_row")).join(pairs, "pid").join(
-        held.where("s = 'train'").select(F.col("id").alias("tid"), F.col("row_id").alias("train_row")), "tid").select("eval_row", "train_row", F.lit("boxes").alias("reason"))
-    return same.union(boxes)
+    whole = ws.save(rows.join(named.select("row_id", "name").dropDuplicates(["row_id"]), "row_id", "left").join(member, "doc_no", "left").select("row_id", "s", "source", "name", "id"), "held")
+    of_ = lambda c: classes.join(whole.where(c).select("id").distinct(), "id", "left_semi").select("id", "n", "boxes")
+    return whole, by_name, ws.save(near_pairs(of_("s <> 'train'"), of_("s = 'train'"), ws), "near")
+
+
+def cross_split_pairs(manifest: DataFrame, tree_doc: DataFrame, ws: Workspace) -> DataFrame:
+    """(eval_row, train_row, reason) for all cross-split overlaps; a pair may come for both reasons.  Empty tables give an empty result."""
+    rows, by_name, by_boxes = overlap_classes(manifest, tree_doc, ws)
+
+    def expand(pairs: DataFrame, c: str, reason: str) -> DataFrame:
+        ev, tr = rows.where("s <> 'train'").select(F.col(c).alias("pid"), F.col("row_id").alias("eval_row")), rows.where("s = 'train'").select(F.col(c).alias("tid"), F.col("row_id").alias("train_row"))
+        return pairs.join(ev, "pid").join(tr, "tid").select("eval_row", "train_row", F.lit(reason).alias("reason"))
+
+    return expand(by_name, "name", "tree").union(expand(by_boxes, "id", "boxes"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,12 +312,25 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.least("eval_row", "train_row").alias("row_lo"), F.greatest("eval_row", "train_row").alias("row_hi")).distinct()
 
 
+def overlap_report(rows: DataFrame, by_name: DataFrame, by_boxes: DataFrame) -> DataFrame:
+    """For each evaluation split and source: its rows, those that overlap with training rows, by reason, and the pairs.
+
+    Pairs are counted by the sizes of the classes, without forming them: by name, plus by boxes, less those that are both.
+    """
+    tr = rows.where("s = 'train'")
+    cells = rows.where("s <> 'train'").groupBy(F.col("s").alias("new_split"), "source", "name", "id").agg(F.count(F.lit(1)).alias("n"))
+    size = lambda c, k: tr.where(f"{c} is not null").groupBy(F.col(c).alias(k)).agg(F.count(F.lit(1)).alias("k"))
+    per = lambda pairs, c, out: pairs.join(size(c, "tid"), "tid").groupBy(F.col("pid").alias(c)).agg(F.sum("k").alias(out))
+    both_sizes = tr.where("name is not null and id is not null").groupBy(F.col("name").alias("tn"), F.col("id").alias("tb")).agg(F.count(F.lit(1)).alias("k"))
+    both = cells.select("name", "id").where("name is not null and id is not null").distinct()
+    both = both.join(by_name.select(F.col("pid").alias("name"), F.col("tid").alias("tn")), "name").join(both_sizes, "tn").join(by_boxes.select(F.col("pid").alias("id"), F.col("tid").alias("tb")), ["id", "tb"])
+    both = both.groupBy("name", "id").agg(F.sum("k").alias("b"))
+    out = cells.join(per(by_name, "name", "t"), "name", "left").join(per(by_boxes, "id", "x"), "id", "left").join(both, ["name", "id"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("bigint")
+    return out.groupBy("new_split", "source").agg(F.sum("n").alias("n_rows"), total(F.col("t").isNotNull() | F.col("x").isNotNull()).alias("overlapping_rows"), total(F.col("t").isNotNull()).alias("by_tree"),
+                                                  total(F.col("x").isNotNull()).alias("by_boxes"), F.sum(F.col("n") * (zero("t") + zero("x") - zero("b"))).cast("bigint").alias("n_pairs"))
+
+
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each evaluation split and source: its rows, those that overlap with training rows, by reason, and the pairs."""
-    manifest = read(spark, sf_dir, "split_manifest")
-    pairs = cross_split_pairs(manifest, read(spark, sf_dir, "tree_doc"), Workspace(spark, "p2"))
-    per_row = pairs.groupBy("eval_row").agg(F.countDistinct("train_row").alias("n"), F.max((F.col("reason") == "tree").cast("int")).alias("t"), F.max((F.col("reason") == "boxes").cast("int")).alias("b"))
-    rows = manifest.select(F.col("row_id").alias("eval_row"), split_name(F.col("new_split")).alias("new_split"), "source").where("new_split <> 'train'")
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
-    return rows.join(per_row, "eval_row", "left").groupBy("new_split", "source").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count("n").alias("overlapping_rows"), total("t").alias("by_tree"), total("b").alias("by_boxes"), total("n").alias("n_pairs"))
+    return overlap_report(*overlap_classes(read(spark, sf_dir, "split_manifest"), read(spark, sf_dir, "tree_doc"), Workspace(spark, "p2")))

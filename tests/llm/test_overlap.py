@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from grovekit.llm.overlap import cross_split_pairs, pair_count, scan_texts
+from grovekit.llm import overlap
+from grovekit.llm.overlap import SHARD_PHRASES, Boxes, Names, cross_split_pairs, merged_length, overlap_classes, overlap_report, pair_count, scan_texts
 from grovekit.scale import Workspace
 
 DOC = """doc_no bigint, tree_id string, ingested_at timestamp, token string, images map<string, struct<side_index:int, filename:string, width:int, height:int,
@@ -20,7 +22,7 @@ def document(no, boxes, pixel=False):
 
 
 def pairs(spark, rows, docs):
-    out = cross_split_pairs(spark.createDataFrame(rows, ROW), spark.createDataFrame(docs, DOC), Workspace(spark, "t"))
+    out = cross_split_pairs(spark.createDataFrame(rows, ROW).withColumn("source", F.lit("x")), spark.createDataFrame(docs, DOC), Workspace(spark, "t"))
     return {(r.eval_row, r.train_row, r.reason) for r in out.collect()}
 
 
@@ -63,7 +65,48 @@ def test_pair_count_is_a_largest_matching():
     assert pair_count(a, b + [0, 0, 0.02, 0]) == 0
 
 
-def test_scan_finds_all_tokens(spark):
-    p = spark.createDataFrame([(1, 0, "ab"), (2, 0, "b"), (3, 1, "ab"), (4, 0, "nix")], "id bigint, ord int, token string")
-    t = spark.createDataFrame([(10, 0, "ab"), (11, 0, "b"), (12, 2, "cab"), (13, 0, "a")], "id bigint, ord int, token string")
-    assert {(r.pid, r.tid) for r in scan_texts(p, t).collect()} == {(1, 10), (3, 10), (2, 11)}
+def test_scan_finds_all_phrases(spark):
+    p = spark.createDataFrame([(1, "a b 1"), (2, "b"), (4, "nix")], "id bigint, key string")
+    t = spark.createDataFrame([(10, "a b 1"), (11, "b"), (12, "c a b 1"), (13, "a"), (14, "b 1")], "id bigint, key string")
+    for shard in (1, 1000):
+        assert {(r.pid, r.tid) for r in scan_texts(p, t, Names(), shard * SHARD_PHRASES // 300, 5).collect()} == {(1, 10), (2, 11)}
+
+
+def test_shards_and_salts_lose_nothing(spark, monkeypatch):
+    rnd = random.Random(3)
+    docs = [(i, [round(rnd.uniform(0.1, 0.9), 2) for _ in range(4 * 8)]) for i in range(40)]
+    near = [(100 + i, [v + rnd.uniform(-0.009, 0.009) for v in b]) for i, b in docs]
+    t = spark.createDataFrame(near, "id bigint, boxes array<double>")
+    p = spark.createDataFrame([(i, b, list(range(8))) for i, b in docs], "id bigint, boxes array<double>, ords array<int>")
+    want = {(i, 100 + i, 8) for i, _ in docs}
+    for phrases, expanded in ((1, 2_000_000), (SHARD_PHRASES * 7, 3)):
+        monkeypatch.setattr(overlap, "EXPANDED", expanded)
+        got = {(r.pid, r.tid, r.covered) for r in scan_texts(p, t, Boxes(0.01), phrases, 10, 4).collect()}
+        assert got == want
+
+
+def test_merged_length():
+    key, start, stop = np.array([2, 1, 2, 2, 1]), np.array([0, 5, 2, 8, 5]), np.array([3, 9, 6, 9, 6])
+    keys, length = merged_length(key, start, stop)
+    assert list(keys) == [1, 2] and list(length) == [4, 7]
+
+
+def test_report_counts_the_pairs_of_classes(spark):
+    rnd = random.Random(8)
+    base = [[(rnd.random(), rnd.random(), 0.1, 0.1) for _ in range(8)] for _ in range(3)]
+    docs = [document(i, base[i % 3]) for i in range(1, 31)]
+    rows = [(i, i if i % 4 else None, rnd.choice(["train", "latih", "val", "uji", None]), f"A_B1C_{rnd.randrange(6)}", rnd.choice(["x", "y", None]), 0, 0) for i in range(1, 31)]
+    schema = ROW.replace("s string", "source string")
+    args = spark.createDataFrame(rows, schema), spark.createDataFrame(docs, DOC), Workspace(spark, "t")
+    found = cross_split_pairs(*args).collect()
+    both = {(r.eval_row, r.train_row) for r in found}
+    tree, box = ({r.eval_row for r in found if r.reason == k} for k in ("tree", "boxes"))
+    split = {"val": "val", "uji": "test"}
+    got = {(r.new_split, r.source): tuple(r)[2:] for r in overlap_report(*overlap_classes(*args[:2], Workspace(spark, "t"))).collect()}
+    want = {}
+    for r in rows:
+        if r[2] in split:
+            n, hit, t, b, k = want.get((split[r[2]], r[4]), (0, 0, 0, 0, 0))
+            mine = {x for e, x in both if e == r[0]}
+            want[split[r[2]], r[4]] = (n + 1, hit + bool(mine), t + (r[0] in tree), b + (r[0] in box), k + len(mine))
+    assert got == want

@@ -1,16 +1,20 @@
 import random
 
+import pandas as pd
 from test_overlap import document, pairs
 
-from grovekit.llm.overlap import TOLERANCE, passage_tokens, text_tokens
+from grovekit.llm.overlap import TOLERANCE, Boxes
 
 
-def test_every_cell_within_reach_is_listed(spark):
+def test_every_cell_within_reach_is_listed():
     centres = [k / 100 for k in range(0, 100)]
-    one = lambda vs: spark.createDataFrame([(i, 0, [v, 0.25, 0.25, 0.25]) for i, v in enumerate(vs)], "id bigint, ord int, v array<double>")
-    listed = {(r.id, r.token) for r in passage_tokens(one(centres)).collect()}
+    table = lambda vs: pd.DataFrame({"boxes": [[v, 0.25, 0.25, 0.25] for v in vs], "ords": [[0]] * len(vs)})
+    codec = Boxes(TOLERANCE)
+    phrases, owner, _, _ = codec.phrases(table(centres))
+    listed = set(zip(owner.tolist(), phrases, strict=True))
     for shift in (-TOLERANCE, -0.005, 0.0, 0.005, TOLERANCE):
-        assert {(r.id, r.token) for r in text_tokens(one([v + shift for v in centres])).collect()} <= listed
+        text = codec.text(table([v + shift for v in centres]))[0]
+        assert {(i, text[5 * i : 5 * i + 4]) for i in range(len(centres))} <= listed
 
 
 def test_least_share_on_cell_centres(spark):
