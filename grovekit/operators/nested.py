@@ -7,16 +7,19 @@ one table each.
 
 * :func:`typed_table` does it for nested Spark columns, with built-in expressions only.
 * :func:`json_nodes` does it for JSON text whose members are optional, wrapped, differently shaped or typed; it parses
-  every body once.  A body that is not complete JSON (null, blank, cut off, with a rest behind it) yields no node.
+  every body once, however deep.  A body that is not complete JSON (null, blank, cut off, with a rest behind it) yields no
+  node; one that is a list of documents yields each of them, labelled by its ordinal.
 
-Null or empty collections yield no rows, null elements yield no row but keep their ordinal, and repeated documents are
-repeated in the tables (only :func:`linked_appearances` is distinct).  Columns of the input other than the key and the named
-nested ones are ignored, so clashing names do no harm.
+(source_row, node) is unique in every table and (source_row, parent) names the parent's row: source_row tells rows apart that
+were filed twice under one document number.  Null or empty collections yield no rows, null elements yield no row but keep
+their ordinal, and repeated documents are repeated in the tables (only :func:`linked_appearances` is distinct).  Columns of
+the input other than the keys and the named nested ones are ignored, so clashing names do no harm.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -24,10 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grovekit.scale import Workspace
+
 #: Members that hold many objects: as list, as object of named objects, or as a single object.
 COLLECTIONS = ("images", "annotations", "bunches", "appearances")
 
-NODE_SCHEMA = "doc_no bigint, source_row bigint, path string, node string, parent string, name string, members map<string,string>, parent_members map<string,string>"
+NODE_SCHEMA = "doc_no bigint, source_row string, path string, node string, parent string, name string, members map<string,string>, parent_members map<string,string>"
 
 
 def parent_label(node: Column, steps: int = 2) -> Column:
@@ -49,24 +54,25 @@ def _flat(kind: T.DataType) -> bool:
     return not isinstance(inner, T.StructType)
 
 
-def typed_table(df: DataFrame, key: str, path: Sequence[str], up: Sequence[str] = ()) -> DataFrame:
+def typed_table(df: DataFrame, keys: Sequence[str], path: Sequence[str], up: Sequence[str] = ()) -> DataFrame:
     """The table of the objects at ``path`` (e.g. ``("images", "annotations")``) of nested columns.
 
-    Columns: the key, ``node``, ``parent``, ``name`` (the map key of a named object), the object's own flat members, and
+    Columns: the keys, ``node``, ``parent``, ``name`` (the map key of a named object), the object's own flat members, and
     ``up``: members of the object's ancestors, named ``<collection>_<member>`` (``name`` for the ancestor's map key).
     """
     fields = df.schema
     at = [f.name for f in fields].index(path[0])
     arr, kind = _elements(F.col(f"`{path[0]}`"), fields[path[0]].dataType)
-    out = df.select(F.col(f"`{key}`").alias("_key"), F.posexplode(arr).alias("_pos", "_e0"))
+    ids = [f"_k{i}" for i in range(len(keys))]
+    out = df.select(*[F.col(f"`{k}`").alias(i) for k, i in zip(keys, ids, strict=True)], F.posexplode(arr).alias("_pos", "_e0"))
     label = [F.lit(at), F.col("_pos")]
     keep: list[Column] = []
-    out = out.where("_e0.value is not null").select("_key", F.concat_ws(".", *label).alias("_node"), "_e0")
+    out = out.where("_e0.value is not null").select(*ids, F.concat_ws(".", *label).alias("_node"), "_e0")
     for depth, name in enumerate(path[1:], 1):
         ordinal = [f.name for f in kind].index(name)
         arr, child = _elements(F.col(f"_e{depth - 1}.value.`{name}`"), kind[name].dataType)
         keep = [F.col(f"_e{i}") for i in range(depth)]
-        out = out.select("_key", "_node", *keep, F.posexplode(arr).alias("_pos", f"_e{depth}")).where(f"_e{depth}.value is not null")
+        out = out.select(*ids, "_node", *keep, F.posexplode(arr).alias("_pos", f"_e{depth}")).where(f"_e{depth}.value is not null")
         out = out.withColumn("_node", F.concat_ws(".", "_node", F.lit(ordinal), "_pos")).drop("_pos")
         kind = child
     last = f"_e{len(path) - 1}"
@@ -76,7 +82,7 @@ def typed_table(df: DataFrame, key: str, path: Sequence[str], up: Sequence[str]
         owner, member = u.rsplit(".", 1)
         e = f"_e{list(path).index(owner)}"
         ups.append((F.col(f"{e}.key") if member == "name" else F.col(f"{e}.value.`{member}`")).alias(f"{owner}_{member}"))
-    return out.select(F.col("_key").alias(key), F.col("_node").alias("node"), parent_label(F.col("_node")).alias("parent"), F.col(f"{last}.key").alias("name"), *ups, *own)
+    return out.select(*[F.col(i).alias(k) for k, i in zip(keys, ids, strict=True)], F.col("_node").alias("node"), parent_label(F.col("_node")).alias("parent"), F.col(f"{last}.key").alias("name"), *ups, *own)
 
 
 def _scalar(v) -> str | None:
@@ -84,12 +90,38 @@ def _scalar(v) -> str | None:
         return None
     if isinstance(v, bool):
         return "true" if v else "false"
-    return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
-
-
-def shred(doc, collections: frozenset[str]) -> Iterator[tuple]:
-    """(path, node, parent, name, members, parent's members) of every object of a parsed document, parents first."""
-    stack = [("", "", "", None, doc, {})]
+    if isinstance(v, str):
+        return v
+    try:
+        return json.dumps(v, ensure_ascii=False)
+    except RecursionError:
+        return _written(v)
+
+
+def _written(v) -> str:
+    """JSON text of a value of any depth, like ``json.dumps``."""
+    out, todo = [], [v]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, tuple):
+            out.append(x[0])
+        elif isinstance(x, list):
+            parts = [p for y in x for p in ((", ",), y)][1:]
+            todo += reversed([("[",), *parts, ("]",)])
+        elif isinstance(x, dict):
+            parts = [p for k, y in x.items() for p in ((", ",), (json.dumps(k, ensure_ascii=False) + ": ",), y)][1:]
+            todo += reversed([("{",), *parts, ("}",)])
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out)
+
+
+def shred(doc, collections: frozenset[str], label: str = "") -> Iterator[tuple]:
+    """(path, node, parent, name, members, parent's members) of every object of a parsed document, parents first.
+
+    ``label``: the document's own label, its ordinal in a list of documents.
+    """
+    stack = [("", label, None, None, doc, {})]
     while stack:
         path, node, parent, name, obj, up = stack.pop()
         members, children = {}, []
@@ -109,28 +141,94 @@ def shred(doc, collections: frozenset[str]) -> Iterator[tuple]:
 
 
 def unwrap(doc, collections: frozenset[str]):
-    """The object that holds the collections: the document itself, or what an envelope around it holds."""
+    """The object that holds the collections: the document itself, or what the envelopes around it hold, however many."""
     level = [doc]
-    for _ in range(8):
+    while level:
         for x in level:
             if isinstance(x, dict) and collections & x.keys():
                 return x
         level = [v for x in level if isinstance(x, dict) for v in x.values() if isinstance(v, dict)]
-        if not level:
-            break
     return doc if isinstance(doc, dict) else None
 
 
+def documents_of(value, collections: frozenset[str]) -> list[tuple[str, dict]]:
+    """(label, document) of a parsed body: one document, or a list of them (of lists too), each labelled by its ordinals."""
+    if not isinstance(value, list):
+        doc = unwrap(value, collections)
+        return [] if doc is None else [("", doc)]
+    out, todo = [], [("", value)]
+    while todo:
+        label, v = todo.pop()
+        if isinstance(v, list):
+            todo += [(f"{label}.{i}" if label else str(i), x) for i, x in reversed(list(enumerate(v)))]
+        elif (doc := unwrap(v, collections)) is not None:
+            out.append((label, doc))
+    return out
+
+
 def parse_document(body: str | None):
     """The parsed JSON of a body, without byte order mark; None if it is not one complete JSON value."""
     if body is None:
         return None
+    text = body.lstrip("\ufeff \t\r\n")
     try:
-        return json.loads(body.lstrip("﻿ \t\r\n"))
-    except (ValueError, RecursionError):
+        return json.loads(text)
+    except RecursionError:
+        return _parse_deep(text)
+    except ValueError:
         return None
 
 
+_TOKEN = re.compile(r'[ \t\r\n]*(?:([\[\]{},:])|("(?:[^"\\\x00-\x1f]|\\.)*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity))')
+
+
+def _parse_deep(text: str):
+    """``json.loads`` for values nested deeper than the interpreter's stack: a stack of open lists and objects."""
+    open_: list = []  # (container, key waiting for its value)
+    at, end, want = 0, len(text.rstrip(" \t\r\n")), "value"
+    result = None
+    while at < end:
+        m = _TOKEN.match(text, at)
+        if not m or want == "nothing":
+            return None
+        at = m.end()
+        sign = m[1]
+        if sign in ("[", "{") and want in ("value", "value or ]"):
+            open_.append([[] if sign == "[" else {}, None])
+            want = "value or ]" if sign == "[" else "key or }"
+            continue
+        if sign == ":" and want == ":":
+            want = "value"
+            continue
+        if sign == "," and want == "more" and open_:
+            want = "value" if isinstance(open_[-1][0], list) else "key"
+            continue
+        if m[2] and want in ("key", "key or }"):
+            try:
+                open_[-1][1], want = json.loads(m[2]), ":"
+            except ValueError:
+                return None
+            continue
+        if sign in ("]", "}"):
+            if not open_ or isinstance(open_[-1][0], list) != (sign == "]") or want not in ("more", "value or ]" if sign == "]" else "key or }"):
+                return None
+            value = open_.pop()[0]
+        elif sign is None and want in ("value", "value or ]"):
+            try:
+                value = json.loads(m[2] or m[3])
+            except ValueError:
+                return None
+        else:
+            return None
+        if not open_:
+            result, want = value, "nothing"
+        else:
+            box, key = open_[-1]
+            box.append(value) if isinstance(box, list) else box.__setitem__(key, value)
+            want = "more"
+    return result if want == "nothing" else None
+
+
 def json_nodes(df: DataFrame, key: str, row: str, body: str, collections: Sequence[str] = COLLECTIONS) -> DataFrame:
     """One row for each object of each JSON body: schema path, Dewey label, parent's label, members as text."""
     many = frozenset(collections)
@@ -139,26 +237,25 @@ def json_nodes(df: DataFrame, key: str, row: str, body: str, collections: Sequen
         for pdf in batches:
             rows = []
             for k, r, b in zip(pdf["k"], pdf["r"], pdf["b"], strict=True):
-                doc = unwrap(parse_document(b), many)
-                if doc is not None:
-                    rows += [(k, r, *n) for n in shred(doc, many)]
+                for label, doc in documents_of(parse_document(b), many):
+                    rows += [(k, r, *n) for n in shred(doc, many, label)]
                 if len(rows) > 20_000:
                     yield _frame(rows)
                     rows = []
             yield _frame(rows)
 
-    return df.select(F.col(key).cast("bigint").alias("k"), F.col(row).cast("bigint").alias("r"), F.col(body).alias("b")).mapInPandas(run, NODE_SCHEMA)
+    return df.select(F.col(key).cast("bigint").alias("k"), F.col(row).cast("string").alias("r"), F.col(body).alias("b")).mapInPandas(run, NODE_SCHEMA)
 
 
 def _frame(rows: list) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["doc_no", "source_row", "path", "node", "parent", "name", "members", "parent_members"], dtype=object)
-    return out.astype({"doc_no": "Int64", "source_row": "Int64"})
+    return out.astype({"doc_no": "Int64"})
 
 
 def whole(c: Column) -> Column:
-    """A whole number given as number or as text."""
+    """A whole number given as number or as text; null if it is none, or beyond four bytes."""
     t = F.btrim(c.cast("string"))
-    return F.when(t.rlike(r"^[+-]?[0-9]{1,9}(\.0*)?$"), t.cast("double").cast("int"))
+    return F.when(t.rlike(r"^[+-]?[0-9]+(\.0*)?$"), F.regexp_replace(t, r"\.0*$", "").try_cast("int"))
 
 
 def numbers(c: Column) -> Column:
@@ -168,22 +265,28 @@ def numbers(c: Column) -> Column:
     return F.when(c.isNotNull(), F.transform(parts, lambda x: x.try_cast("double")))
 
 
-def tree_tables(tree_doc: DataFrame, tree_raw: DataFrame) -> dict[str, DataFrame]:
-    """trees, images, annotations, bunches and appearances of both document tables, with the same columns."""
-    nodes = json_nodes(tree_raw, "doc_no", "raw_id", "body")
+def tree_tables(tree_doc: DataFrame, tree_raw: DataFrame, ws: Workspace) -> dict[str, DataFrame]:
+    """trees, images, annotations, bunches and appearances of both document tables, with the same columns.
+
+    ``tree_doc`` has a column ``source_row`` that is unique (:func:`grovekit.scale.with_source_row`); a raw document's is its
+    raw_id.  Raw bodies are parsed once, into a working table that all five tables read.
+    """
+    docs = tree_doc.withColumn("source_row", F.concat(F.lit("doc:"), F.col("source_row")))
+    nodes = ws.save(json_nodes(tree_raw.withColumn("source_row", F.concat(F.lit("raw:"), F.col("raw_id"))), "doc_no", "source_row", "body"), "nodes")
     m, up = (lambda k: F.col("members")[k]), (lambda k: F.col("parent_members")[k])
     at = lambda path: nodes.where(F.col("path") == path)
-    ids = ["doc_no", "node", "parent"]
-    trees = tree_doc.select("doc_no", F.lit("").alias("node"), "tree_id", "tree_name", "split", "detector").union(
-        at("").select("doc_no", "node", m("tree_id"), m("tree_name"), m("split"), m("detector")))
-    images = typed_table(tree_doc, "doc_no", ["images"]).select(*ids, F.col("name").alias("side"), "side_index", "filename", "width", "height").union(
+    keys = ["source_row", "doc_no"]
+    ids = [*keys, "node", "parent"]
+    trees = docs.select(*keys, F.lit("").alias("node"), "tree_id", "tree_name", "split", "detector").union(
+        at("").select(*keys, "node", m("tree_id"), m("tree_name"), m("split"), m("detector")))
+    images = typed_table(docs, keys, ["images"]).select(*ids, F.col("name").alias("side"), "side_index", "filename", "width", "height").union(
         at("images").select(*ids, F.coalesce("name", m("side")), whole(m("side_index")), m("filename"), whole(m("width")), whole(m("height"))))
-    ann = typed_table(tree_doc, "doc_no", ["images", "annotations"], up=["images.side_index"]).select(
+    ann = typed_table(docs, keys, ["images", "annotations"], up=["images.side_index"]).select(
         *ids, F.col("images_side_index").alias("side_index"), "box_index", "class_id", "class_name", "bbox_yolo", "bbox_pixel", "conf").union(
         at("images.annotations").select(*ids, whole(up("side_index")), whole(m("box_index")), whole(m("class_id")), m("class_name"), numbers(m("bbox_yolo")), numbers(m("bbox_pixel")), m("conf").try_cast("double")))
-    bunches = typed_table(tree_doc, "doc_no", ["bunches"]).select(*ids, "bunch_id", F.col("class").alias("class_name"), "class_mismatch", "appearance_count").union(
+    bunches = typed_table(docs, keys, ["bunches"]).select(*ids, "bunch_id", F.col("class").alias("class_name"), "class_mismatch", "appearance_count").union(
         at("bunches").select(*ids, m("bunch_id"), F.coalesce(m("class"), m("class_name")), m("class_mismatch").try_cast("boolean"), whole(m("appearance_count"))))
-    app = typed_table(tree_doc, "doc_no", ["bunches", "appearances"], up=["bunches.bunch_id"]).select(
+    app = typed_table(docs, keys, ["bunches", "appearances"], up=["bunches.bunch_id"]).select(
         *ids, F.col("bunches_bunch_id").alias("bunch_id"), "side", "side_index", "box_index", "bbox_pixel").union(
         at("bunches.appearances").select(*ids, up("bunch_id"), m("side"), whole(m("side_index")), whole(m("box_index")), numbers(m("bbox_pixel"))))
     return {"trees": trees, "images": images, "annotations": ann, "bunches": bunches, "appearances": app}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from grovekit.operators import drift, nested
 from grovekit.plans.registry import Registry
-from grovekit.scale import Workspace, read
+from grovekit.scale import Workspace, read, with_source_row
 
 P3_SQL = r"""
 WITH raw AS (
@@ -40,7 +40,7 @@ FROM named n JOIN anns x ON x.doc_no = n.doc_no AND x.side_index = n.side_index
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return nested.tree_tables(read(spark, sf_dir, "tree_doc"), read(spark, sf_dir, "tree_raw"))
+    return nested.tree_tables(with_source_row(read(spark, sf_dir, "tree_doc")), read(spark, sf_dir, "tree_raw"), Workspace(spark, "p3"))
 
 
 def _history(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -128,3 +128,8 @@ def distributed_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column]
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def with_source_row(df: DataFrame, out: str = "source_row") -> DataFrame:
+    """A scan of Parquet files with a unique text for each row: its file's name and its place there, the same at every read."""
+    return df.withColumn(out, F.concat_ws(":", F.col("_metadata.file_name"), F.col("_metadata.row_index")))

@@ -1,8 +1,11 @@
 import datetime as dt
 import json
 
+from pyspark.sql import functions as F
+
 from grovekit.operators import drift, nested
 from grovekit.plans.documents import history_changes, history_table
+from grovekit.scale import Workspace
 
 DOC = """doc_no bigint, tree_id string, tree_name string, split string, detector string, node string,
  images map<string, struct<side_index:int, filename:string, width:int, height:int, annotations:array<struct<box_index:int, class_id:int, class_name:string, bbox_yolo:array<double>, bbox_pixel:array<double>, conf:double>>>>,
@@ -12,7 +15,7 @@ DOC = """doc_no bigint, tree_id string, tree_name string, split string, detector
 def found(spark, docs, bodies):
     d = spark.createDataFrame(docs, DOC)
     r = spark.createDataFrame([(i, n, b, "x") for i, (n, b) in enumerate(bodies)], "raw_id bigint, doc_no bigint, body string, path string")
-    t = nested.tree_tables(d, r)
+    t = nested.tree_tables(d.withColumn("source_row", F.monotonically_increasing_id()), r, Workspace(spark, "t"))
     return {tuple(x) for x in nested.linked_appearances(t).collect()}, t
 
 
@@ -47,6 +50,40 @@ def test_truncation_gives_parents():
     assert by["0.0.0.1"] == ("images.annotations", "0.0") and by["0.0"] == ("images", "") and by["1"] == ("meta", "")
 
 
+def test_no_depth_or_size_is_too_much(spark):
+    deep = {"images": {"a": {"side_index": 0, "annotations": [{"box_index": "1000000000"}]}}, "bunches": [{"bunch_id": "x", "appearances": [{"side": "a", "box_index": 1000000000}]}]}
+    wrapped = json.dumps(deep)
+    for _ in range(30):
+        wrapped = '{"data": ' + wrapped + "}"
+    nest = '{"odd": ' + "[" * 200_000 + "]" * 200_000 + ", " + json.dumps(deep)[1:]
+    got, t = found(spark, [], [(1, wrapped), (2, nest), (3, "[" + json.dumps(deep) + ", 5, " + json.dumps(deep) + "]"), (4, nest[:-1]), (5, "[" * 200_000)])
+    assert got == {(i, "x", 0, 1000000000) for i in (1, 2, 3)}
+    assert sorted(r.node for r in t["trees"].where("doc_no = 3").collect()) == ["0", "2"]
+
+
+def test_keys_are_unique_where_documents_are_filed_twice(spark):
+    im = {"a": (0, None, None, None, [ann(0), ann(1)])}
+    bunches = [("k", None, None, None, [("a", 0, 0, None), ("a", 0, 1, None)])]
+    doc = {"images": {"a": {"side_index": 0, "annotations": [{"box_index": 0}]}}, "bunches": [{"bunch_id": 7, "appearances": {"side": "a", "box_index": 0}}]}
+    _, t = found(spark, [(1, "t", None, None, None, "n", im, bunches)] * 2, [(1, json.dumps(doc)), (1, json.dumps(doc)), (1, json.dumps([doc, doc]))])
+    keys = {}
+    for name, df in t.items():
+        rows = [(r.source_row, r.node) for r in df.collect()]
+        keys[name] = set(rows)
+        assert len(rows) == len(keys[name])
+    for child, parent in (("images", "trees"), ("annotations", "images"), ("bunches", "trees"), ("appearances", "bunches")):
+        assert {(r.source_row, r.parent) for r in t[child].collect()} <= keys[parent]
+
+
+def test_deep_parser_agrees_with_the_plain_one():
+    good = ['{"a": [1, -2.5e3, "x\\n\\u00e9", {}, [], null, true, {"b": {"c": "]"}}], "a": 2}', "[]", "{}", ' 5 ', '"t"', "[[[1]]]"]
+    bad = ["", "{", "[1,]", "{,}", '{"a"}', '{"a": }', "[1 2]", "[1]]", '{"a": 1,}', "tru", "[1}", '{"a": 1]', ":", ",", '"', "01", '{1: 2}', "[,1]"]
+    for text in good:
+        assert nested._parse_deep(text) == json.loads(text)
+    assert [nested._parse_deep(t) for t in bad] == [None] * len(bad)
+    assert nested._written(json.loads(good[0])) == json.dumps(json.loads(good[0]), ensure_ascii=False)
+
+
 def lines(files):
     out, k = [], 0
     for fid, run, day, text in files:
