@@ -1,10 +1,10 @@
 """Files whose schemas drift: every change from file to file, and one consistent table.
 
 Lines are cells by the delimiter and quoting of their file's header, all in built-in expressions; a file is never gathered.
-For each file and its predecessor in the run the schema graphs (columns, types, name parts, name groups, neighbours) are
-matched by similarity flooding: start similarities of names flow along equally labelled edges of the pairwise graph until they
-settle.  All column pairs with their scores are candidates; an exact test of their values on shared epochs follows, and
-where several columns hold the same values the flooding scores select a one-to-one correspondence.
+For each file and its predecessor in the run the schema graphs (columns, types, name parts, name groups, neighbours, and what
+range the values of shared epochs have) are matched by similarity flooding: start similarities flow along equally labelled
+edges of the pairwise graph until they settle.  The settled scores alone select the correspondences, one-to-one, best
+first, above ``LEAST_SCORE``; an exact test of the selected columns' values on shared epochs confirms or drops each.
 
 Defined cases: null and blank lines, comments (``#``), repeated headers and lines are no data; a column that is blank or nan
 throughout has no type and is neither renamed nor retyped; files without header line yield nothing; an empty table yields an
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -99,85 +100,100 @@ def column_types(cells: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- similarity flooding
 
-def _parts(name: str) -> set[str]:
-    return {p for p in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()) if p}
+#: Settled scores below this (the best pair of the graph has 1) are no correspondence.
+LEAST_SCORE = 0.005
+#: Columns move about, so what a pair's neighbours say counts less than its own name, type and values.
+NEXT_WEIGHT = 0.25
 
 
+@lru_cache(maxsize=1 << 16)
+def _parts(name: str) -> frozenset[str]:
+    return frozenset(p for p in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()) if p)
+
+
+@lru_cache(maxsize=1 << 16)
 def _alike(a: str, b: str) -> float:
     """Start similarity of two names: shared parts and shared letter pairs."""
+    if a == b:
+        return 1.0
     x, y = _parts(a), _parts(b)
     ga, gb = ({s[i : i + 2] for i in range(len(s) - 1)} for s in (a.lower(), b.lower()))
     dice = lambda p, q: 2 * len(p & q) / (len(p) + len(q)) if p or q else 0.0
     return 0.5 * dice(x, y) + 0.5 * dice(ga, gb) + 0.01
 
 
-def schema_graph(cols: list[tuple[str, str | None]]) -> tuple[list[str], list[tuple[int, str, int]]]:
-    """Nodes and labelled edges: the file has columns, a column has a type, name parts, a group (what precedes / . _) and a next one."""
-    nodes: list[str] = ["file:"]
-    index: dict[str, int] = {"file:": 0}
-
-    def node(n: str) -> int:
-        if n not in index:
-            index[n] = len(nodes)
-            nodes.append(n)
-        return index[n]
-
-    edges, before = [], None
-    for name, kind in cols:
-        c = node("column:" + name)
-        edges.append((0, "column", c))
-        edges.append((c, "type", node(f"type:{kind}")))
-        head = re.split(r"[/._]", name, maxsplit=1)
-        if len(head) == 2 and head[0]:
-            edges.append((c, "group", node("group:" + head[0].lower())))
-        edges += [(c, "part", node("part:" + p)) for p in sorted(_parts(name))]
-        if before is not None:
-            edges.append((before, "next", c))
-        before = c
-    return nodes, edges
-
-
-def flood(old: list[tuple[str, str | None]], new: list[tuple[str, str | None]], tolerance: float = 1e-4, most: int = 200) -> dict[tuple[str, str], float]:
-    """Settled similarity of every pair of columns (old name, new name) of two schemas."""
-    (na, ea), (nb, eb) = schema_graph(old), schema_graph(new)
-    kind = lambda n: n.split(":", 1)[0]
-    start = np.zeros((len(na), len(nb)))
-    for i, x in enumerate(na):
-        for j, y in enumerate(nb):
-            if kind(x) == kind(y):
-                start[i, j] = 1.0 if x == y else _alike(x.split(":", 1)[1], y.split(":", 1)[1])
-    flows = []
-    for label in ("column", "type", "group", "part", "next"):
-        a = np.zeros((len(na), len(na)))
-        b = np.zeros((len(nb), len(nb)))
-        for s, k, t in ea:
-            a[s, t] += k == label
-        for s, k, t in eb:
-            b[s, t] += k == label
-        # what a pair sends along a label is divided among all pairs it reaches by that label, forth and back
-        out_a, out_b = a.sum(1, keepdims=True), b.sum(1, keepdims=True)
-        in_a, in_b = a.sum(0, keepdims=True).T, b.sum(0, keepdims=True).T
-        flows.append((a / np.maximum(out_a, 1), b / np.maximum(out_b, 1), a.T / np.maximum(in_a, 1), b.T / np.maximum(in_b, 1)))
-    now = start.copy()
+Profile = tuple[float, ...]  # mean, least, largest, first and last value on the epochs that both files hold
+
+
+def _same_range(a: Profile | None, b: Profile | None) -> float:
+    """1 for equal ranges, falling fast with their mean relative distance; 0 where a column has no values to compare."""
+    if a is None or b is None:
+        return 0.0
+    d = sum(abs(x - y) / (abs(x) + abs(y)) if x != y else 0.0 for x, y in zip(a, b, strict=True)) / len(a)
+    return 1 / (1 + (d / 0.001) ** 2)
+
+
+class SchemaGraph:
+    """Columns in order, and what each is tied to: the file, its type, name parts and group, the next column, its values.
+
+    ``links`` are incidence matrices, a row a column; ``names`` the nodes' names, by kind.
+    """
+
+    def __init__(self, cols: list[tuple[str, str | None]]) -> None:
+        names = [c for c, _ in cols]
+        groups = [re.split(r"[/._]", c, maxsplit=1) for c in names]
+        tied = {"type": [[str(t)] for _, t in cols], "part": [sorted(_parts(c)) for c in names], "group": [[g[0].lower()] if len(g) == 2 and g[0] else [] for g in groups], "file": [[""]] * len(cols)}
+        self.names = {"column": names}
+        self.links: dict[str, np.ndarray] = {}
+        for kind, of in tied.items():
+            self.names[kind] = list(dict.fromkeys(x for xs in of for x in xs))
+            at = {x: i for i, x in enumerate(self.names[kind])}
+            m = np.zeros((len(cols), len(at)))
+            for i, xs in enumerate(of):
+                m[i, [at[x] for x in xs]] = 1
+            self.links[kind] = m
+        self.links["next"] = np.eye(len(cols), k=1)
+
+
+def flood(old: list[tuple[str, str | None]], new: list[tuple[str, str | None]], old_profiles: dict[str, Profile] | None = None, new_profiles: dict[str, Profile] | None = None,
+          tolerance: float = 1e-4, most: int = 200) -> dict[tuple[str, str], float]:
+    """Settled similarity of every pair of columns (old name, new name) of two schemas.
+
+    What a pair of nodes sends along a label is divided among all pairs it reaches by that label, forth and back; every round
+    starts from the start similarities plus what has settled so far, scaled so that the best pair has 1.
+    """
+    a, b = SchemaGraph(old), SchemaGraph(new)
+    start = {k: np.array([[_alike(x, y) for y in b.names[k]] for x in a.names[k]]).reshape(len(a.names[k]), len(b.names[k])) for k in a.names}
+    pa, pb = old_profiles or {}, new_profiles or {}
+    start["values"] = np.array([[1.0 if o == n else _same_range(pa.get(o), pb.get(n)) for n, _ in new] for o, _ in old]).reshape(len(old), len(new))
+    flows = {}
+    for k in a.links:
+        ma, mb = a.links[k], b.links[k]
+        flows[k] = (ma / np.maximum(ma.sum(1, keepdims=True), 1), mb / np.maximum(mb.sum(1, keepdims=True), 1), ma / np.maximum(ma.sum(0, keepdims=True), 1), mb / np.maximum(mb.sum(0, keepdims=True), 1))
+    now = {k: v.copy() for k, v in start.items()}
     for _ in range(most):
-        send = start + now
-        nxt = send.copy()
-        for fa, fb, ga, gb in flows:
-            nxt += fa.T @ send @ fb + ga.T @ send @ gb
-        nxt /= nxt.max() or 1.0
-        moved = np.abs(nxt - now).max()
+        send = {k: start[k] + now[k] for k in now}
+        nxt = {k: v.copy() for k, v in send.items()}
+        for k, (fa, fb, ga, gb) in flows.items():
+            to, weight = ("column", NEXT_WEIGHT) if k == "next" else (k, 1.0)
+            nxt[to] += weight * (fa.T @ send["column"] @ fb)
+            nxt["column"] += weight * (ga @ send[to] @ gb.T)
+        nxt["values"] += send["column"]
+        nxt["column"] += send["values"]
+        best = max(v.max(initial=0.0) for v in nxt.values()) or 1.0
+        nxt = {k: v / best for k, v in nxt.items()}
+        moved = max(np.abs(nxt[k] - now[k]).max(initial=0.0) for k in now)
         now = nxt
         if moved < tolerance:
             break
-    ia, ib = {n: i for i, n in enumerate(na)}, {n: i for i, n in enumerate(nb)}
-    return {(o, n): float(now[ia["column:" + o], ib["column:" + n]]) for o, _ in old for n, _ in new}
+    return {(o, n): float(now["column"][i, j]) for i, (o, _) in enumerate(old) for j, (n, _) in enumerate(new)}
 
 
-def one_to_one(scored: list[tuple[float, str, str]]) -> list[tuple[str, str]]:
-    """Best pairs first, each name once; equal scores in order of the names."""
+def one_to_one(scored: list[tuple[float, str, str]], least: float = LEAST_SCORE) -> list[tuple[str, str]]:
+    """Best pairs first, each name once, of those that score at least ``least``; equal scores in order of the names."""
     used_o, used_n, out = set(), set(), []
-    for _, o, n in sorted(scored, key=lambda r: (-r[0], r[1], r[2])):
-        if o not in used_o and n not in used_n:
+    for v, o, n in sorted(scored, key=lambda r: (-r[0], r[1], r[2])):
+        if v >= least and o not in used_o and n not in used_n:
             used_o.add(o)
             used_n.add(n)
             out.append((o, n))
@@ -193,12 +209,33 @@ def file_pairs(heads: DataFrame) -> DataFrame:
     return out.where("prev_id is not null").select("run_name", "prev_id", "file_id", "prev_cols", "cols")
 
 
-def candidate_pairs(pairs: DataFrame, types: DataFrame) -> DataFrame:
-    """(prev_id, file_id, old_name, new_name, score) of all columns only in one of the two files, by flooding the whole schemas."""
+def open_columns(pairs: DataFrame) -> DataFrame:
+    """(prev_id, file_id, old, src, other, col): columns only in one of the two files, where both have such columns.
+
+    ``src`` is the file that has the column, ``other`` the one that hasn't; ``old`` tells whether it is the preceding one.
+    """
+    gone, come = F.array_except("prev_cols", "cols"), F.array_except("cols", "prev_cols")
+    both = pairs.where((F.size(gone) > 0) & (F.size(come) > 0))
+    row = lambda c, old, src, other: both.select("prev_id", "file_id", F.lit(old).alias("old"), F.col(src).alias("src"), F.col(other).alias("other"), F.explode(F.array_distinct(c)).alias("col"))
+    return row(gone, True, "prev_id", "file_id").union(row(come, False, "file_id", "prev_id"))
+
+
+def shared_values(columns: DataFrame, cells: DataFrame) -> DataFrame:
+    """(prev_id, file_id, old, col, epoch, v): the open columns' values on the epochs that both files hold, numbers in one format."""
+    known = cells.where("epoch is not null")
+    held = known.select(F.col("file_id").alias("other"), "epoch").distinct()
+    mine = known.select(F.col("file_id").alias("src"), "col", "epoch", "value").join(columns, ["src", "col"]).join(held, ["other", "epoch"])
+    return mine.select("prev_id", "file_id", "old", "col", "epoch", F.coalesce(as_number(F.col("value")).cast("string"), F.col("value")).alias("v"))
+
+
+def correspondences(pairs: DataFrame, types: DataFrame, shared: DataFrame, score=flood, least: float = LEAST_SCORE) -> DataFrame:
+    """(prev_id, file_id, old_name, new_name): one-to-one between columns only in one of two files, selected by flooding scores."""
     kinds = types.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("col", "type"))).alias("kinds"))  # a file's columns
-    both = pairs.where((F.size(F.array_except("prev_cols", "cols")) > 0) & (F.size(F.array_except("cols", "prev_cols")) > 0))
-    both = both.join(kinds, "file_id", "left").join(kinds.select(F.col("file_id").alias("prev_id"), F.col("kinds").alias("prev_kinds")), "prev_id", "left")
-    cols = both.select("prev_id", "file_id", "prev_cols", "cols", "prev_kinds", "kinds")
+    # texts count as numbers of their own, so that equal texts have equal ranges
+    x = F.coalesce(F.col("v").try_cast("double"), F.pmod(F.xxhash64("v"), F.lit(1_000_003)).cast("double"))
+    per = shared.groupBy("prev_id", "file_id", "old", "col").agg(F.array(F.avg(x), F.min(x), F.max(x), F.min_by(x, "epoch"), F.max_by(x, "epoch")).alias("p"))
+    ranges = per.groupBy("prev_id", "file_id").agg(*[F.collect_list(F.when(F.col("old") == old, F.struct("col", "p"))).alias(name) for old, name in ((True, "old_ranges"), (False, "new_ranges"))])  # a pair's columns
+    cols = pairs.join(ranges, ["prev_id", "file_id"]).join(kinds, "file_id", "left").join(kinds.select(F.col("file_id").alias("prev_id"), F.col("kinds").alias("prev_kinds")), "prev_id", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -206,28 +243,21 @@ def candidate_pairs(pairs: DataFrame, types: DataFrame) -> DataFrame:
             for r in pdf.itertuples(index=False):
                 old, new = list(dict.fromkeys(r.prev_cols)), list(dict.fromkeys(r.cols))
                 ko, kn = dict(r.prev_kinds or {}), dict(r.kinds or {})
-                score = flood([(c, ko.get(c)) for c in old], [(c, kn.get(c)) for c in new])
-                rows += [(r.prev_id, r.file_id, o, n, score[o, n]) for o in old if o not in new for n in new if n not in old]
-            yield pd.DataFrame(rows, columns=["prev_id", "file_id", "old_name", "new_name", "score"])
-
-    return cols.mapInPandas(run, "prev_id bigint, file_id bigint, old_name string, new_name string, score double")
-
+                po, pn = ({c["col"]: tuple(c["p"]) for c in cs} for cs in (r.old_ranges, r.new_ranges))
+                settled = score([(c, ko.get(c)) for c in old], [(c, kn.get(c)) for c in new], po, pn)
+                kept_o, kept_n = set(new), set(old)
+                rows += [(r.prev_id, r.file_id, o, n) for o, n in one_to_one([(settled[o, n], o, n) for o in old if o not in kept_o for n in new if n not in kept_n], least)]
+            yield pd.DataFrame(rows, columns=["prev_id", "file_id", "old_name", "new_name"])
 
-def renames(cand: DataFrame, cells: DataFrame) -> DataFrame:
-    """(prev_id, file_id, old_name, new_name): candidates that hold the same values on the epochs both files hold."""
-    value = F.coalesce(as_number(F.col("value")).cast("string"), F.col("value"))
-    vals = cells.where("epoch is not null").select("file_id", "epoch", "col", value.alias("v"))
-    olds = cand.join(vals.select(F.col("file_id").alias("prev_id"), F.col("col").alias("old_name"), "epoch", F.col("v").alias("ov")), ["prev_id", "old_name"])
-    met = olds.join(vals.select("file_id", F.col("col").alias("new_name"), "epoch", F.col("v").alias("nv")), ["file_id", "new_name", "epoch"])
-    same = met.groupBy("prev_id", "file_id", "old_name", "new_name", "score").agg(F.min((F.col("ov") == F.col("nv")).cast("int")).alias("same")).where("same = 1")
+    few = cols.select("prev_id", "file_id", "prev_cols", "cols", "prev_kinds", "kinds", "old_ranges", "new_ranges")
+    return few.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id").mapInPandas(run, "prev_id bigint, file_id bigint, old_name string, new_name string")
 
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(r.prev_id, r.file_id, o, n) for r in pdf.itertuples(index=False) for o, n in one_to_one([(x["score"], x["old_name"], x["new_name"]) for x in r.c])]
-            yield pd.DataFrame(rows, columns=["prev_id", "file_id", "old_name", "new_name"])
 
-    grouped = same.groupBy("prev_id", "file_id").agg(F.collect_list(F.struct("score", "old_name", "new_name")).alias("c"))  # a file pair's columns
-    return grouped.mapInPandas(choose, "prev_id bigint, file_id bigint, old_name string, new_name string")
+def renames(selected: DataFrame, shared: DataFrame) -> DataFrame:
+    """The selected correspondences whose columns hold the same values on the epochs that both files hold, at least on one."""
+    side = lambda old, name, v: shared.where(F.col("old") == old).select("prev_id", "file_id", "epoch", F.col("col").alias(name), F.col("v").alias(v))
+    met = selected.join(side(True, "old_name", "ov"), ["prev_id", "file_id", "old_name"]).join(side(False, "new_name", "nv"), ["prev_id", "file_id", "new_name", "epoch"])
+    return met.groupBy("prev_id", "file_id", "old_name", "new_name").agg(F.bool_and(F.col("ov") == F.col("nv")).alias("same")).where("same").drop("same")
 
 
 def schema_changes(pairs: DataFrame, types: DataFrame, renamed: DataFrame) -> DataFrame:

@@ -48,7 +48,8 @@ def _history(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     heads = ws.save(drift.headers(lines), "heads")
     cells = ws.save(drift.long_cells(drift.data_rows(lines, heads)), "cells")
     types, pairs = ws.save(drift.column_types(cells), "types"), ws.save(drift.file_pairs(heads), "pairs")
-    renamed = ws.save(drift.renames(drift.candidate_pairs(pairs, types), cells), "renamed")
+    shared = ws.save(drift.shared_values(drift.open_columns(pairs), cells), "shared")
+    renamed = ws.save(drift.renames(drift.correspondences(pairs, types, shared), shared), "renamed")
     return {"heads": heads, "cells": cells, "types": types, "pairs": pairs, "renamed": renamed}
 
 

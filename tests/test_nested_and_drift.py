@@ -130,3 +130,20 @@ def test_flooding_prefers_the_same_group():
     s = drift.flood([("epoch", "integer"), ("train/box_loss", "number"), ("val/box_loss", "number")], [("epoch", "integer"), ("train_reg_loss", "number"), ("val_reg_loss", "number")])
     assert s["train/box_loss", "train_reg_loss"] > s["train/box_loss", "val_reg_loss"]
     assert s["val/box_loss", "val_reg_loss"] > s["val/box_loss", "train_reg_loss"]
+
+
+def test_scores_select_and_values_only_confirm(spark, tmp_path):
+    files = [(1, "r", 1, ["epoch,train/box_loss,val/box_loss,metrics/recall(B)", "1,0.5,0.7,0.1", "2,0.4,0.6,0.2"]),
+             (2, "r", 2, ["epoch,train.box,val.box,R,lr", "2,0.4,0.6,0.2,9", "3,0.3,0.5,0.3,8"])]
+    spark.createDataFrame(lines(files), LINES).write.mode("overwrite").parquet(str(tmp_path / "history_raw.parquet"))
+    heads = drift.headers(spark.read.parquet(str(tmp_path / "history_raw.parquet")))
+    cells = drift.long_cells(drift.data_rows(spark.read.parquet(str(tmp_path / "history_raw.parquet")), heads))
+    pairs, types = drift.file_pairs(heads), drift.column_types(cells)
+    shared = drift.shared_values(drift.open_columns(pairs), cells)
+    named = lambda score: {(r.old_name, r.new_name) for r in drift.renames(drift.correspondences(pairs, types, shared, score), shared).collect()}
+    want = {("train/box_loss", "train.box"), ("val/box_loss", "val.box"), ("metrics/recall(B)", "R")}
+    assert named(drift.flood) == want
+    # constant scores, or scores turned round, select other correspondences and lose the renames
+    flat = named(lambda old, new, po, pn: {(o, n): 1.0 for o, _ in old for n, _ in new})
+    back = named(lambda old, new, po, pn: {k: 1 - v for k, v in drift.flood(old, new, po, pn).items()})
+    assert flat < want and back < want and named(lambda old, new, po, pn: {(o, n): 0.0 for o, _ in old for n, _ in new}) == set()
