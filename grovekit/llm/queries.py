@@ -54,5 +54,6 @@ def build() -> Registry:
     reg.add("p6_fill", packing.p6_fill)
     reg.add("p7_mixed", mixing.p7_mixed)
     reg.add("p7_shares", mixing.p7_shares)
+    reg.add("p7_held_out", mixing.p7_held_out)
     reg.add("p8_found", sentences.p8_found)
     return reg
