@@ -2,42 +2,130 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grovekit.scale import Workspace, parts_for, score_cuts
 
-def draws(n: int, replicate: Column, i: Column) -> Column:
-    """The i-th drawn position of a replicate: a fixed linear congruence, the same in every engine."""
-    return F.pmod(replicate * F.lit(1103515245) + i * F.lit(12345) + F.lit(42), F.lit(n))
 
+# The distribution function of the Poisson law of mean 1, up to 8.
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402]
+#: Draws that one digest gives: eight hex digits each.
+DRAWS = 4
 
-def hashed_draws(n: int, replicate: Column, i: Column) -> Column:
-    """The i-th drawn position of a replicate, by hash: positions repeat and are missed as in independent draws.
 
-    ``draws`` goes through the positions in equal steps, so it draws each equally often wherever 12345 and n share no factor.
+def replicate_weights(df: DataFrame, entity: Sequence[str], replicates: int, seed: int = 42) -> DataFrame:
+    """Rows with ``_rep`` and ``_times``: how often a replicate draws the row's entity.
+
+    Draws are independent Poisson numbers of mean 1, read from a digest of seed, entity and replicate, so they are the same in every
+    engine and at every layout, and rows of one entity are drawn alike.  Replicates that don't draw the row are left out.
+    Nothing is joined: rows are multiplied as they stream into the aggregation that follows, which combines them before its
+    shuffle to one row a replicate and partition.
     """
-    return F.pmod(F.xxhash64(replicate, i), F.lit(n))
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in entity], F.col("_k").cast("string"))
+    blocks = df.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // DRAWS) - 1)))).withColumn("_h", F.md5(text))
+    parts = blocks.withColumn("_i", F.explode(F.lit(list(range(DRAWS))))).where(F.col("_k") * DRAWS + F.col("_i") < replicates)
+    drawn = parts.withColumn("_u", F.conv(F.expr("substring(_h, 8 * _i + 1, 8)"), 16, 10).cast("bigint"))
+    times = F.lit(len(POISSON))
+    for k, c in reversed(list(enumerate(POISSON))):
+        times = F.when(F.col("_u") < math.ceil(c * (1 << 32)), k).otherwise(times)
+    return drawn.select(*df.columns, (F.col("_k") * DRAWS + F.col("_i")).cast("bigint").alias("_rep"), times.alias("_times")).where("_times > 0")
 
 
-def bootstrap_ratio(partials: DataFrame, num: str, den: str, replicates: int) -> DataFrame:
-    """(b, value): ratio of sums over resampled entities, for each replicate.
+def bootstrap_sums(partials: DataFrame, entity: Sequence[str], sums: Sequence[str], replicates: int, by: Sequence[str] = (), seed: int = 42) -> DataFrame:
+    """(_rep, by…, _s0, _s1, …): sums of the columns ``sums`` over resampled entities, for each replicate; one pass over the partials."""
+    named = [F.col(c).alias(f"_s{i}") for i, c in enumerate(sums)]
+    w = replicate_weights(partials.select(*entity, *by, *named), entity, replicates, seed)
+    return w.groupBy("_rep", *by).agg(*[F.sum(F.col(f"_s{i}") * F.col("_times")).alias(f"_s{i}") for i in range(len(sums))])
 
-    ``partials`` has one row per entity with a 0-based ``pos``.  An entity's number of draws is counted, so the partials are
-    joined once to (b, pos, times) and no entity is copied; matching has been done before and is never repeated.
-    """
-    n = partials.count()
-    spark = partials.sparkSession
-    ids = spark.range(replicates * n).select((F.col("id") / n).cast("bigint").alias("b"), (F.col("id") % n).alias("i"))
-    times = ids.groupBy("b", draws(n, F.col("b"), F.col("i")).alias("pos")).agg(F.count(F.lit(1)).alias("times"))
-    return times.join(partials, "pos").groupBy("b").agg((F.sum(F.col(num) * F.col("times")) / F.sum(F.col(den) * F.col("times"))).alias("value"))
 
+def bootstrap_ratio(partials: DataFrame, entity: Sequence[str], num: str, den: str, replicates: int) -> DataFrame:
+    """(b, value): ratio of sums over resampled entities, for each replicate."""
+    return bootstrap_sums(partials, entity, [num, den], replicates).select(F.col("_rep").alias("b"), (F.col("_s0") / F.col("_s1")).alias("value"))
 
-def paired_bootstrap(partials: DataFrame, a: str, b: str, den: str, replicates: int) -> DataFrame:
+
+def paired_bootstrap(partials: DataFrame, entity: Sequence[str], a: str, b: str, den: str, replicates: int) -> DataFrame:
     """(b, delta): second system minus first on the same draws."""
-    one, two = bootstrap_ratio(partials, a, den, replicates), bootstrap_ratio(partials, b, den, replicates).withColumnRenamed("value", "other")
-    return one.join(two, "b").select("b", (F.col("other") - F.col("value")).alias("delta"))
+    return bootstrap_sums(partials, entity, [a, b, den], replicates).select(F.col("_rep").alias("b"), ((F.col("_s1") - F.col("_s0")) / F.col("_s2")).alias("delta"))
+
+
+def bootstrap_macro_f1(partials: DataFrame, entity: Sequence[str], replicates: int) -> DataFrame:
+    """(b, value): macro F1 of each replicate from (entity, cls, tp, n_pred, n_true)."""
+    s = bootstrap_sums(partials, entity, ["tp", "n_pred", "n_true"], replicates, by=["cls"])
+    return s.groupBy(F.col("_rep").alias("b")).agg(F.avg(2 * F.col("_s0") / F.greatest(F.col("_s1") + F.col("_s2"), F.lit(1.0))).alias("value"))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def image_weights(images: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """Poisson numbers of mean 1, a row for each image and a column for each replicate, by a hash of both."""
+    with np.errstate(over="ignore"):
+        h = _mixed(_mixed(images.astype(np.int64).view(np.uint64) + np.uint64(seed))[:, None] + np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return np.searchsorted(POISSON, h / 2.0**64, side="right").astype(np.float32)
+
+
+def bootstrap_ap(flags: DataFrame, truths: DataFrame, replicates: int, ws: Workspace, seed: int = 42, band_rows: int = 20_000) -> DataFrame:
+    """(b, cls, ap): 101-point average precision of each replicate, images resampled.
+
+    ``flags`` is (stem, cls, score, tie, tp), matched once; ``truths`` (stem, cls, n).  Neither is copied: rows are cut into bands of
+    score, each band's weighted counts are taken for all replicates at once, and the counts of the bands before it are
+    carried in.  What leaves a band is the best precision for each replicate and recall step that it reaches.
+    """
+    flags = ws.save(flags.select(F.col("stem").cast("bigint").alias("stem"), "cls", "score", "tie", "tp"), "flags")
+    cuts = score_cuts(flags, "score", parts_for(flags.count(), band_rows))
+    banded = flags.withColumn("band", -F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("score"))))
+
+    def table(rows: list, cols: list[str]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=cols)
+
+    def totals(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = image_weights(pdf["stem"].to_numpy(), replicates, seed)
+        return table([(int(pdf["cls"].iloc[0]), int(pdf["band"].iloc[0]), w.sum(axis=0).astype(float), w[pdf["tp"].to_numpy(bool)].sum(axis=0).astype(float))], ["cls", "band", "n", "t"])
+
+    def true_part(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = image_weights(pdf["stem"].to_numpy(), replicates, seed)
+        return table([(int(pdf["cls"].iloc[0]), (w * pdf["n"].to_numpy(float)[:, None]).sum(axis=0).astype(float))], ["cls", "g"])
+
+    per = ws.save(banded.groupBy("cls", "band").applyInPandas(totals, "cls int, band int, n array<double>, t array<double>"), "bands")
+    earlier = Window.partitionBy("cls", "b").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    long = per.select("cls", "band", F.posexplode(F.arrays_zip("n", "t")).alias("b", "x"))
+    carried = long.select("cls", "band", "b", F.coalesce(F.sum("x.n").over(earlier), F.lit(0.0)).alias("n0"), F.coalesce(F.sum("x.t").over(earlier), F.lit(0.0)).alias("t0"))
+    carried = carried.groupBy("cls", "band").agg(F.array_sort(F.collect_list(F.struct("b", "n0", "t0"))).alias("o")).select("cls", "band", F.col("o.n0").alias("n0"), F.col("o.t0").alias("t0"))  # one number a replicate
+    parts = truths.select(F.col("stem").cast("bigint").alias("stem"), "cls", "n").withColumn("part", F.pmod(F.xxhash64("stem"), F.lit(parts_for(truths.count(), band_rows))))
+    real = parts.groupBy("cls", "part").applyInPandas(true_part, "cls int, g array<double>").select("cls", F.posexplode("g").alias("b", "g")).groupBy("cls", "b").agg(F.sum("g").alias("g"))
+    whole = real.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("b", "g"))).alias("o")).select("cls", F.col("o.g").alias("g"))  # one number a replicate
+    start = ws.save(carried.join(whole, "cls"), "carried")
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return table([], ["cls", "b", "t", "p"])
+        pdf = left.sort_values(["score", "tie"], ascending=[False, True])
+        w = image_weights(pdf["stem"].to_numpy(), replicates, seed).astype(float)
+        n0, t0, g = (np.asarray(right[c].iloc[0], dtype=float) for c in ("n0", "t0", "g"))
+        k = np.cumsum(w, axis=0) + n0
+        hit = np.cumsum(w * pdf["tp"].to_numpy(bool)[:, None], axis=0) + t0
+        precision = np.divide(hit, k, out=np.zeros_like(k), where=k > 0)
+        at = np.floor(np.divide(hit, g, out=np.zeros_like(hit), where=g > 0) * 100 + 1e-9).astype(int).clip(0, 100)
+        top = np.zeros((replicates, 101))
+        np.maximum.at(top, (np.broadcast_to(np.arange(replicates), at.shape), at), precision)
+        b, t = np.nonzero(top)
+        return pd.DataFrame({"cls": int(pdf["cls"].iloc[0]), "b": b.astype("int64"), "t": t.astype("int32"), "p": top[b, t]})
+
+    points = banded.groupBy("cls", "band").cogroup(start.groupBy("cls", "band")).applyInPandas(best, "cls int, b bigint, t int, p double")
+    top = points.groupBy("cls", "b", "t").agg(F.max("p").alias("p"))
+    grid = top.groupBy("cls", "b").agg(F.map_from_entries(F.collect_list(F.struct("t", "p"))).alias("m"))  # 101 steps at most
+    envelope = F.aggregate(F.sequence(F.lit(0), F.lit(100)), F.struct(F.lit(0.0).alias("run"), F.lit(0.0).alias("sum")), lambda s, i: F.struct(
+        F.greatest(s["run"], F.coalesce(F.try_element_at("m", 100 - i), F.lit(0.0))).alias("run"), (s["sum"] + F.greatest(s["run"], F.coalesce(F.try_element_at("m", 100 - i), F.lit(0.0)))).alias("sum")))
+    return real.where("g > 0").join(grid, ["cls", "b"], "left").select("b", "cls", F.coalesce(envelope["sum"] / 101, F.lit(0.0)).alias("ap"))
 
 
 def interval(df: DataFrame, c: str) -> DataFrame:
@@ -47,11 +135,12 @@ def interval(df: DataFrame, c: str) -> DataFrame:
 
 def positions(df: DataFrame, key: str) -> DataFrame:
     """Rows with ``pos``: their place in the order of ``key``, from 0, by counts of key ranges rather than one global sort."""
-    cuts = df.select(key, F.floor(F.col(key) / 4096).alias("_b"))
-    sizes = cuts.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    off = sizes.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    cuts = score_cuts(df, key, parts_for(df.count()))
+    banded = df.withColumn("_b", F.size(F.filter(F.lit(cuts), lambda c: c <= F.col(key))))
+    sizes = banded.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    off = sizes.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))  # one row a range
     w = Window.partitionBy("_b").orderBy(key)
-    return df.withColumn("_b", F.floor(F.col(key) / 4096)).withColumn("_r", F.row_number().over(w)).join(off, "_b").withColumn("pos", F.col("_o") + F.col("_r") - 1).drop("_b", "_r", "_o")
+    return banded.withColumn("_r", F.row_number().over(w)).join(off, "_b").withColumn("pos", F.col("_o") + F.col("_r") - 1).drop("_b", "_r", "_o")
 
 
 def fold_of(key: Column, folds: int, seed: int = 42) -> Column:

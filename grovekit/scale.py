@@ -44,6 +44,17 @@ def parts_for(rows: int, each: int = PART_ROWS) -> int:
     return max(1, -(-rows // each))
 
 
+def score_cuts(df: DataFrame, c: str, parts: int) -> list[float]:
+    """Rising cuts of a numeric column into about ``parts`` ranges of equally many rows (one range needs none).
+
+    Equal values stay in one range: a value that very many rows share makes its range larger, never wrong.
+    """
+    if parts <= 1:
+        return []
+    found = df.agg(F.percentile_approx(c, [i / parts for i in range(1, parts)], 20 * parts).alias("q")).first()["q"] or []
+    return sorted({float(x) for x in found})
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):
         p = spark._jvm.org.apache.hadoop.fs.Path(path)

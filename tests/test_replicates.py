@@ -1,15 +1,62 @@
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from grovekit.operators import resample as R
 from grovekit.plans import catalog
+from grovekit.scale import Workspace
+
+
+def test_weights_are_poisson_and_independent(spark):
+    n, reps = 4000, 40
+    got = R.replicate_weights(spark.range(n), ["id"], reps).groupBy("_rep", "_times").count().collect()
+    share = {}
+    for r in got:
+        share[r["_times"]] = share.get(r["_times"], 0) + r["count"] / (n * reps)
+    for k in (1, 2, 3):
+        assert abs(share[k] - math.exp(-1) / math.factorial(k)) < 0.005
+    sizes = {r["_rep"]: r.s for r in R.replicate_weights(spark.range(n), ["id"], reps).groupBy("_rep").agg(F.sum("_times").alias("s")).collect()}
+    assert len(sizes) == reps and len(set(sizes.values())) > 30
+
+
+def test_variance_of_a_ratio(spark):
+    rnd = np.random.RandomState(1)
+    n = 3750  # a number for which even steps through the positions would draw the same entities every time
+    num = rnd.binomial(20, rnd.beta(2, 4, n)).astype(float)
+    df = spark.createDataFrame([(i, float(a), 20.0) for i, a in enumerate(num)], "tree int, a double, n double")
+    got = np.array([r.value for r in R.bootstrap_ratio(df, ["tree"], "a", "n", 400).collect()])
+    r = num.sum() / (20 * n)
+    want = ((num - r * 20) ** 2).sum() / (20 * n) ** 2
+    assert len(set(got.round(9))) > 390 and abs(got.mean() - r) < 3 * math.sqrt(want / 400)
+    assert abs(got.var() / want - 1) < 0.2
+
+
+def test_paired_draws_are_shared(spark):
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 7), 10.0) for i in range(100)], "tree int, a double, b double, n double")
+    assert {r.delta for r in R.paired_bootstrap(df, ["tree"], "a", "b", "n", 8).collect()} == {0.0}
 
 
-def test_draws_repeat_and_miss_positions(spark):
-    n = 1000  # a number that shares only 5 with 12345
-    ids = spark.range(20 * n).select((F.col("id") / n).cast("bigint").alias("b"), (F.col("id") % n).alias("i"))
-    times = ids.groupBy("b", R.hashed_draws(n, F.col("b"), F.col("i")).alias("pos")).count()
-    kinds = [r.k for r in times.groupBy("b").agg(F.count("*").alias("k")).collect()]
-    assert len(kinds) == 20 and all(580 < k < 690 for k in kinds)  # 1 - 1/e of the positions
+def test_bootstrap_ap_against_copies(spark):
+    rnd = np.random.RandomState(4)
+    rows = [(int(s), int(c), float(round(v, 2)), i, bool(t)) for i, (s, c, v, t) in enumerate(zip(rnd.randint(0, 30, 400), rnd.randint(0, 2, 400), rnd.rand(400), rnd.rand(400) < 0.6, strict=True))]
+    flags = spark.createDataFrame(rows, "stem int, cls int, score double, tie int, tp boolean")
+    truths = spark.createDataFrame([(s, c, 1 + sum(r[4] for r in rows if r[0] == s and r[1] == c)) for s in range(30) for c in range(2)], "stem int, cls int, n int")
+    reps = 6
+    w = R.image_weights(np.arange(30), reps, 42)
+    want = {}
+    for b in range(reps):
+        for c in range(2):
+            real = sum(w[r.stem, b] * r.n for r in truths.collect() if r.cls == c)
+            hit = k = 0
+            points = []
+            for s, _, _, _, t in sorted((r for r in rows if r[1] == c), key=lambda r: (-r[2], r[3])):
+                k, hit = k + w[s, b], hit + w[s, b] * t
+                points.append((hit / real, hit / k if k else 0.0))
+            want[b, c] = sum(max((p for r, p in points if r >= x / 100 - 1e-11), default=0.0) for x in range(101)) / 101
+    for band_rows in (1_000_000, 25):
+        got = {(r.b, r.cls): r.ap for r in R.bootstrap_ap(flags, truths, reps, Workspace(spark, "t"), band_rows=band_rows).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
 def test_map_bootstrap_has_500_unlike_replicates(spark):
