@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +26,12 @@ class Suppress:
 
 
 def embedding_norm(v: pd.Series) -> pd.Series:
-    return v.map(lambda x: float((pd.Series(x, dtype="float64") ** 2).sum() ** 0.5) if x is not None else None)
+    return v.map(lambda x: float(np.linalg.norm(np.asarray(x, dtype=float))) if x is not None else None)
 
 
 def register(spark: SparkSession) -> None:
     """Register all of them in the session."""
     for statement in SQL_FUNCTIONS.split(";"):
         spark.sql(statement.strip())
-    spark.udtf.register("suppress_boxes", F.udtf(Suppress, returnType="det_id bigint"))
     spark.udf.register("embedding_norm", F.pandas_udf(embedding_norm, "double"))
+    spark.udtf.register("suppress_boxes", F.udtf(Suppress, returnType="det_id bigint"))

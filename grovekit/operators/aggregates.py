@@ -10,13 +10,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grovekit.scale import Workspace, parts_for, score_cuts
+
 
 def N() -> Column:
     """Number of rows."""
     return F.count(F.lit(1))
 
-#: Bands of scores (0..1) that are sorted apart.
-BANDS = 4096
 
 
 def class_counts(df: DataFrame, keys: Sequence[str], cls: str, classes: int) -> DataFrame:
@@ -124,7 +124,9 @@ def average_precision(flagged: DataFrame, totals: DataFrame, keys: Sequence[str]
     """
     ks = list(keys)
     # scores are cut into bands, so that no task sorts a whole class; band totals are a small table that carries the sums over
-    banded = flagged.withColumn("_b", (-F.floor(F.col("score") * BANDS)).cast("int"))
+    flagged = Workspace(flagged.sparkSession, "ap").save(flagged.select(*ks, "score", "tie", "tp"), "flagged")
+    cuts = score_cuts(flagged, "score", parts_for(flagged.count()))
+    banded = flagged.withColumn("_b", -F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("score"))))
     total = banded.groupBy(*ks, "_b").agg(N().alias("_n"), F.sum(F.col("tp").cast("long")).alias("_t"))
     earlier = Window.partitionBy(*ks).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offset = total.select(*ks, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_on"), F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_ot"))
@@ -173,10 +175,15 @@ def contingency_scores(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def mean_rank(df: DataFrame, c: str, out: str) -> DataFrame:
-    """Ranks from 1 with equal values sharing their mean rank, by counts of values (no global sort in one task but of distinct values)."""
+    """Ranks from 1 with equal values sharing their mean rank, by counts of values; values are sorted by ranges, no task sorts all."""
     counts = df.groupBy(c).agg(N().alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(F.col(c).alias("_c"), (before + (F.col("_n") + 1) / 2).alias(out))
+    cuts = score_cuts(df, c, parts_for(df.count()))
+    banded = counts.withColumn("_b", F.size(F.filter(F.lit(cuts), lambda x: x <= F.col(c))))
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = banded.groupBy("_b").agg(F.sum("_n").alias("_n"))
+    off = sizes.select("_b", earlier(Window.orderBy("_b")).alias("_o"))  # one row a range
+    before = F.col("_o") + earlier(Window.partitionBy("_b").orderBy(c))
+    ranks = banded.join(F.broadcast(off), "_b").select(F.col(c).alias("_c"), (before + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, F.col(c) == F.col("_c")).drop("_c")
 
 

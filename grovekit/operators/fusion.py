@@ -76,14 +76,13 @@ def fuse_anchored(rows: Sequence, cut: float, models: int, tie: str = "det_id",
 
     One vote per model: its best row.  ``rule``: mean (times support / models), max, or the votes' noisy or.
     """
-    groups: list[list] = []
-    for r in by_score(rows, tie):
-        for g in groups:
-            if g[0]["cls"] == r["cls"] and iou_matrix(corners([r]), corners(g[:1]))[0, 0] >= cut:
-                g.append(r)
-                break
-        else:
-            groups.append([r])
+    rows = by_score(rows, tie)
+    near = iou_matrix(corners(rows), corners(rows)) >= cut
+    members: dict[int, list[int]] = {}
+    for i, r in enumerate(rows):
+        joined = next((a for a in members if near[i, a] and rows[a]["cls"] == r["cls"]), i)
+        members.setdefault(joined, []).append(i)
+    groups = [[rows[i] for i in m] for m in members.values()]
     out = []
     for g in groups:
         best: dict = {}
@@ -148,14 +147,12 @@ def merge_twins(rows: Sequence, twin: float, cut: float, classes: int, tie: str
 
 def collapse_classes(rows: Sequence, cut: float, tie: str = "det_id") -> list[tuple]:
     """One box for each place regardless of class, keeping for every class the best score seen there: (det_id, cls, score)."""
-    groups: list[list] = []
-    for r in by_score(rows, tie):
-        for g in groups:
-            if iou_matrix(corners([r]), corners(g[:1]))[0, 0] >= cut:
-                g.append(r)
-                break
-        else:
-            groups.append([r])
+    rows = by_score(rows, tie)
+    near = iou_matrix(corners(rows), corners(rows)) >= cut
+    members: dict[int, list[int]] = {}
+    for i in range(len(rows)):
+        members.setdefault(next((a for a in members if near[i, a]), i), []).append(i)
+    groups = [[rows[i] for i in m] for m in members.values()]
     out = []
     for g in groups:
         best: dict[int, float] = {}
