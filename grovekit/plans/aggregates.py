@@ -106,21 +106,35 @@ def register(reg: Registry) -> None:
     def agg_09(s, d):
         return det(s, d).groupBy("tree", "cls").agg(_r(A.noisy_or(F.col("score"))).alias("v"))
 
-    @q("agg_10_quality_weights", sql("SELECT tree, round(sum(score*cls)/greatest(sum(score),1e-9),6) AS by_conf, round(sum(score*sqrt((x2-x1)*(y2-y1))*cls)/greatest(sum(score*sqrt((x2-x1)*(y2-y1))),1e-9),6) AS by_area FROM det GROUP BY tree"))
+    @q("agg_10_quality_weights", sql("""SELECT tree, round(sum(score*cls)/greatest(sum(score),1e-9),6) AS by_conf, round(sum(score*sqrt((x2-x1)*(y2-y1))*cls)/greatest(sum(score*sqrt((x2-x1)*(y2-y1))),1e-9),6) AS by_area,
+      round(sum(score*sqrt((x2-x1)*(y2-y1))*(0.5+e)*cls)/greatest(sum(score*sqrt((x2-x1)*(y2-y1))*(0.5+e)),1e-9),6) AS by_edge FROM (SELECT *, greatest(least(x1, y1, 1300-x2, 900-y2), 0)/450 AS e FROM det) GROUP BY tree"""))
     def agg_10(s, d):
         w1 = F.col("score")
         w2 = w1 * F.sqrt((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
+        edge = F.greatest(F.least(F.col("x1"), F.col("y1"), 1300 - F.col("x2"), 900 - F.col("y2")), F.lit(0.0)) / 450  # distance from the image's edge
         mean = lambda w: F.sum(w * F.col("cls")) / F.greatest(F.sum(w), F.lit(1e-9))
-        return det(s, d).groupBy("tree").agg(_r(mean(w1)).alias("by_conf"), _r(mean(w2)).alias("by_area"))
-
-    rules = """, x AS (SELECT g.stem, g.gt_id, g.cls AS t, d.cls AS c, d.score FROM gt g JOIN det d ON g.stem=d.stem),
-      y AS (SELECT stem, gt_id, t, avg(CAST(c=t AS INT)) AS r0, CAST(arg_max(c,(score,c))=t AS INT) AS r1, CAST(round_even(round(sum(score*c)/greatest(sum(score),1e-9),9),0)=t AS INT) AS r2, CAST(bool_or(c=t) AS INT) AS r3 FROM x GROUP BY stem, gt_id, t)"""
-    @q("agg_11_decision_rules", sql(rules + " SELECT t AS cls, count(*) AS n, round(avg(r0),6) AS r0, round(avg(r1),6) AS r1, round(avg(r2),6) AS r2, round(avg(r3),6) AS r3 FROM y GROUP BY t"))
+        return det(s, d).groupBy("tree").agg(_r(mean(w1)).alias("by_conf"), _r(mean(w2)).alias("by_area"), _r(mean(w2 * (0.5 + edge))).alias("by_edge"))
+
+    rules = """, x AS (SELECT g.tree, g.bunch, g.cls AS t, f.stem, f.det_id, d.score, d.score*sqrt((d.x2-d.x1)*(d.y2-d.y1)) AS w, [CASE WHEN d.cls = k THEN d.score ELSE (1 - d.score) / 3 END FOR k IN range(4)] AS p FROM fin f JOIN gt g ON g.stem=f.stem AND g.gt_id=f.gt_id JOIN det d ON d.stem=f.stem AND d.det_id=f.det_id),
+      v AS (SELECT *, list_position(p, list_max(p)) - 1 AS c, round(p[2]+2*p[3]+3*p[4], 9) AS o FROM x),
+      y AS (SELECT tree, bunch, t, avg(CAST(c=t AS INT)) AS r0, avg(CAST(CAST(o>0.5 AS INT)+CAST(o>1.5 AS INT)+CAST(o>2.5 AS INT)=t AS INT)) AS r0cal, CAST(arg_max(c,(score,stem,det_id))=t AS INT) AS r1,
+        [round(avg(p[1]),9),round(avg(p[2]),9),round(avg(p[3]),9),round(avg(p[4]),9)] AS m, [round(sum(w*p[1])/sum(w),9),round(sum(w*p[2])/sum(w),9),round(sum(w*p[3])/sum(w),9),round(sum(w*p[4])/sum(w),9)] AS q FROM v GROUP BY tree, bunch, t),
+      z AS (SELECT *, CAST(list_position(m, list_max(m))-1=t AS INT) AS r2, CAST(list_position(q, list_max(q))-1=t AS INT) AS r3, round(q[2]+2*q[3]+3*q[4],8) AS o FROM y)"""
+    @q("agg_11_decision_rules", greedy_sql(rules + " SELECT t AS cls, count(*) AS n, round(avg(r0),6) AS r0, round(avg(r0cal),6) AS r0cal, round(avg(r1),6) AS r1, round(avg(r2),6) AS r2, round(avg(r3),6) AS r3, round(avg(CAST(CAST(o>0.5 AS INT)+CAST(o>1.5 AS INT)+CAST(o>2.5 AS INT)=t AS INT)),6) AS r4 FROM z GROUP BY t"))
     def agg_11(s, d):
-        x = gt(s, d).select("stem", "gt_id", F.col("cls").alias("t")).join(det(s, d).select("stem", F.col("cls").alias("c"), "score"), "stem")
-        c, t, w = F.col("c"), F.col("t"), F.col("score")
-        y = x.groupBy("stem", "gt_id", "t").agg(F.avg((c == t).cast("int")).alias("r0"), (F.max_by("c", F.struct("score", "c")) == t).cast("int").alias("r1"), (F.rint(_r(F.sum(w * c) / F.greatest(F.sum(w), F.lit(1e-9)), 9)) == t).cast("int").alias("r2"), F.bool_or(c == t).cast("int").alias("r3"))
-        return y.groupBy(F.col("t").alias("cls")).agg(N().alias("n"), *[_r(F.avg(k)).alias(k) for k in ("r0", "r1", "r2", "r3")])
+        """Rules by which an entity's views decide its class: one view on average by its likeliest class (r0) or its ordinal score
+        (r0cal), the surest view (r1), mean (r2) and weighted mean probabilities (r3), weighted ordinal score (r4)."""
+        m = matched(s, d).select("stem", "det_id", "gt_id").join(gt(s, d).select("stem", "gt_id", "tree", "bunch", F.col("cls").alias("t")), ["stem", "gt_id"])
+        v = m.join(probs(det(s, d)).select("stem", "det_id", "score", "p", (F.col("score") * F.sqrt((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))).alias("w")), ["stem", "det_id"])
+        top = lambda p: F.array_position(p, F.array_max(p)) - 1
+        ordinal = lambda p, n: sum((k * F.get(p, F.lit(k)) for k in (2, 3)), F.get(p, F.lit(1))) if n is None else _r(sum((k * F.get(p, F.lit(k)) for k in (2, 3)), F.get(p, F.lit(1))), n)
+        cut = lambda o: sum(((o > c).cast("int") for c in (1.5, 2.5)), (o > 0.5).cast("int"))
+        right = lambda c: (c == F.col("t")).cast("int")
+        v = v.select("tree", "bunch", "t", "stem", "det_id", "score", "w", "p", top(F.col("p")).alias("c"), ordinal(F.col("p"), 9).alias("o"))
+        each = lambda w: F.array(*[_r(F.sum(w * F.get("p", F.lit(k))) / F.sum(w), 9) for k in range(4)])
+        y = v.groupBy("tree", "bunch", "t").agg(F.avg(right(F.col("c"))).alias("r0"), F.avg(right(cut(F.col("o")))).alias("r0cal"), F.max_by("c", F.struct("score", "stem", "det_id")).alias("c1"), each(F.lit(1.0)).alias("m"), each(F.col("w")).alias("q"))
+        z = y.select("t", "r0", "r0cal", right(F.col("c1")).alias("r1"), right(top(F.col("m"))).alias("r2"), right(top(F.col("q"))).alias("r3"), right(cut(ordinal(F.col("q"), 8))).alias("r4"))
+        return z.groupBy(F.col("t").alias("cls")).agg(N().alias("n"), *[_r(F.avg(k)).alias(k) for k in ("r0", "r0cal", "r1", "r2", "r3", "r4")])
 
     err = "count(*) AS n, round(avg(abs(pred-true_)),6) AS mae, round(sqrt(avg((pred-true_)*(pred-true_))),6) AS rmse, round(avg(pred-true_),6) AS bias, round(avg(CAST(pred=true_ AS INT)),6) AS exact, round(avg(CAST(abs(pred-true_)<=1 AS INT)),6) AS within_one"
     @q("agg_12_count_error", sql(PT_SQL + f" SELECT cls, {err} FROM pt GROUP BY GROUPING SETS ((cls), ())"))
@@ -143,6 +157,18 @@ def register(reg: Registry) -> None:
         c = A.class_scores(A.confusion(det(s, d), gt(s, d), matched(s, d), ["stem"], 4), 4)
         return c.select("cls", "tp", "n_pred", "n_true", *[_r(F.col(k)).alias(k) for k in ("precision", "recall", "f1")])
 
+    @q("agg_14_summary", greedy_sql(conf + """, k AS (SELECT k, sum(n) FILTER (pred_cls=k AND gt_cls=k) AS tp, sum(n) FILTER (pred_cls=k) AS np, sum(n) FILTER (gt_cls=k) AS nt, sum(n) FILTER (pred_cls=k AND gt_cls<4) AS mp, sum(n) FILTER (gt_cls=k AND pred_cls<4) AS mt FROM cf, range(4) r(k) GROUP BY k)
+      SELECT round(avg(tp/greatest(np,1)),6) AS macro_precision, round(avg(tp/greatest(nt,1)),6) AS macro_recall, round(avg(2*tp/greatest(mp+mt,1)),6) AS macro_f1, round(2*sum(tp)/greatest(sum(np)+sum(nt),1),6) AS micro_f1, round(avg(2*tp/greatest(np+nt,1)),6) AS end_to_end_f1 FROM k"""))
+    def agg_14s(s, d):
+        """Macro F1 of matched boxes, micro F1, and macro F1 end to end, with what was missed or invented."""
+        c = A.confusion(det(s, d), gt(s, d), matched(s, d), ["stem"], 4).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
+        pk, tk = F.col("pred_cls") == F.col("k"), F.col("gt_cls") == F.col("k")
+        n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+        each = c.groupBy("k").agg(n(pk & tk).alias("tp"), n(pk).alias("np"), n(tk).alias("nt"), n(pk & (F.col("gt_cls") < 4)).alias("mp"), n(tk & (F.col("pred_cls") < 4)).alias("mt"))
+        f1 = lambda a, b: 2 * F.col("tp") / F.greatest(F.col(a) + F.col(b), F.lit(1))
+        ratio = lambda b: F.col("tp") / F.greatest(F.col(b), F.lit(1))
+        return each.agg(_r(F.avg(ratio("np"))).alias("macro_precision"), _r(F.avg(ratio("nt"))).alias("macro_recall"), _r(F.avg(f1("mp", "mt"))).alias("macro_f1"), _r(2 * F.sum("tp") / F.greatest(F.sum("np") + F.sum("nt"), F.lit(1))).alias("micro_f1"), _r(F.avg(f1("np", "nt"))).alias("end_to_end_f1"))
+
     def flagged(s, d, least=0.5):
         m = matching.match_one_to_one(det(s, d), gt(s, d), ["stem", "cls"], least).select("stem", "cls", "det_id", "threshold")
         return det(s, d).join(m, ["stem", "cls", "det_id"], "left").select("cls", "score", (F.col("stem") * 10000000000000 + F.col("det_id")).alias("tie"), F.col("threshold").isNotNull().alias("tp"))
@@ -187,13 +213,22 @@ def register(reg: Registry) -> None:
         c = "o_totalprice"
         return read(s, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(N().alias("n"), _r(F.avg(c), 4).alias("mean"), _r(F.coalesce(F.stddev_samp(c), F.lit(0.0)), 4).alias("std"), F.min(c).alias("least"), F.max(c).alias("most"))
 
-    cov = ", pool AS (SELECT tree, cls, bunch, count(*) AS n FROM gt GROUP BY ALL), best AS (SELECT tree, cls, max(n) AS m, sum(n) AS s FROM pool GROUP BY ALL)"
-    @q("agg_20_coverage", sql(cov + " SELECT count(*) AS pools, round(sum(CASE WHEN m>=2 THEN m ELSE 0 END)/(SELECT count(*) FROM gt),6) AS of_all, round(sum(CASE WHEN m>=2 THEN m ELSE 0 END)/sum(s),6) AS of_pooled, round(avg(CAST(m=1 AS INT)),6) AS false_share FROM best"))
+    cov = """, e AS (SELECT g.tree, g.bunch, count(*) AS n, count(f.gt_id) AS k FROM gt g LEFT JOIN fin f ON f.stem=g.stem AND f.gt_id=g.gt_id GROUP BY ALL),
+      c AS (SELECT d.tree, d.cls, max(cnt) AS most FROM (SELECT DISTINCT tree, cls FROM det) d LEFT JOIN (SELECT d.tree, d.cls, g.bunch, count(*) AS cnt FROM fin f JOIN det d ON d.stem=f.stem AND d.det_id=f.det_id JOIN gt g ON g.stem=f.stem AND g.gt_id=f.gt_id GROUP BY ALL) x USING (tree, cls) GROUP BY ALL)
+      SELECT count(*) AS entities, count(*) FILTER (k>0) AS detected, CAST(sum(n) AS BIGINT) AS boxes, CAST(sum(k) AS BIGINT) AS boxes_found, round(count(*) FILTER (k>=2)/count(*),6) AS of_all, round(count(*) FILTER (k>=2)/greatest(count(*) FILTER (k>0),1),6) AS of_detected,
+        (SELECT round(avg(CAST(coalesce(most,0) < 2 AS INT)),6) FROM c) AS false_share FROM e"""
+    @q("agg_20_coverage", greedy_sql(cov))
     def agg_20(s, d):
-        pool = gt(s, d).groupBy("tree", "cls", "bunch").agg(N().alias("n"))
-        best = pool.groupBy("tree", "cls").agg(F.max("n").alias("m"), F.sum("n").alias("s"))
-        good = F.sum(F.when(F.col("m") >= 2, F.col("m")).otherwise(0))
-        return best.agg(N().alias("pools"), _r(good / F.sum("s")).alias("of_all"), _r(good / F.sum("s")).alias("of_pooled"), _r(F.avg((F.col("m") == 1).cast("int"))).alias("false_share"))
+        """Entities seen in at least two boxes, as a share of all entities and of the detected ones; groups of a tree's detections of
+        one class of which no two are boxes of one entity, as a share of all groups."""
+        m = matched(s, d).select("stem", "det_id", "gt_id")
+        g = gt(s, d).select("stem", "tree", "gt_id", "bunch").join(m, ["stem", "gt_id"], "left")
+        e = g.groupBy("tree", "bunch").agg(N().alias("n"), F.count("det_id").alias("k"))
+        hit = g.where("det_id is not null").join(det(s, d).select("stem", "det_id", "cls"), ["stem", "det_id"]).groupBy("tree", "cls", "bunch").agg(N().alias("c")).groupBy("tree", "cls").agg(F.max("c").alias("most"))
+        wrong = det(s, d).select("tree", "cls").distinct().join(hit, ["tree", "cls"], "left").agg(_r(F.avg((F.coalesce("most", F.lit(0)) < 2).cast("int"))).alias("false_share"))
+        twice = F.count_if(F.col("k") >= 2)
+        one = e.agg(N().alias("entities"), F.count_if(F.col("k") > 0).alias("detected"), F.sum("n").alias("boxes"), F.sum("k").alias("boxes_found"), _r(twice / N()).alias("of_all"), _r(twice / F.greatest(F.count_if(F.col("k") > 0), F.lit(1))).alias("of_detected"))
+        return one.crossJoin(wrong)  # one row each
 
     @q("agg_21_link_prf", sql('SELECT "both", made, "real", round("both"/greatest(made,1),6) AS precision, round("both"/greatest("real",1),6) AS recall, round(2*"both"/greatest(made+"real",1),6) AS f1 FROM (SELECT CAST(count(*) FILTER (a.cls=b.cls AND a.bunch=b.bunch) AS DOUBLE) AS "both", CAST(count(*) FILTER (a.cls=b.cls) AS DOUBLE) AS made, CAST(count(*) FILTER (a.bunch=b.bunch) AS DOUBLE) AS "real" FROM gt a JOIN gt b ON a.tree=b.tree AND a.side<b.side)'))
     def agg_21(s, d):

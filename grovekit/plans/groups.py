@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from grovekit.functions import vectors as V
 from grovekit.operators import aggregates as A
 from grovekit.operators import calibration as C
-from grovekit.operators import fusion, linking
+from grovekit.operators import fusion, linking, models
 from grovekit.operators.components import min_label
 from grovekit.operators.grouped import per_group
 from grovekit.plans.aggregates import PT_SQL, TAU_SQL, TAUS, pred_true
@@ -226,10 +226,29 @@ def register(reg: Registry) -> None:
         z = F.array(F.get(lg, F.lit(0)), F.get(lg, F.lit(1)) + F.col("g.b1"), F.get(lg, F.lit(2)) + F.col("g.b2"), F.get(lg, F.lit(3)))
         return probs(det(s, d)).withColumn("g", grid).groupBy("g.b1", "g.b2").agg(F.count_if(V.argmax(z) == (F.col("cls") + 1) % 4).alias("hits"))
 
-    @q("grp_23_policy", sql(", g AS (SELECT tree, count(*) AS n, avg(score) AS s FROM det GROUP BY tree) SELECT tree, CASE WHEN s >= 0.5 AND n >= 12 THEN 'agglomerative' ELSE 'union_find' END AS linker FROM g"))
+    @q("grp_23_policy")
     def grp_23(s, d):
-        g = det(s, d).groupBy("tree").agg(N().alias("n"), F.avg("score").alias("s"))
-        return g.select("tree", F.when((F.col("s") >= 0.5) & (F.col("n") >= 12), "agglomerative").otherwise("union_find").alias("linker"))
+        """Which of two linkers a tree gets: both link every tree; on the trees of four folds a logistic model learns from a tree's
+        features where agglomeration makes the better pairs (by F1 against the known bunches); it decides for all trees."""
+        truth = gt(s, d).select("stem", F.col("gt_id").alias("det_id"), "bunch")
+        rows = tree_boxes(s, d).withColumn("stem", F.col("tree") * 4 + F.col("side")).join(truth, ["stem", "det_id"], "left")
+
+        def run(g):
+            sides, w = linking.view_weights(g)
+            known = [i for i, r in enumerate(g) if r["bunch"] is not None]
+            f1 = []
+            for label in (linking.union_find(sides, linking.weight_edges(w), 3, 0.3), linking.agglomerate(sides, w, 0.4, 3)):
+                pairs = [(label[i] == label[j], g[i]["bunch"] == g[j]["bunch"]) for i in known for j in known if i < j and sides[i] != sides[j]]
+                both, either = sum(a and b for a, b in pairs), sum(a + b for a, b in pairs)
+                f1.append(2 * both / either if either else 0.0)
+            up = w[np.triu_indices(len(g), 1)]
+            return [(float(len(g)), float(up.mean()) if len(up) else 0.0, float((up > 0.4).mean()) if len(up) else 0.0, f1[0], f1[1])]
+
+        cols = ["n", "mean_weight", "close_share"]
+        seen = Workspace(s, "policy").save(per_group(rows, ["tree"], ["side", "det_id"], ["side", "bunch", *FIELDS], run, "n double, mean_weight double, close_share double, f_union double, f_agglo double").withColumn("better", (F.col("f_agglo") > F.col("f_union")).cast("int")), "seen")
+        b, w = models.logistic(seen.where("tree % 5 <> 0 and f_union <> f_agglo"), cols, "better")
+        p = models.predict(cols, b, w)
+        return seen.select("tree", F.when(p > 0, "agglomerative").otherwise("union_find").alias("linker"), _r(F.when(p > 0, F.col("f_agglo")).otherwise(F.col("f_union"))).alias("f1"), _r(F.col("f_union")).alias("f_union"), _r(F.col("f_agglo")).alias("f_agglo"))
 
     fuse = sql(f""", pv AS (SELECT stem, det_id, {P_SQL} AS p, {P_SQL.replace('cls = k', '(cls+1)%4 = k')} AS r FROM det),
       z AS (SELECT stem, det_id, [ln(greatest(p[i],1e-9)) + 0.5*(ln(greatest(r[i],1e-9)) - ln([0.4,0.3,0.2,0.1][i])) FOR i IN range(1,5)] AS z FROM pv)

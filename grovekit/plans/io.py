@@ -53,13 +53,9 @@ def register(reg: Registry) -> None:
         out = files.decode_npz(sinks.encode_npz(b, "shard"))
         return out.select(F.col("stem").cast("bigint").alias("stem"), "x1", "y1", "x2", "y2", "score", "cls")
 
-    @q("src_06_key_parsing", "SELECT row_id, CASE WHEN regexp_matches(tree_id, '^(.*)_([0-9]+)$') THEN regexp_extract(tree_id, '^(.*)_([0-9]+)$', 1) ELSE tree_id END AS tree, CASE WHEN regexp_matches(tree_id, '^(.*)_([0-9]+)$') THEN CAST(regexp_extract(tree_id, '^(.*)_([0-9]+)$', 2) AS INTEGER) END AS side FROM split_manifest WHERE NOT contains(tree_id, chr(9))")
+    @q("src_06_key_parsing", r"""SELECT row_id, CASE WHEN regexp_matches(t, '^(.*)_([0-9]+)$') THEN regexp_extract(t, '^(.*)_([0-9]+)$', 1) ELSE t END AS tree, CASE WHEN regexp_matches(t, '^(.*)_([0-9]+)$') THEN CAST(regexp_extract(t, '^(.*)_([0-9]+)$', 2) AS INTEGER) END AS side
+      FROM (SELECT row_id, regexp_replace(tree_id, '^[\s\x{FEFF}\x{00A0}\x{200B}]+|[\s\x{FEFF}\x{00A0}\x{200B}]+$', '', 'g') AS t FROM split_manifest)""")
     def src_06(s, d):
-        tree, side = files.tree_and_side(F.col("tree_id"))
-        return read(s, d, "split_manifest").where(~F.col("tree_id").contains("\t")).select("row_id", tree.alias("tree"), side.alias("side"))
-
-    @q("src_06_key_parsing_all")
-    def src_06a(s, d):
         """Keys of all rows, without marks and blanks (tabs too) around the name; a null name has neither tree nor side."""
         tree, side = files.tree_and_side(tidy(F.col("tree_id")))
         return read(s, d, "split_manifest").select("row_id", tree.alias("tree"), side.alias("side"))
@@ -78,7 +74,7 @@ def register(reg: Registry) -> None:
     @q("src_10_stored_result", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
     def src_10(s, d):
         make = lambda: read(s, d, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
-        key = files.signature(d, "lineitem", "by flag")
+        key = files.signature(files.file_states(s, f"{d}/lineitem.parquet"), "by flag")
         files.stored(s, "flags", key, make)
         return files.stored(s, "flags", key, make)
 
@@ -118,9 +114,10 @@ def register(reg: Registry) -> None:
 
     @q("snk_05_atomic_manifest", "SELECT DISTINCT row_id FROM split_manifest")
     def snk_05(s, d):
-        ws = Workspace(s, "manifest")
-        ws.save(read(s, d, "split_manifest").select("row_id").where("row_id is null"), "m")
-        return ws.save(read(s, d, "split_manifest").select("row_id").distinct(), "m")  # the committer shows old or new files, never half
+        p = path(s, "manifest")
+        sinks.replace_table(read(s, d, "split_manifest").select("row_id").where("row_id is null"), p)
+        sinks.replace_table(read(s, d, "split_manifest").select("row_id").distinct(), p)
+        return sinks.current_table(s, p)
 
     @q("snk_06_dataset_manifest", sql("SELECT DISTINCT 'det_' || stem || '.jpg' AS source, 'train/' || stem || '.jpg' AS target FROM det WHERE stem % 5 <> 0"))
     def snk_06(s, d):
@@ -134,7 +131,10 @@ def register(reg: Registry) -> None:
         nodes = nested.json_nodes(docs, "doc_no", "raw_id", "body").where("path = 'images.annotations'")
         return nodes.groupBy(F.col("doc_no").alias("tree_id"), F.col("parent_members")["side_index"].cast("int").alias("side_index")).agg(F.count(F.lit(1)).alias("n"))
 
-    @q("snk_08_guarded_enrichment", "SELECT row_id, 'manifest' AS origin, true AS unchanged FROM split_manifest")
+    # every seventh row comes back with another B1: it must be rolled back
+    @q("snk_08_guarded_enrichment", "SELECT row_id, B1, CASE WHEN row_id % 7 <> 0 OR B1 IS NULL THEN 'manifest' END AS origin, row_id % 7 <> 0 OR B1 IS NULL AS unchanged FROM split_manifest")
     def snk_08(s, d):
-        m = read(s, d, "split_manifest").select("row_id", "tree_id", "B1", "B2", "B3", "B4")
-        return sinks.enrich(m, ["row_id"], ["tree_id", "B1", "B2", "B3", "B4"], {"origin": F.lit("manifest")}).select("row_id", F.col("_meta.origin").alias("origin"), F.col("_unchanged").alias("unchanged"))
+        kept = ["tree_id", "B1", "B2", "B3", "B4"]
+        m = read(s, d, "split_manifest").select("row_id", *kept)
+        spoilt = m.withColumn("B1", F.col("B1") + (F.col("row_id") % 7 == 0).cast("int")).withColumn("origin", F.lit("manifest"))
+        return sinks.enrich(m, spoilt, ["row_id"], kept, ["origin"]).select("row_id", "B1", "origin", F.col("_unchanged").alias("unchanged"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from grovekit.functions.boxes import CORNERS
+from grovekit.functions.names import split_name, tree_key
 from grovekit.operators import checks, matching
 from grovekit.plans.registry import Registry
 from grovekit.plans.roles import det, gt, iou_sql, sql
@@ -110,11 +111,13 @@ def register(reg: Registry) -> None:
         fp = det(s, d).join(m, ["stem", "det_id"], "left_anti").select(F.lit("fp").alias("kind"), "stem", F.col("det_id").alias("id"))
         return fp.union(gt(s, d).join(m, ["stem", "gt_id"], "left_anti").select(F.lit("fn"), "stem", "gt_id"))
 
-    @q("jon_13_leakage", "SELECT row_id FROM split_manifest t WHERE new_split = 'test' AND tree_id NOT IN (SELECT tree_id FROM split_manifest WHERE new_split IN ('train','val') AND tree_id IS NOT NULL)")
+    @q("jon_13_leakage", r"""WITH p AS (SELECT row_id, lower(regexp_replace(new_split, '^[\s\x{FEFF}\x{00A0}\x{200B}]+|[\s\x{FEFF}\x{00A0}\x{200B}]+$', '', 'g')) AS s, trim(regexp_replace(regexp_replace(lower(tree_id), '[\x{FEFF}\x{200B}]', '', 'g'), '[^\p{L}\p{N}]+', '_', 'g'), '_') AS t FROM split_manifest),
+      k AS (SELECT row_id, s, CASE WHEN regexp_matches(t, '^[a-z]+_[a-z]+[0-9]+[a-z]*_0*[0-9]+(?:_.*|[a-z].*)?$') THEN regexp_replace(t, '^([a-z]+)_([a-z]+[0-9]+[a-z]*)_0*([0-9]+)(?:_.*|[a-z].*)?$', '\1|\2|\3') WHEN t <> '' THEN t END AS tree FROM p)
+      SELECT row_id FROM k WHERE s IN ('test','testing','uji','pengujian') AND coalesce(tree NOT IN (SELECT tree FROM k WHERE s IN ('train','training','latih','pelatihan','val','valid','validation','validasi') AND tree IS NOT NULL), true)""")
     def jon_13(s, d):
-        m = read(s, d, "split_manifest")
-        seen = m.where(F.col("new_split").isin("train", "val")).select("tree_id")
-        return m.where("new_split = 'test'").join(seen, "tree_id", "left_anti").select("row_id")
+        """Test rows whose tree is in neither training nor validation rows; splits and trees are read by their meaning."""
+        m = read(s, d, "split_manifest").select("row_id", split_name(F.col("new_split")).alias("s"), tree_key(F.col("tree_id")).alias("tree"))
+        return m.where("s = 'test'").join(m.where("s in ('train', 'val')").select("tree"), "tree", "left_anti").select("row_id")
 
     @q("jon_14_dimension", "SELECT b.box_id, coalesce(r.variety, 'UNKNOWN') AS variety FROM (SELECT DISTINCT box_id, tree_id FROM gt_boxes) b LEFT JOIN reference_trees r USING (tree_id)")
     def jon_14(s, d):
@@ -142,6 +145,13 @@ def register(reg: Registry) -> None:
         e = read(s, d, "embeddings")
         return knn(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 7, keep=["label"])
 
+    @q("jon_17_votes", knn_sql.replace("SELECT vec_id, other, label, rank, sim FROM k WHERE rank <= 7", """, v AS (SELECT vec_id, kk, label, count(*) AS n, sum(1/greatest(1-sim,1e-6)) AS w FROM k, (VALUES (3),(7),(15)) t(kk) WHERE rank <= kk GROUP BY ALL)
+      SELECT vec_id, kk AS k, first(label ORDER BY round(n,6) DESC, label) AS uniform, first(label ORDER BY round(w,6) DESC, label) AS weighted FROM v GROUP BY ALL""").replace("rank FROM s)\n      , v", "rank FROM s), v"))
+    def jon_17v(s, d):
+        from grovekit.operators.neighbours import knn, votes
+        e = read(s, d, "embeddings")
+        return votes(knn(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 15, keep=["label"]), "vec_id", "label", [3, 7, 15])
+
     @q("jon_17_prototypes", """WITH e AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding,1) AS i FROM embeddings)
       SELECT label, CAST(i-1 AS INTEGER) AS pos, round(avg(CAST(x AS DOUBLE)),6) AS mean FROM e GROUP BY ALL""")
     def jon_17p(s, d):

@@ -46,8 +46,13 @@ def register(reg: Registry) -> None:
 
     @q("str_05_stateful_stream", "SELECT user_id, count(*) AS n, round(sum(value),4) AS total FROM events GROUP BY 1")
     def str_05(s, d):
-        s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-        return E.run_to_table(E.running_totals(stream(s, d).select("user_id", "value")), Workspace(s, "stream"), "totals", "update")
+        conf = "spark.sql.streaming.stateStore.providerClass"
+        before = s.conf.get(conf)
+        s.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # only for this stream
+        try:
+            return E.run_to_table(E.running_totals(stream(s, d).select("user_id", "value")), Workspace(s, "stream"), "totals", "update", ["user_id"])
+        finally:
+            s.conf.set(conf, before)
 
     @q("udf_01_sql_functions", sql(f"SELECT a.stem, a.det_id, b.gt_id, round({iou_sql('a', 'b')},6) AS iou, CASE WHEN a.cls BETWEEN 0 AND 3 THEN 'B' || (a.cls+1) ELSE 'unknown' END AS label FROM det a JOIN gt b ON a.stem=b.stem WHERE {iou_sql('a', 'b')} > 0.5"))
     def udf_01(s, d):

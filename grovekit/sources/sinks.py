@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import io
+import time
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -77,8 +79,58 @@ def payload_digest(cols: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"}), 256)
 
 
-def enrich(df: DataFrame, keys: Sequence[str], payload: Sequence[str], meta: dict[str, Column]) -> DataFrame:
-    """Rows with metadata in ``_meta``, and ``_unchanged``: whether the payload's digest is the same as before."""
-    before = df.select(*keys, payload_digest(payload).alias("_d"))
-    after = df.withColumn("_meta", F.struct(*[c.alias(k) for k, c in meta.items()]))
-    return after.join(before, list(keys)).withColumn("_unchanged", payload_digest(payload) == F.col("_d")).drop("_d")
+def enrich(recorded: DataFrame, changed: DataFrame, keys: Sequence[str], payload: Sequence[str], meta: Sequence[str]) -> DataFrame:
+    """Recorded rows with the metadata columns of ``changed``, and ``_unchanged``: whether the payload came through as it was.
+
+    A row whose payload's digest differs from the recorded one is rolled back: it keeps the recorded payload and gets no
+    metadata.  Rows that only one of the two tables has are left as they are recorded, or left out.
+    """
+    new = changed.select(*keys, payload_digest(payload).alias("_d"), F.struct(*meta).alias("_m"))
+    same = F.coalesce(payload_digest(payload) == F.col("_d"), F.lit(False))
+    both = recorded.select(*keys, *payload).join(new, list(keys), "left").withColumn("_unchanged", same)
+    return both.select(*keys, *payload, *[F.when(F.col("_unchanged"), F.col(f"_m.{m}")).alias(m) for m in meta], "_unchanged")
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Replace the table at ``path`` in one step: readers see the old rows or the new ones, never none or half.
+
+    Rows are written to a folder of their own; then a small pointer file is renamed over the old one, which file systems do in
+    one step.  The folder before is kept for readers that still use it; older ones are removed.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    name = f"rows-{time.time_ns()}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(conf)
+    draft = jvm.org.apache.hadoop.fs.Path(f"{path}/_pointer-{name}")
+    out = system.create(draft, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    before = _pointed(spark, path)
+    rename = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    rename[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.getFileSystem(conf).getUri(), conf).rename(draft, jvm.org.apache.hadoop.fs.Path(f"{path}/_pointer"), rename)
+    for f in system.listStatus(root):
+        old = f.getPath().getName()
+        if old.startswith("rows-") and old not in (name, before) and old < name:
+            system.delete(f.getPath(), True)
+
+
+def _pointed(spark: SparkSession, path: str) -> str | None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_pointer")
+    system = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(p):
+        return None
+    stream = system.open(p)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return text
+
+
+def current_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table last put at ``path`` by :func:`replace_table`."""
+    name = _pointed(spark, path)
+    if name is None:
+        raise FileNotFoundError(f"no table at {path}")
+    return spark.read.parquet(f"{path}/{name}")

@@ -63,12 +63,23 @@ def running_totals(df: DataFrame) -> DataFrame:
     return df.groupBy("user_id").transformWithStateInPandas(RunningGroups(), "user_id bigint, n bigint, total double", "Update", "None")
 
 
-def run_to_table(stream: DataFrame, ws: Workspace, name: str, mode: str = "append") -> DataFrame:
-    """All available data through the stream into a table; in complete mode the last batch's result counts."""
+def run_to_table(stream: DataFrame, ws: Workspace, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """All available data through the stream into a table.
+
+    In complete mode the last batch's result counts.  In update mode every batch brings only the ``keys`` it has rows of: each
+    batch is written to a folder of its own (again, if it is repeated), and a key's row is that of its latest batch.
+    """
     path = ws.path(name)
     out = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", path + "-state")
     if mode == "append":
         out.format("parquet").option("path", path).start().awaitTermination()
-    else:
+    elif mode == "complete":
         out.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start().awaitTermination()
+    else:
+        if not keys:
+            raise ValueError("update mode needs the keys that a batch replaces")
+        out.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/_batch={i}")).start().awaitTermination()
+        rest = [c for c in stream.columns if c not in keys]
+        every = ws.spark.read.option("basePath", path).parquet(f"{path}/_batch=*")
+        return every.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*keys, "_r.*")
     return ws.spark.read.schema(stream.schema).parquet(path)
