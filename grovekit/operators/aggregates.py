@@ -125,7 +125,7 @@ def average_precision(flagged: DataFrame, totals: DataFrame, keys: Sequence[str]
     ks = list(keys)
     # scores are cut into bands, so that no task sorts a whole class; band totals are a small table that carries the sums over
     flagged = Workspace(flagged.sparkSession, "ap").save(flagged.select(*ks, "score", "tie", "tp"), "flagged")
-    cuts = score_cuts(flagged, "score", parts_for(flagged.count()))
+    cuts = score_cuts(flagged, "score", parts_for(flagged.count(), 10_000))  # small ranges, so that all cores sort
     banded = flagged.withColumn("_b", -F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("score"))))
     total = banded.groupBy(*ks, "_b").agg(N().alias("_n"), F.sum(F.col("tp").cast("long")).alias("_t"))
     earlier = Window.partitionBy(*ks).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
