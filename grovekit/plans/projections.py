@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from grovekit.functions import boxes as B
 from grovekit.functions import vectors as V
+from grovekit.functions.names import split_name
 from grovekit.plans.registry import Registry
 from grovekit.plans.roles import P_SQL, det, gt, iou_sql, probs, sql
-from grovekit.scale import read
+from grovekit.scale import read, tidy
 
 W, H = 1300.0, 900.0
 BLUR = [[0.8, 0.2, 0.0, 0.0], [0.1, 0.8, 0.1, 0.0], [0.0, 0.1, 0.8, 0.1], [0.0, 0.0, 0.2, 0.8]]
@@ -205,9 +206,12 @@ def register(reg: Registry) -> None:
     def flt_02(s, d):
         return read(s, d, "gt_boxes").where(F.col("cls").between(0, 3)).select("box_id", "cls")
 
-    @q("flt_03_variety_split", "SELECT row_id FROM split_manifest WHERE starts_with(tree_id, 'MERANTU') AND variety = 'MERANTU' AND new_split = 'train'")
+    @q("flt_03_variety_split", r"""SELECT row_id FROM (SELECT row_id, variety, lower(regexp_replace(new_split, '^[\s\x{FEFF}\x{00A0}\x{200B}]+|[\s\x{FEFF}\x{00A0}\x{200B}]+$', '', 'g')) AS s, upper(regexp_replace(tree_id, '^[\s\x{FEFF}\x{00A0}\x{200B}]+', '')) AS t FROM split_manifest)
+      WHERE starts_with(t, 'MERANTU') AND variety = 'MERANTU' AND s IN ('train','training','latih','pelatihan')""")
     def flt_03(s, d):
-        return read(s, d, "split_manifest").where(F.col("tree_id").startswith("MERANTU") & (F.col("variety") == "MERANTU") & (F.col("new_split") == "train")).select("row_id")
+        """Training rows of one variety; the split is read by its meaning, the name without marks, blanks and letter case."""
+        m = read(s, d, "split_manifest").where((F.col("variety") == "MERANTU") & F.upper(tidy(F.col("tree_id"))).startswith("MERANTU"))
+        return m.where(split_name(F.col("new_split")) == "train").select("row_id")
 
     @q("flt_04_four_sides", sql(", n AS (SELECT tree, count(DISTINCT side) AS n_sides FROM det GROUP BY tree) SELECT CASE WHEN n_sides = 4 THEN 'kept' ELSE 'excluded' END AS status, n_sides, count(*) AS n_trees FROM n GROUP BY ALL"))
     def flt_04(s, d):
