@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grovekit.scale import Workspace, parts_for, score_cuts
+from grovekit.scale import Workspace, band_of, parts_for, score_cuts
 
 
 def N() -> Column:
@@ -115,48 +115,44 @@ def class_scores(conf: DataFrame, classes: int) -> DataFrame:
     return each.withColumn("precision", pr).withColumn("recall", rc).withColumn("f1", 2 * F.col("tp") / F.greatest(F.col("n_pred") + F.col("n_true"), F.lit(1)))
 
 
-def average_precision(flagged: DataFrame, totals: DataFrame, keys: Sequence[str], variant: str = "coco") -> DataFrame:
+def average_precision(flagged: DataFrame, totals: DataFrame, keys: Sequence[str], variant: str = "coco", grid: Sequence[float] | None = None) -> DataFrame:
     """101-point average precision of (keys, score, tie, tp) against (keys, n_true).
 
     ``coco``: at each recall step the precision envelope at the first point that reaches it; ``raw``: the largest precision at any
-    recall from there on (the same number); ``interp``: the envelope interpolated linearly between recalls.  Keys without any
-    prediction get 0.
+    recall from there on (the same number); ``interp``: the envelope interpolated linearly between recalls.  A true row's
+    precision is never below that of the row before it, so the envelope is level up to each recall and ``interp`` is the same
+    number again.  Keys without any prediction get 0.  ``tie`` orders rows of equal score; it may be a struct.
+
+    ``grid``: thresholds of which ``tp`` says, in an array of booleans, which ones a row is true at; then the result has a
+    row for each ``threshold`` too.  Ranks don't depend on the threshold, so rows are not multiplied by the grid.
     """
-    ks = list(keys)
+    if variant not in ("coco", "raw", "interp"):
+        raise ValueError(f"unknown variant: {variant}")
+    ks, cuts_of = list(keys), range(len(grid) if grid else 1)
+    hit = [F.coalesce(F.get("tp", F.lit(i)) if grid else F.col("tp"), F.lit(False)).cast("long") for i in cuts_of]
     # scores are cut into bands, so that no task sorts a whole class; band totals are a small table that carries the sums over
-    flagged = Workspace(flagged.sparkSession, "ap").save(flagged.select(*ks, "score", "tie", "tp"), "flagged")
+    ws = Workspace(flagged.sparkSession, "ap")
+    flagged = ws.save(flagged.select(*ks, "score", "tie", "tp"), "flagged")
     cuts = score_cuts(flagged, "score", parts_for(flagged.count(), 10_000))  # small ranges, so that all cores sort
-    banded = flagged.withColumn("_b", -F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("score"))))
-    total = banded.groupBy(*ks, "_b").agg(N().alias("_n"), F.sum(F.col("tp").cast("long")).alias("_t"))
+    banded = flagged.select(*ks, (-band_of(F.col("score"), cuts)).alias("_b"), "score", "tie", *[h.alias(f"_h{i}") for i, h in enumerate(hit)])
+    total = banded.groupBy(*ks, "_b").agg(N().alias("_n"), *[F.sum(f"_h{i}").alias(f"_s{i}") for i in cuts_of])
     earlier = Window.partitionBy(*ks).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offset = total.select(*ks, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_on"), F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_ot"))
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    offset = ws.save(total.select(*ks, "_b", before("_n").alias("_on"), *[before(f"_s{i}").alias(f"_o{i}") for i in cuts_of]), "offset")
     w = Window.partitionBy(*ks, "_b").orderBy(F.desc("score"), "tie")
-    run = banded.withColumn("_ct", F.sum(F.col("tp").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_k", F.row_number().over(w))
-    pts = run.join(offset, [*ks, "_b"]).join(totals, ks).where("n_true > 0").withColumn("k", F.col("_k") + F.col("_on"))
-    pts = pts.select(*ks, "_b", "k", ((F.col("_ct") + F.col("_ot")) / F.col("n_true")).alias("recall"), ((F.col("_ct") + F.col("_ot")) / F.col("k")).alias("precision"))
-    back = Window.partitionBy(*ks, "_b").orderBy(F.desc("k"))
-    best = pts.groupBy(*ks, "_b").agg(F.max("precision").alias("_m"), F.max_by(F.col("recall"), F.col("k")).alias("_r"))
-    later = Window.partitionBy(*ks).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    edge = best.select(*ks, "_b", F.max("_m").over(later).alias("_later"), F.lag("_r").over(Window.partitionBy(*ks).orderBy("_b")).alias("_before"))
-    env = pts.withColumn("env", F.max("precision").over(back)).join(edge, [*ks, "_b"]).withColumn("env", F.greatest("env", F.coalesce("_later", F.lit(0.0))))
-    order = Window.partitionBy(*ks, "_b").orderBy("k")
-    # a recall value serves the steps above the recall before it
-    prev = F.coalesce(F.lag("recall").over(order), F.col("_before"), F.lit(-1.0))
-    lo, hi = F.floor(prev * 100 + 1e-9) + 1, F.floor(F.col("recall") * 100 + 1e-9)
-    if variant == "interp":
-        # where a band begins, the envelope before it: its own maximum and that of all later bands
-        ends = env.groupBy(*ks, "_b").agg(F.max_by("env", "k").alias("_e"))
-        ends = ends.select(*ks, "_b", F.lag("_e").over(Window.partitionBy(*ks).orderBy("_b")).alias("_eb"))
-        env = env.join(ends, [*ks, "_b"])
-        before = F.coalesce(F.lag("env").over(order), F.col("_eb"), F.col("env"))
-        base = F.greatest(prev, F.lit(0.0))
-        steps = env.select(*keys, "recall", "env", base.alias("r0"), before.alias("e0"), F.greatest(lo, F.lit(0)).alias("lo"), hi.alias("hi")).where("hi >= lo")
-        each = steps.select(*keys, "recall", "env", "r0", "e0", F.explode(F.sequence("lo", "hi")).alias("t"))
-        share = F.when(F.col("recall") > F.col("r0"), (F.col("t") / 100 - F.col("r0")) / (F.col("recall") - F.col("r0"))).otherwise(1.0)
-        got = each.groupBy(*keys).agg((F.sum(F.col("e0") + (F.col("env") - F.col("e0")) * share) / 101).alias("ap"))
-    else:
-        got = env.select(*keys, "env", F.greatest(hi - F.greatest(lo, F.lit(0)) + 1, F.lit(0)).alias("m")).groupBy(*keys).agg((F.sum(F.col("env") * F.col("m")) / 101).alias("ap"))
-    return totals.where("n_true > 0").join(got, list(keys), "left").select(*keys, F.coalesce("ap", F.lit(0.0)).alias("ap"))
+    run = banded.select(*ks, "_b", F.row_number().over(w).alias("_k"), *[f"_h{i}" for i in cuts_of], *[F.sum(f"_h{i}").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_c{i}") for i in cuts_of])
+    run = run.where(" or ".join(f"_h{i} > 0" for i in cuts_of)).join(offset, [*ks, "_b"])
+    point = lambda i: F.struct(F.lit(float(grid[i]) if grid else 0.0).alias("threshold"), F.col(f"_h{i}").alias("h"), (F.col(f"_c{i}") + F.col(f"_o{i}")).alias("c"))
+    true = run.select(*ks, (F.col("_k") + F.col("_on")).alias("k"), F.explode(F.array(*[point(i) for i in cuts_of])).alias("_x")).where("_x.h > 0")
+    by = [*ks, "threshold"] if grid else ks
+    best = true.select(*ks, "k", "_x.threshold", "_x.c").join(totals.where("n_true > 0"), by)
+    step = F.least(F.floor(F.col("c") / F.col("n_true") * 100 + 1e-9), F.lit(100)).cast("int")
+    best = best.groupBy(*by, step.alias("_t")).agg(F.max(F.col("c") / F.col("k")).alias("_p"))
+    # the best precision of a step serves the steps from the one reached before it up to its own
+    later = F.max("_p").over(Window.partitionBy(*by).orderBy(F.desc("_t")))
+    lower = F.coalesce(F.lag("_t").over(Window.partitionBy(*by).orderBy("_t")), F.lit(-1))
+    got = best.select(*by, (later * (F.col("_t") - lower)).alias("_a")).groupBy(*by).agg((F.sum("_a") / 101).alias("ap"))
+    return totals.where("n_true > 0").join(got, by, "left").select(*by, F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
 def contingency_scores(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -150,6 +150,8 @@ def match_one_to_one(pred: DataFrame, truth: DataFrame, keys: Sequence[str], lea
     from one pass.  ``cap``: only that many best predictions of a key take part.  Unmatched rows are left out.
     """
     cuts = [least] if isinstance(least, int | float) else list(least)
+    if method == "greedy" and cap is None:
+        return _match_greedy(pred, truth, keys, cuts)
     p = _packed(pred.withColumn("_neg", -F.col("score")), keys, ["_neg", "det_id", *CORNERS], "p")
     t = _packed(truth, keys, ["gt_id", *CORNERS], "t")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in p.schema if f.name in keys)
@@ -169,6 +171,43 @@ def match_one_to_one(pred: DataFrame, truth: DataFrame, keys: Sequence[str], lea
     return p.join(t, list(keys)).mapInPandas(run, f"{kinds}, threshold double, det_id bigint, gt_id bigint, iou double")
 
 
+def _match_greedy(pred: DataFrame, truth: DataFrame, keys: Sequence[str], cuts: Sequence[float]) -> DataFrame:
+    """Greedy matches from the pairs of an equi-join that reach the least threshold; others never match nor hinder a match.
+
+    A key's pairs stream by in the order in which they are offered: predictions by falling score, each one's truths by falling
+    IoU.  A pair is taken if both are free.
+    """
+    p = pred.select(*keys, (-F.col("score")).alias("_neg"), "det_id", *CORNERS, F.monotonically_increasing_id().alias("_p"))
+    t = _right(truth.withColumn("_t", F.monotonically_increasing_id()), keys, "gt_id", ["_t"])
+    pairs = p.join(t, list(keys)).withColumn("iou", iou(box(), box("b_"))).where((F.col("iou") >= min(cuts)) & ~F.isnan("iou"))
+    offered = [*keys, "_neg", "det_id", *CORNERS, "_p", F.desc("iou"), F.desc("gt_id"), *[F.desc(f"b_{c}") for c in CORNERS], F.desc("b__t")]
+    pairs = pairs.repartition(*keys).sortWithinPartitions(*offered).select(*keys, "_p", "b__t", "det_id", "gt_id", "iou")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema if f.name in keys)
+
+    def run(batches):
+        last, state = None, []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            key = [pdf[k].to_numpy() for k in keys]
+            fresh = np.r_[tuple(k[0] for k in key) != last, np.any([k[1:] != k[:-1] for k in key], axis=0)]
+            last = tuple(k[-1] for k in key)
+            at, cut_of = [], []
+            for i, (new, a, b, v) in enumerate(zip(fresh.tolist(), pdf["_p"].tolist(), pdf["b__t"].tolist(), pdf["iou"].tolist(), strict=True)):
+                if new:
+                    state = [(c, set(), set()) for c in cuts]
+                for c, used, taken in state:
+                    if v >= c and a not in used and b not in taken:
+                        used.add(a)
+                        taken.add(b)
+                        at.append(i)
+                        cut_of.append(c)
+            out = pdf.iloc[at]
+            yield out[list(keys)].assign(threshold=np.array(cut_of, dtype=float), det_id=out["det_id"], gt_id=out["gt_id"], iou=out["iou"])
+
+    return pairs.mapInPandas(run, f"{kinds}, threshold double, det_id bigint, gt_id bigint, iou double")
+
+
 def group_weight(members: DataFrame, others: DataFrame, keys: Sequence[str], group: str, other_group: str, m_id: str, o_id: str) -> DataFrame:
     """(group, other_group, weight): largest IoU of any member with any member of the other group in the same place."""
     pairs = theta_join(members, others, keys, m_id, o_id, 1e-12, extra=[other_group])

@@ -171,7 +171,7 @@ def register(reg: Registry) -> None:
 
     def flagged(s, d, least=0.5):
         m = matching.match_one_to_one(det(s, d), gt(s, d), ["stem", "cls"], least).select("stem", "cls", "det_id", "threshold")
-        return det(s, d).join(m, ["stem", "cls", "det_id"], "left").select("cls", "score", (F.col("stem") * 10000000000000 + F.col("det_id")).alias("tie"), F.col("threshold").isNotNull().alias("tp"))
+        return det(s, d).join(m, ["stem", "cls", "det_id"], "left").select("cls", "score", F.struct("stem", "det_id").alias("tie"), F.col("threshold").isNotNull().alias("tp"))
 
     def totals(s, d):
         return gt(s, d).groupBy("cls").agg(N().alias("n_true"))
@@ -190,17 +190,17 @@ def register(reg: Registry) -> None:
 
     @q("agg_16_map_grid")
     def agg_16(s, d):
-        m = matching.match_one_to_one(det(s, d), gt(s, d), ["stem", "cls"], IOU_GRID).select("stem", "cls", "det_id", "threshold")
-        grid = det(s, d).select("stem", "cls", "det_id", "score", F.explode(F.lit(IOU_GRID)).alias("threshold"))
-        fl = grid.join(m.withColumn("tp", F.lit(True)), ["stem", "cls", "det_id", "threshold"], "left").select("threshold", "cls", "score", (F.col("stem") * 10000000000000 + F.col("det_id")).alias("tie"), F.coalesce("tp", F.lit(False)).alias("tp"))
+        m = matching.match_one_to_one(det(s, d), gt(s, d), ["stem", "cls"], IOU_GRID).groupBy("stem", "cls", "det_id").agg(F.collect_set("threshold").alias("at"))
+        tp = F.transform(F.lit(IOU_GRID), lambda x: F.array_contains("at", x))
+        fl = det(s, d).join(m, ["stem", "cls", "det_id"], "left").select("cls", "score", F.struct("stem", "det_id").alias("tie"), tp.alias("tp"))
         tot = totals(s, d).withColumn("threshold", F.explode(F.lit(IOU_GRID)))
-        ap = A.average_precision(fl, tot, ["threshold", "cls"])
+        ap = A.average_precision(fl, tot, ["cls"], grid=IOU_GRID)
         return ap.agg(_r(F.avg(F.when(F.col("threshold") == 0.5, F.col("ap")))).alias("map50"), _r(F.avg("ap")).alias("map50_95"))
 
     @q("agg_17_agnostic", greedy_sql(AP_SQL.replace("SELECT d.cls,", "SELECT 0 AS cls,").replace("SELECT cls, count(*) AS n_true FROM gt GROUP BY cls", "SELECT 0 AS cls, count(*) AS n_true FROM gt") + " SELECT round(sum(coalesce(p,0))/101,6) AS ap FROM steps"))
     def agg_17(s, d):
         m = matched(s, d).select("stem", "det_id", "threshold")
-        fl = det(s, d).join(m, ["stem", "det_id"], "left").select(F.lit(0).alias("all"), "score", (F.col("stem") * 10000000000000 + F.col("det_id")).alias("tie"), F.col("threshold").isNotNull().alias("tp"))
+        fl = det(s, d).join(m, ["stem", "det_id"], "left").select(F.lit(0).alias("all"), "score", F.struct("stem", "det_id").alias("tie"), F.col("threshold").isNotNull().alias("tp"))
         return A.average_precision(fl, gt(s, d).agg(F.lit(0).alias("all"), N().alias("n_true")), ["all"]).select(_r(F.col("ap")).alias("ap"))
 
     @q("agg_18_percentile_ci", sql("SELECT cls, round(quantile_cont(score,0.025),6) AS lo, round(quantile_cont(score,0.975),6) AS hi, round(avg(CAST(score>0.5 AS INT)),6) AS p_above, quantile_cont(score,0.025) > 0 AS significant FROM det GROUP BY cls"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import math
 import re
 import tempfile
 import uuid
@@ -55,6 +56,17 @@ def score_cuts(df: DataFrame, c: str, parts: int) -> list[float]:
     return sorted({float(x) for x in found})
 
 
+def band_of(c: Column, cuts: Sequence[float]) -> Column:
+    """How many of the rising ``cuts`` a value reaches, found in two steps of about the square root of their number."""
+    if not cuts:
+        return F.lit(0)
+    wide = math.isqrt(len(cuts) - 1) + 1
+    firsts = F.lit(list(cuts[::wide]))
+    block = F.size(F.filter(firsts, lambda x: x <= c))
+    inside = F.filter(F.slice(F.lit(list(cuts)), (F.greatest(block, F.lit(1)) - 1) * wide + 1, F.lit(wide)), lambda x: x <= c)
+    return F.when(block == 0, 0).otherwise((block - 1) * wide + F.size(inside)).cast("int")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):
         p = spark._jvm.org.apache.hadoop.fs.Path(path)

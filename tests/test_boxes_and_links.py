@@ -143,3 +143,54 @@ def test_matching_properties(spark):
         for _, g in m.groupby(["threshold", "stem"]):
             assert g.det_id.is_unique and g.gt_id.is_unique
         assert (m.iou >= m.threshold).all()
+
+
+def test_scores_of_images_with_large_keys(spark, tmp_path):
+    """Stems beyond a million, whose product with 10 ** 13 is no bigint."""
+    from grovekit.plans import catalog
+
+    src = "/root/testdata/sf0.001/lineitem.parquet"
+    small, large = tmp_path / "small", tmp_path / "large"
+    li = spark.read.parquet(src).where("l_orderkey < 300")
+    li.write.parquet(str(small / "lineitem.parquet"))
+    li.withColumn("l_orderkey", F.col("l_orderkey") + 40_000_000).write.parquet(str(large / "lineitem.parquet"))
+    reg = catalog.build().queries
+    for name in ("agg_15_ap_coco", "agg_15_ap_raw", "agg_15_ap_interp", "agg_16_map_grid", "agg_17_agnostic"):
+        a, b = (sorted(map(tuple, reg[name](spark, str(d)).collect())) for d in (small, large))
+        assert a == b and a
+    assert reg["rsm_03_map_bootstrap"](spark, str(large)).count() == 500
+
+
+def test_one_pass_over_a_grid_equals_one_at_a_time(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(c), float(s), i, [bool(x) for x in h]) for i, (c, s, h) in enumerate(zip(rng.integers(0, 2, 300), rng.random(300).round(1), rng.random((300, 3)) < [0.7, 0.4, 0.05], strict=True))]
+    fl = spark.createDataFrame(rows, "cls int, score double, tie int, tp array<boolean>")
+    tot = spark.createDataFrame([(0, 120), (1, 90), (2, 5)], "cls int, n_true int")
+    grid = [0.5, 0.7, 0.9]
+    got = {(r.threshold, r.cls): r.ap for r in A.average_precision(fl, tot.withColumn("threshold", F.explode(F.lit(grid))), ["cls"], grid=grid).collect()}
+    for i, t in enumerate(grid):
+        for v in ("coco", "raw", "interp"):
+            one = {r.cls: r.ap for r in A.average_precision(fl.withColumn("tp", F.col("tp")[i]), tot, ["cls"], v).collect()}
+            assert one == {c: got[t, c] for c in range(3)}
+        for c, n in ((0, 120), (1, 90)):
+            k = hit = 0
+            points = []
+            for r in sorted((r for r in rows if r[0] == c), key=lambda r: (-r[1], r[2])):
+                k, hit = k + 1, hit + r[3][i]
+                points.append((hit / n, hit / k))
+            assert got[t, c] == pytest.approx(sum(max((p for r, p in points if r >= x / 100 - 1e-11), default=0.0) for x in range(101)) / 101)
+
+
+def test_greedy_matches_by_pairs_equal_the_matrix(spark):
+    rng = np.random.default_rng(8)
+    box = lambda n: [(int(s), i, float(x), float(y), float(x + 12), float(y + 12)) for i, (s, x, y) in enumerate(zip(rng.integers(0, 6, n), rng.integers(0, 25, n), rng.integers(0, 25, n), strict=True))]
+    pred, true = [(*b, float(s)) for b, s in zip(box(90), rng.random(90).round(1), strict=True)], box(70)
+    p = spark.createDataFrame(pred, "stem int, det_id bigint, x1 double, y1 double, x2 double, y2 double, score double")
+    t = spark.createDataFrame(true, "stem int, gt_id bigint, x1 double, y1 double, x2 double, y2 double")
+    got = {(r.threshold, r.stem, r.det_id, r.gt_id) for r in matching.match_one_to_one(p, t, ["stem"], [0.2, 0.5]).collect()}
+    want = set()
+    for s in range(6):
+        ps, ts = sorted((r for r in pred if r[0] == s), key=lambda r: (-r[6], r[1])), [r for r in true if r[0] == s]
+        m = matching.iou_matrix(np.array([r[2:6] for r in ps]), np.array([r[2:6] for r in ts]))
+        want |= {(c, s, ps[i][1], ts[j][1]) for c in (0.2, 0.5) for i, j in enumerate(matching.greedy(m, c)) if j >= 0}
+    assert got == want
