@@ -9,8 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from grovekit.scale import Workspace, parts_for, score_cuts
+from grovekit.scale import Workspace, band_of, parts_for, score_cuts
 
 
 # The distribution function of the Poisson law of mean 1, up to 8.
@@ -78,11 +79,15 @@ def bootstrap_ap(flags: DataFrame, truths: DataFrame, replicates: int, ws: Works
 
     ``flags`` is (stem, cls, score, tie, tp), matched once; ``truths`` (stem, cls, n).  Neither is copied: rows are cut into bands of
     score, each band's weighted counts are taken for all replicates at once, and the counts of the bands before it are
-    carried in.  What leaves a band is the best precision for each replicate and recall step that it reaches.
+    carried in.  What leaves a band is the best precision for each replicate and recall step that it reaches.  ``tie`` orders
+    rows of equal score; it may be a struct, which is sorted field by field.
     """
-    flags = ws.save(flags.select(F.col("stem").cast("bigint").alias("stem"), "cls", "score", "tie", "tp"), "flags")
+    kind = flags.schema["tie"].dataType
+    ties = [F.col(f"tie.{f}").alias(f"_tie{i}") for i, f in enumerate(kind.names)] if isinstance(kind, StructType) else [F.col("tie").alias("_tie0")]
+    by_tie = [f"_tie{i}" for i in range(len(ties))]
+    flags = ws.save(flags.select(F.col("stem").cast("bigint").alias("stem"), "cls", "score", *ties, "tp"), "flags")
     cuts = score_cuts(flags, "score", parts_for(flags.count(), band_rows))
-    banded = flags.withColumn("band", -F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("score"))))
+    banded = flags.withColumn("band", -band_of(F.col("score"), cuts))
 
     def table(rows: list, cols: list[str]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=cols)
@@ -108,7 +113,7 @@ def bootstrap_ap(flags: DataFrame, truths: DataFrame, replicates: int, ws: Works
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return table([], ["cls", "b", "t", "p"])
-        pdf = left.sort_values(["score", "tie"], ascending=[False, True])
+        pdf = left.sort_values(["score", *by_tie], ascending=[False, *[True] * len(by_tie)])
         w = image_weights(pdf["stem"].to_numpy(), replicates, seed).astype(float)
         n0, t0, g = (np.asarray(right[c].iloc[0], dtype=float) for c in ("n0", "t0", "g"))
         k = np.cumsum(w, axis=0) + n0

@@ -202,7 +202,7 @@ def register(reg: Registry) -> None:
     def rsm_03(s, d):
         from grovekit.operators import matching
         m = matching.match_one_to_one(det(s, d), gt(s, d), ["stem", "cls"], 0.5).select("stem", "cls", "det_id", F.lit(True).alias("tp"))
-        flags = det(s, d).join(m, ["stem", "cls", "det_id"], "left").select("stem", "cls", "score", (F.col("stem") * 10000000000000 + F.col("det_id")).alias("tie"), F.coalesce("tp", F.lit(False)).alias("tp"))
+        flags = det(s, d).join(m, ["stem", "cls", "det_id"], "left").select("stem", "cls", "score", F.struct("stem", "det_id").alias("tie"), F.coalesce("tp", F.lit(False)).alias("tp"))
         truths = gt(s, d).groupBy("stem", "cls").agg(F.count(F.lit(1)).alias("n"))
         return R.bootstrap_ap(flags, truths, 500, Workspace(s, "mapboot")).groupBy("b").agg(_r(F.avg("ap"), 5).alias("map50"))
 
