@@ -5,7 +5,7 @@ A cluster never holds two nodes of one side.  Edges are (score, i, j); order is
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -305,3 +305,102 @@ def view_weights(rows) -> tuple[list[int], np.ndarray]:
 def weight_edges(w: np.ndarray, least: float = 0.05) -> list[tuple[float, int, int]]:
     i, j = np.nonzero(np.triu(w, 1) >= least)
     return [(float(w[a, b]), int(a), int(b)) for a, b in zip(i, j, strict=True)]
+
+
+#: Pair weights of trees that are linked at once: trees of about the same size are packed into dense arrays of so many numbers.
+DENSE = 1_000_000
+
+
+def dense_trees(start: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(trees, at, ok) for chunks of trees of similar size: rows of their nodes as a table (tree, node), padded where not ``ok``."""
+    order = np.argsort(n, kind="stable")
+    begin = 0
+    while begin < len(order):
+        if not n[order[begin]]:
+            begin += 1
+            continue
+        end = begin + 1
+        while end < len(order) and (end - begin + 1) * int(n[order[end]]) ** 2 <= DENSE:
+            end += 1
+        trees = order[begin:end]
+        node = np.arange(int(n[trees].max()))
+        ok = node < n[trees][:, None]
+        yield trees, np.where(ok, start[trees][:, None] + node, start[trees][:, None]), ok
+        begin = end
+
+
+def dense_weights(side: np.ndarray, cy: np.ndarray, h: np.ndarray, cls: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """``view_weights`` of many trees at once: (tree, node, node)."""
+    i, j = (slice(None), slice(None), None), (slice(None), None, slice(None))
+    with np.errstate(all="ignore"):
+        d = 0.5 * ((cy[i] - cy[j]) / 120) ** 2 + 0.12 * np.log(h[i] / h[j]) ** 2 + 0.4 * (cls[i] != cls[j])
+        w = np.round(np.exp(-np.minimum(d, 40)), 9)
+    return np.where((side[i] != side[j]) & ok[i] & ok[j], w, 0.0)
+
+
+def side_bits(side: np.ndarray) -> np.ndarray:
+    """A bit for each side, numbered by their values; at most 62 sides."""
+    names, code = np.unique(side, return_inverse=True)
+    if len(names) > 62:
+        raise ValueError(f"{len(names)} sides in one batch: at most 62 have a bit of their own")
+    return np.left_shift(np.int64(1), code.reshape(side.shape).astype(np.int64))
+
+
+def agglomerate_many(side: np.ndarray, weight: np.ndarray, ok: np.ndarray, cut: float, cap: int) -> np.ndarray:
+    """Labels (tree, node) of ``agglomerate`` by mean linkage: every tree takes its next join in the same step."""
+    trees, nodes = ok.shape
+    z, label = np.arange(nodes), np.tile(np.arange(nodes), (trees, 1))
+    total, mask, size, alive = weight.copy(), side_bits(side), ok.astype(np.int64), ok.copy()
+    able = ok[:, :, None] & ok[:, None, :] & ((mask[:, :, None] & mask[:, None, :]) == 0) & (z[:, None] < z) & (cap >= 2)
+    link = np.where(able & (total >= cut), total, -np.inf)
+    where = np.arange(trees)  # trees still at work
+    while len(where):
+        best = link.reshape(len(where), -1).argmax(axis=1)  # of equal links the first: smallest x, then y
+        go = link.reshape(len(where), -1)[np.arange(len(where)), best] > -np.inf
+        if go.sum() * 2 < len(where):  # most are done: go on with the rest alone
+            where, total, mask, size, alive, link, best = where[go], total[go], mask[go], size[go], alive[go], link[go], best[go]
+            go = np.ones(len(where), dtype=bool)
+        g = np.flatnonzero(go)
+        if not len(g):
+            break
+        x, y = np.divmod(best[g], nodes)
+        total[g, x] += total[g, y]
+        total[g, :, x] += total[g, :, y]
+        mask[g, x] |= mask[g, y]
+        size[g, x] += size[g, y]
+        alive[g, y] = False
+        own = label[where[g]]
+        label[where[g]] = np.where(own == y[:, None], x[:, None], own)
+        link[g, y], link[g, :, y] = -np.inf, -np.inf
+        able = alive[g] & ((mask[g] & mask[g, x][:, None]) == 0) & (size[g] + size[g, x][:, None] <= cap)
+        count = size[g] * size[g, x][:, None]
+        after, before = total[g, x] / np.maximum(count, 1), total[g, :, x] / np.maximum(count, 1)
+        link[g, x] = np.where(able & (z > x[:, None]) & (after >= cut), after, -np.inf)
+        link[g, :, x] = np.where(able & (z < x[:, None]) & (before >= cut), before, -np.inf)
+    return label
+
+
+def union_find_many(side: np.ndarray, weight: np.ndarray, ok: np.ndarray, cut: float, cap: int) -> np.ndarray:
+    """Labels (tree, node) of ``union_find`` over all pairs of at least ``cut``: every tree takes its next join in the same step.
+
+    A join that is ruled out once stays so, since clusters only grow; so the next join is the strongest pair still allowed.
+    """
+    trees, nodes = ok.shape
+    z, label = np.arange(nodes), np.tile(np.arange(nodes), (trees, 1))
+    mask, size = side_bits(side), ok.astype(np.int64)  # of each node's cluster
+    able = ok[:, :, None] & ok[:, None, :] & ((mask[:, :, None] & mask[:, None, :]) == 0) & (z[:, None] < z) & (cap >= 2)
+    edge = np.where(able & (weight >= cut), weight, -np.inf)
+    where, own = np.arange(trees), label.copy()
+    while len(where):
+        best = edge.reshape(len(where), -1).argmax(axis=1)  # of equal edges the first: smallest i, then j
+        go = edge.reshape(len(where), -1)[np.arange(len(where)), best] > -np.inf
+        label[where] = own
+        where, own, mask, size, edge, best = where[go], own[go], mask[go], size[go], edge[go], best[go]
+        g = np.arange(len(where))
+        i, j = np.divmod(best, nodes)
+        a, b = np.minimum(own[g, i], own[g, j])[:, None], np.maximum(own[g, i], own[g, j])[:, None]
+        both, grown = (own == a) | (own == b), (mask[g, i] | mask[g, j])[:, None]
+        own, mask, size = np.where(both, a, own), np.where(both, grown, mask), np.where(both, (size[g, i] + size[g, j])[:, None], size)
+        bad = (own[:, :, None] == own[:, None, :]) | ((mask[:, :, None] & mask[:, None, :]) != 0) | (size[:, :, None] + size[:, None, :] > cap)
+        edge[bad] = -np.inf
+    return label

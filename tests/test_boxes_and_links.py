@@ -194,3 +194,27 @@ def test_greedy_matches_by_pairs_equal_the_matrix(spark):
         m = matching.iou_matrix(np.array([r[2:6] for r in ps]), np.array([r[2:6] for r in ts]))
         want |= {(c, s, ps[i][1], ts[j][1]) for c in (0.2, 0.5) for i, j in enumerate(matching.greedy(m, c)) if j >= 0}
     assert got == want
+
+
+def test_many_trees_link_like_one_at_a_time():
+    """Thousands of trees, with ties, in one step each; a tree at a time took milliseconds."""
+    import time
+
+    rng = np.random.default_rng(2)
+    n = rng.integers(0, 14, 3000)
+    start, rows = np.cumsum(n) - n, []
+    for k in n:
+        rows += [{"side": int(s), "y1": float(y), "y2": float(y + h), "cls": int(c)} for s, y, h, c in zip(*(rng.integers(a, b, k) for a, b in ((0, 4), (0, 400), (20, 24), (0, 2))), strict=True)]
+    col = {f: np.array([r[f] for r in rows]) for f in ("side", "y1", "y2", "cls")}
+    got, spent = {}, time.process_time()
+    for trees, at, ok in linking.dense_trees(start, n):
+        side = col["side"][at]
+        w = linking.dense_weights(side, (col["y1"] + col["y2"])[at] / 2, (col["y2"] - col["y1"])[at], col["cls"][at], ok)
+        a, u = linking.agglomerate_many(side, w, ok, 0.4, 3), linking.union_find_many(side, w, ok, 0.3, 3)
+        got |= {t: (a[i, : n[t]].tolist(), u[i, : n[t]].tolist()) for i, t in enumerate(trees)}
+    assert time.process_time() - spent < 5
+    assert got.keys() == {t for t in range(len(n)) if n[t]}
+    for t in rng.choice(len(n), 400, replace=False):
+        if n[t]:
+            sides, w = linking.view_weights(rows[start[t] : start[t] + n[t]])
+            assert got[t] == (linking.agglomerate(sides, w, 0.4, 3), linking.union_find(sides, linking.weight_edges(w), 3, 0.3))
