@@ -8,9 +8,12 @@ sources that the documents name themselves (a document that names none counts th
 can't be met, the named sources' totals are what the mix is asked for, so the last steps close only these.  Documents of
 sources that no mix asks for take part like all others, with a target of none for what they name.
 
-A membership is a document's two likeliest sources in parts of ``1 / GRAIN``, and the source it names.  The corpus is aggregated to
-tokens by membership; a step needs nothing but these sums, and with K sources there are at most (K + 1) ** 2 * GRAIN / 2 * (K + 2)
-of them however many documents there are, so the steps are taken on that table.  Rates become whole copies by carrying the error on within bounded blocks of a source, largest documents
+A membership is a document's posterior shares of all sources, each of them counted as it is.  Documents with the same two
+likeliest sources, in parts of ``1 / GRAIN`` of both, and the same named source share one rate: such a bin's membership is the mean
+of its documents' whole posteriors, weighted by tokens, so its totals are exactly the sums over its documents, with the shares of
+every source.  The corpus is aggregated to these sums by bin; a step needs nothing else, and with K sources there are at
+most (K + 1) ** 2 * GRAIN / 2 * (K + 2) bins however many documents there are, so the steps are taken on that table.  Rates
+become whole copies by carrying the error on within bounded blocks of a source, largest documents
 first, so a block's error is at most half of its smallest document.
 
 A source without documents, or whose capped documents don't suffice, falls short; its shortfall is reported and left open,
@@ -93,10 +96,13 @@ def shares_of(odds: Column) -> Column:
 
 
 def with_name(p: Column, named: Column, sources: list[str]) -> Column:
-    """Posterior shares of the sources and, last, of what nobody asks for, given the text's shares and the source named."""
+    """Posterior shares of the sources and, last, of what nobody asks for, given the text's shares and the source named.
+
+    Where an asked source is named, the text shares the rest among the asked ones; it says nothing of others.
+    """
     slip = (1 - TRUST) / len(sources)
     told_ = F.transform(p, lambda x, i: x * F.when(F.get(F.lit(sources), i) == named, TRUST).otherwise(slip))
-    odds = F.concat(told_, F.array(F.when(named.isin(sources), slip / len(sources)).otherwise(TRUST)))
+    odds = F.concat(told_, F.array(F.when(named.isin(sources), 0.0).otherwise(TRUST)))
     return F.when(named.isNull(), F.concat(p, F.array(F.lit(0.0)))).otherwise(shares_of(odds))
 
 
@@ -112,15 +118,19 @@ def two_likeliest(p: Column) -> Column:
 
 
 def memberships(units: list, sources: int) -> np.ndarray:
-    """A row for each of units (first, second, part, named): posterior shares, then shares of what is named; each with what nobody asks for.
+    """A row for each of units: posterior shares, then shares of what is named; each with what nobody asks for.
 
-    ``named`` is the source's number, -1 for none named (then the posterior counts), -2 for one that nobody asks for.
+    ``named`` is the source's number, -1 for none named (then the posterior counts), -2 for one that nobody asks for.  ``p`` are the
+    posterior shares of all sources; without it, those of a document of no others than (first, second, part).
     """
     u = np.zeros((len(units), 2 * (sources + 1)))
     for row, r in zip(u, units, strict=True):
-        row[r["first"]] = 1 - r["part"] / GRAIN
-        if r["part"]:
-            row[r["second"]] = r["part"] / GRAIN
+        if r.get("p") is not None:
+            row[: sources + 1] = r["p"]
+        else:
+            row[r["first"]] = 1 - r["part"] / GRAIN
+            if r["part"]:
+                row[r["second"]] = r["part"] / GRAIN
         if r["named"] == -1:
             row[sources + 1 :] = row[: sources + 1]
         elif r["named"] >= 0:
@@ -179,7 +189,7 @@ def mixed(documents: DataFrame, mixes: DataFrame, ws: Workspace, vocabulary: str
     """(copies, targets, members): copies is (mix_id, doc_id, source, n_tokens, copies) with copies > 0.
 
     source is the one a document names, or the likeliest where it names none.  targets is (mix_id, source, target_share,
-    max_repeats, target_tokens), members (doc_id, source, p): each document's shares of its likeliest sources.
+    max_repeats, target_tokens), members (doc_id, source, p): each document's shares of all sources that it has any of.
     """
     docs = ws.save(sized(documents, source_name(F.col("source")).alias("named"), vocabulary=vocabulary).where("n_tokens > 0"), "docs")
     asked = mixes.where("mix_id is not null and target_share > 0 and total_share_of_corpus > 0").groupBy("mix_id", source_name(F.col("source")).alias("source")).agg(
@@ -196,12 +206,16 @@ def mixed(documents: DataFrame, mixes: DataFrame, ws: Workspace, vocabulary: str
     soft = posteriors(texts, texts, sources)
     at = F.array_position(F.lit(sources), F.col("named")).cast("int") - 1
     code = F.when(F.col("named").isNull(), -1).when(at < 0, -2).otherwise(at)
-    member = docs.join(soft, "doc_id").select("doc_id", "n_tokens", "named", code.alias("code"), two_likeliest(with_name(F.col("p"), F.col("named"), sources)).alias("q"))
-    member = member.select("doc_id", "n_tokens", "q.*", "code", F.coalesce("named", F.get(F.lit(sources), F.col("q.first"))).alias("source"))
+    member = docs.join(soft, "doc_id").select("doc_id", "n_tokens", "named", code.alias("code"), with_name(F.col("p"), F.col("named"), sources).alias("p"))
+    member = member.select("doc_id", "n_tokens", "p", two_likeliest(F.col("p")).alias("q"), "code", "named")
+    member = member.select("doc_id", "n_tokens", "p", "q.*", "code", F.coalesce("named", F.get(F.lit(sources), F.col("q.first"))).alias("source"))
     members = ws.save(member, "members")
     key = ["first", "second", "part", "code"]
-    units = members.groupBy(*key).agg(F.sum("n_tokens").alias("tokens")).orderBy(*key).collect()  # bounded by the number of sources, see above
-    u, tokens = memberships([{**r.asDict(), "named": r["code"]} for r in units], len(sources)), np.array([r["tokens"] for r in units], dtype=float)
+    every = range(len(sources) + 1)
+    sums = F.array(*[F.sum(F.col("n_tokens") * F.get("p", F.lit(i))) for i in every])
+    units = members.groupBy(*key).agg(F.sum("n_tokens").alias("tokens"), sums.alias("by")).orderBy(*key).collect()  # bounded by the number of sources, see above
+    tokens = np.array([r["tokens"] for r in units], dtype=float)
+    u = memberships([{"named": r["code"], "p": np.array(r["by"]) / r["tokens"]} for r in units], len(sources))
     rates = []
     for m in ids:
         caps = np.array([int(by[m, s]["cap"]) if (m, s) in by else 0 for s in sources])
@@ -210,9 +224,7 @@ def mixed(documents: DataFrame, mixes: DataFrame, ws: Workspace, vocabulary: str
         rates += [(m, *[r[k] for k in key], float(x), int(c)) for r, x, c in zip(units, fit_rates(u, tokens, cap, np.r_[want, 0.0, want, 0.0], len(sources) + 1), cap, strict=True) if x > 0]
     table = F.broadcast(spark.createDataFrame(rates, "mix_id int, first int, second int, part int, code int, rate double, cap int"))
     rated = ws.save(members.join(table, key).select("mix_id", "doc_id", "source", "n_tokens", "rate", "cap"), "rated")
-    name = lambda c: F.get(F.lit([*sources, "-"]), F.col(c))
-    share = lambda n, x: F.struct(n.alias("source"), x.alias("share"))
-    shares = F.filter(F.array(share(name("first"), 1 - F.col("part") / GRAIN), share(F.when(F.col("part") > 0, name("second")), F.col("part") / GRAIN)), lambda e: e["source"].isNotNull())
+    shares = F.filter(F.transform("p", lambda x, i: F.struct(F.get(F.lit([*sources, "-"]), i).alias("source"), x.alias("share"))), lambda e: e["share"] > 0)
     return whole_copies(rated).where("copies > 0"), goal, members.select("doc_id", "source", shares.alias("p"))
 
 

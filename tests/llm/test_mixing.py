@@ -103,3 +103,24 @@ def test_empty(spark):
     assert run(spark, [(1, None, "red", 0, "", 0.0, ""), (2, "", "red", 0, "", 0.0, "")], mixes)[0] == []
     only = [(1, "api api", None, 0, "", 0.0, ""), (2, "laut", None, 0, "", 0.0, "")]
     assert len(run(spark, only, [(1, "red", 1.0, 5, 1.0)])[0]) > 0
+
+
+def test_third_sources_count(spark):
+    """Texts that speak for three sources about alike: none of their shares is dropped."""
+    rnd = random.Random(3)
+    rows = corpus(300, seed=5) + [(1000 + i, " ".join(rnd.choice(["api", "laut", "daun", "sisi"]) for _ in range(6)), None, 0, "", 0.0, "") for i in range(200)]
+    docs = spark.createDataFrame([r[:6] for r in rows], DOC)
+    mixes = spark.createDataFrame([(1, "red", 0.4, 3, 0.5), (1, "blue", 0.3, 3, 0.5), (1, "green", 0.3, 3, 0.5)], MIX)
+    copies, targets, members = mixed(docs, mixes, Workspace(spark, "t"))
+    names = sorted(WORDS)
+    want = {r.doc_id: r.p for r in posteriors(docs.select("text", F.lower(F.trim("source")).alias("source")), docs.select("doc_id", "text"), names).collect()}
+    p = {r.doc_id: {e.source: e.share for e in r.p} for r in members.collect()}
+    for i in range(1000, 1200):
+        assert len(p[i]) == 3 and all(abs(p[i][n] - x) < 1e-9 for n, x in zip(names, want[i], strict=True))
+    soft = {}
+    for r in copies.collect():
+        for n, x in p[r.doc_id].items():
+            soft[n] = soft.get(n, 0) + r.n_tokens * r.copies * x
+    total = sum(r.n_tokens * r.copies for r in copies.collect())
+    for r in share_report(copies, targets, members).collect():
+        assert abs(r.expected_share - soft[r.source] / total) < 1e-9 and abs(r.expected_share - r.target_share) < 0.02
