@@ -201,10 +201,12 @@ def register(reg: Registry) -> None:
     @q("rsm_03_map_bootstrap")
     def rsm_03(s, d):
         from grovekit.operators import matching
-        m = matching.match_one_to_one(det(s, d), gt(s, d), ["stem", "cls"], 0.5).select("stem", "cls", "det_id", F.lit(True).alias("tp"))
+        ws = Workspace(s, "mapboot")
+        m = ws.save(matching.match_one_to_one(det(s, d), gt(s, d), ["stem", "cls"], 0.5).select("stem", "cls", "det_id", F.lit(True).alias("tp")), "matches")
+        ws.release()
         flags = det(s, d).join(m, ["stem", "cls", "det_id"], "left").select("stem", "cls", "score", F.struct("stem", "det_id").alias("tie"), F.coalesce("tp", F.lit(False)).alias("tp"))
         truths = gt(s, d).groupBy("stem", "cls").agg(F.count(F.lit(1)).alias("n"))
-        return R.bootstrap_ap(flags, truths, 500, Workspace(s, "mapboot")).groupBy("b").agg(_r(F.avg("ap"), 5).alias("map50"))
+        return R.bootstrap_ap(flags, truths, 500, ws).groupBy("b").agg(_r(F.avg("ap"), 5).alias("map50"))
 
     @q("rsm_04_folds", sql("SELECT CAST(tree % 5 AS INTEGER) AS fold, count(*) AS n, count(DISTINCT tree) AS trees FROM det GROUP BY 1"))
     def rsm_04(s, d):

@@ -100,6 +100,11 @@ class Workspace:
         for name in names:
             _delete(self.spark, self.path(name))
 
+    def release(self) -> None:
+        """Have the shuffle files of the steps before the last ``save`` removed: Spark keeps them until the driver's JVM happens to collect garbage."""
+        with contextlib.suppress(Exception):
+            self.spark._jvm.System.gc()
+
     def close(self) -> None:
         _delete(self.spark, self.root)
 

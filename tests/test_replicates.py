@@ -1,4 +1,8 @@
+import contextlib
 import math
+import re
+import threading
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -62,3 +66,43 @@ def test_bootstrap_ap_against_copies(spark):
 def test_map_bootstrap_has_500_unlike_replicates(spark):
     got = [r.map50 for r in catalog.build().queries["rsm_03_map_bootstrap"](spark, "/root/testdata/sf0.001").collect()]
     assert len(got) == 500 and len(set(got)) > 100
+
+
+def test_numbers_drawn_in_place_are_those_of_the_whole_hash():
+    images = np.r_[np.arange(-3, 30_000), 2**62, -(2**63)]
+    with np.errstate(over="ignore"):
+        h = R._mixed(R._mixed(images.astype(np.int64).view(np.uint64) + np.uint64(7))[:, None] + np.arange(1, 41, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    assert (R._by_top_bits()[h >> np.uint64(48)] == R.OPEN).sum() > 50  # numbers that the upper bits don't tell
+    assert (R.image_weights(images, 40, 7) == np.searchsorted(R.POISSON, h / 2.0**64, side="right")).all()
+
+
+def worker_mb():
+    """Memory of the largest Python worker now."""
+    most = 0
+    for p in Path("/proc").glob("[0-9]*"):
+        with contextlib.suppress(OSError):
+            if b"pyspark.daemon" in (p / "cmdline").read_bytes():
+                most = max(most, int(re.search(r"RssAnon:\s+(\d+)", (p / "status").read_text())[1]) / 1024)
+    return most
+
+
+def test_bootstrap_ap_holds_few_weights_of_rows_with_one_score(spark):
+    """No score parts these rows, and their weights for all replicates at once would take 8 bytes x 40,000 x 500, several times over."""
+    n, reps = 40_000, 500
+    stem, tp = np.arange(n) // 2, np.random.RandomState(3).rand(n) < 0.4
+    rows = spark.range(n).select((F.col("id") / 2).cast("bigint").alias("stem"), F.lit(1).alias("cls"), F.lit(0.5).alias("score"), F.col("id").alias("tie"), F.element_at(F.lit(tp.tolist()), (F.col("id") + 1).cast("int")).alias("tp"))
+    flags = Workspace(spark, "one").save(rows, "rows")
+    truths = spark.range(n // 2).select(F.col("id").alias("stem"), F.lit(1).alias("cls"), F.lit(1).alias("n"))
+    before, most, over = worker_mb(), [0.0], threading.Event()
+    watch = threading.Thread(target=lambda: [most.append(worker_mb()) for _ in iter(lambda: over.wait(0.05), True)])
+    watch.start()
+    got = {r.b: r.ap for r in R.bootstrap_ap(flags, truths, reps, Workspace(spark, "t")).collect()}
+    over.set()
+    watch.join()
+    assert 0 < max(most) < before + 300
+    assert len(got) == reps
+    w = R.image_weights(np.arange(n // 2), 3, 42).astype(float)
+    for b in range(3):
+        k, hit = np.cumsum(w[stem, b]), np.cumsum(w[stem, b] * tp)
+        recall, precision = hit / w[:, b].sum(), np.divide(hit, k, out=np.zeros(n), where=k > 0)
+        assert abs(got[b] - sum(precision[recall >= x / 100 - 1e-11].max(initial=0.0) for x in range(101)) / 101) < 1e-6
